@@ -1,0 +1,6 @@
+"""Registered queries, one module per area."""
+
+from cadenza.plans import royalty  # noqa: F401
+from cadenza.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

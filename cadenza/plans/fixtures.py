@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cadenza.operators import catalog
 from cadenza.session import configure
@@ -20,9 +21,17 @@ EMPTY_TRACKS = (
 )
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A given table. Its schema is looked up once, so later reads open no file
+    before they run."""
     configure(spark)
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    path = f"{sf}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def royalties(spark: SparkSession, sf: str, *extra: str) -> DataFrame:

@@ -13,6 +13,8 @@ SETTINGS = {
     # Split a hot join key even where the next step then needs one more shuffle.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Merge sessions in every task first, so a busy key sends few rows.
+    "spark.sql.sessionWindow.merge.sessions.in.local.partition": "true",
 }
 
 # Settings an isolated query session takes over from the session it came from.

@@ -1,7 +1,7 @@
 """Greedy runs: each key's rows cut into consecutive runs, first row first.
 
 A run ends before the row that comes `span` or more after the run's first row,
-that would be row `size + 1`, or that comes `gap` or more after the row before
+that would be row `size + 1`, or that comes more than `gap` after the row before
 it. Where one run starts depends on where the last one did, so SQL windows
 cannot express it; a small loop over sorted Arrow batches can.
 
@@ -39,7 +39,7 @@ class Rule:
     gap: int = NEVER
 
     def ends(self, ts: int, start: int, count: int, last: int) -> bool:
-        return ts - start >= self.span or count >= self.size or ts - last >= self.gap
+        return ts - start >= self.span or count >= self.size or ts - last > self.gap
 
 
 def _label(rule: Rule, incoming: bool):
@@ -75,7 +75,7 @@ def _next_start(ts: np.ndarray, rule: Rule) -> np.ndarray:
     place = np.arange(n)
     by_span = np.searchsorted(ts, ts + rule.span, side="left")
     by_size = place + min(rule.size, n)
-    breaks = np.flatnonzero(np.diff(ts) >= rule.gap) + 1
+    breaks = np.flatnonzero(np.diff(ts) > rule.gap) + 1
     later = np.searchsorted(breaks, place, side="right")
     by_gap = np.append(breaks, n)[later]
     return np.minimum(np.minimum(by_span, by_size), by_gap)
@@ -124,7 +124,7 @@ def _summarise(rule: Rule):
         opened_in = opened[: min(entries, n)]
         ends = np.flatnonzero(np.append(np.diff(opened_in) != 0, True))
         chosen = opened_in[ends]
-        gaps = np.flatnonzero(np.diff(ts) >= rule.gap)
+        gaps = np.flatnonzero(np.diff(ts) > rule.gap)
         return {
             "key": key,
             "number": number,
@@ -174,7 +174,7 @@ def _chain(rule: Rule):
                 out.append((s.number, start, first, count, last))
                 by_span = np.searchsorted(s.entry_ts, start + rule.span, side="left")
                 by_size = np.searchsorted(s.entry_row, max(rule.size - count, 0), side="left")
-                gap_row = 0 if s.first_ts - last >= rule.gap else s.first_gap
+                gap_row = 0 if s.first_ts - last > rule.gap else s.first_gap
                 by_gap = np.searchsorted(s.entry_row, gap_row, side="left")
                 entry = min(by_span, by_size, by_gap)
             if entry < len(s.entry_row):

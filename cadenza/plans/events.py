@@ -65,7 +65,7 @@ def _(spark, sf):
 @query(
     "ev_debounce",
     f"SELECT {EVENT}, ts + INTERVAL 2 HOUR AS fire_at FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id "
-    "ORDER BY ts, event_id) AS nxt FROM events) x WHERE nxt IS NULL OR nxt - ts >= INTERVAL 2 HOUR",
+    "ORDER BY ts, event_id) AS nxt FROM events) x WHERE nxt IS NULL OR nxt - ts > INTERVAL 2 HOUR",
 )
 def _(spark, sf):
     return flow.debounce(events(spark, sf), "user_id", 2 * HOUR)
@@ -97,7 +97,7 @@ def _greedy(key: str, ends: str) -> str:
 
 @query(
     "ev_debounce_cap",
-    _greedy("user_id", "b.us - a.us >= 21600000000 OR b.us - b.us_before >= 14400000000")
+    _greedy("user_id", "b.us - a.us >= 21600000000 OR b.us - b.us_before > 14400000000")
     + f"""SELECT {EVENT}, least(ts + INTERVAL 4 HOUR, first_ts + INTERVAL 6 HOUR) AS fire_at FROM (
       SELECT m.*, row_number() OVER (PARTITION BY user_id, run_n ORDER BY ts DESC, event_id DESC) AS back,
         min(ts) OVER (PARTITION BY user_id, run_n) AS first_ts FROM members m) x WHERE back = 1""",
@@ -204,7 +204,7 @@ def _(spark, sf):
 
 @query(
     "ev_session",
-    """WITH marked AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 3 HOUR THEN 0 ELSE 1 END AS opens
+    """WITH marked AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 3 HOUR THEN 0 ELSE 1 END AS opens
       FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
     labelled AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM marked)
     SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 3 HOUR AS "end", count(*) AS n,

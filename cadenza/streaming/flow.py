@@ -92,13 +92,13 @@ def debounce(
 ) -> DataFrame:
     """The last event before each quiet period, with the time it fires.
 
-    With `timeout`, a run of events fires at the latest that long after its
+    An event just as the period ends still extends it. With `timeout`, a run of events fires at the latest that long after its
     first event, and the next event starts afresh.
     """
     if timeout is None:
         data = ordered(events, [key], ORDER, slice_rows)
         last = with_next(data, TS, "_next").done()
-        quiet = micros(F.col("_next")) - micros(F.col(TS)) >= period * SECOND
+        quiet = micros(F.col("_next")) - micros(F.col(TS)) > period * SECOND
         return (
             last.where(F.col("_next").isNull() | quiet)
             .drop("_next")
@@ -252,7 +252,7 @@ def windowed(events: DataFrame, key: str, length: str, slide: str | None = None)
 
 
 def sessions(events: DataFrame, key: str, gap: str) -> DataFrame:
-    """Count and sum per session: events less than `gap` apart."""
+    """Count and sum per session: events at most `gap` apart."""
     return (
         events.groupBy(key, F.session_window(TS, gap).alias("w"))
         .agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).alias("total"))

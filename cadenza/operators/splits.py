@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cadenza.functions.cleaning import blank
 from cadenza.operators.catalog import OWNER
@@ -230,7 +231,9 @@ def payout_cascade(royalties: DataFrame, tracks: DataFrame, rules: DataFrame,
     keep = royalties.columns
     revenue = F.col("net_revenue")
     live = F.coalesce(_live(day), F.array())
-    zero = F.lit(0).cast(MONEY)
+    # Adding two decimal(38,9) would round to eight places; this type has room.
+    exact = T.DecimalType(30, 9)
+    zero = F.lit(0).cast(exact)
     paid = F.transform(
         F.filter("live", lambda r: r["level"] == F.col("top")),
         lambda r: F.struct(
@@ -240,12 +243,12 @@ def payout_cascade(royalties: DataFrame, tracks: DataFrame, rules: DataFrame,
             _share(revenue, r["percentage"]).alias("amount"),
         ),
     )
-    spent = F.aggregate("paid", zero, lambda acc, p: (acc + p["amount"]).cast(MONEY))
+    spent = F.aggregate("paid", zero, lambda acc, p: (acc + p["amount"].cast(AMOUNT)).cast(exact))
     rest = F.struct(
         F.lit(None).cast("string").alias("level"),
         F.lit(UNALLOCATED).alias("payee_name"),
         F.lit(None).cast(PERCENT).alias("percentage"),
-        (revenue - spent).cast(MONEY).alias("amount"),
+        (revenue.cast(AMOUNT) - spent).cast(MONEY).alias("amount"),
     )
     return (
         royalties.join(rules_by_isrc(tracks, rules), "isrc", "left")

@@ -106,7 +106,7 @@ def test_filters_and_columns_reach_the_scan(spark, data, tmp_path):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(reporting_date,2024-02-01)" in plan
     assert "ReadSchema: struct<platform:string,reporting_date:date,quantity:bigint>" in plan
-    assert "PartitionFilters: [dataset_id" in plan
+    assert "PartitionFilters: [isnotnull(dataset_id" in plan
 
 
 def test_summary(data, spark):

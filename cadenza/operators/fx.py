@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cadenza.functions.music import apply_fx
+from cadenza.operators.joins import lookup
 from cadenza.schema import DEFAULT_CURRENCY
 
 KEY = ["currency", "reporting_date"]
@@ -42,11 +43,7 @@ def rates_as_of(needed: DataFrame, rates: DataFrame) -> DataFrame:
 
 
 def _with_rate(royalties: DataFrame, daily: DataFrame) -> DataFrame:
-    """Royalties with their day's rate and USD amount, by a plain equi-join.
-
-    Whether the rates are broadcast is left to the planner, which checks their
-    size; past the threshold the adaptive skew join splits a busy day.
-    """
+    """Royalties with their day's rate and USD amount, by a plain equi-join."""
     joined = royalties.join(daily.select(*KEY, "rate"), KEY, "left")
     usd = apply_fx(F.col("net_revenue"), F.col("currency"), F.col("rate"))
     rate = F.when(F.col("currency") == DEFAULT_CURRENCY, F.coalesce("rate", F.lit(1))).otherwise(
@@ -62,12 +59,13 @@ def convert_exact(royalties: DataFrame, rates: DataFrame) -> DataFrame:
         F.col("date").alias("reporting_date"),
         F.col("rate_to_usd").alias("rate"),
     )
-    return _with_rate(royalties, daily)
+    return _with_rate(royalties, lookup(daily, row_bytes=64))
 
 
 def convert_as_of(royalties: DataFrame, rates: DataFrame) -> DataFrame:
     """USD amounts by the latest rate on or before the day."""
-    return _with_rate(royalties, rates_as_of(needed_days(royalties), rates))
+    daily = rates_as_of(needed_days(royalties), rates)
+    return _with_rate(royalties, lookup(daily, row_bytes=64))
 
 
 def missing_rates(royalties: DataFrame, rates: DataFrame) -> DataFrame:

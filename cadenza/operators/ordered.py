@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cadenza.session import ensure_checkpoint_dir, parallelism
+from cadenza.session import ensure_checkpoint_dir, parallelism, staged
 
 SLICE = "_slice"
 WHOLE = -1
@@ -75,8 +75,7 @@ def slices(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFr
 
 def busy_keys(rows: DataFrame, keys: Sequence[str], slice_rows: int) -> DataFrame | None:
     """Keys with more rows than a slice should hold, or None if there are none."""
-    ensure_checkpoint_dir(rows.sparkSession)
-    busy = rows.groupBy(*keys).count().where(F.col("count") > slice_rows).drop("count").checkpoint()
+    busy = staged(rows.groupBy(*keys).count().where(F.col("count") > slice_rows).drop("count"))
     found = busy.count()
     if found == 0:
         return None

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from cadenza.functions.cleaning import blank
 from cadenza.operators.catalog import OWNER
+from cadenza.operators.joins import lookup
 from cadenza.schema import AMOUNT, MONEY, PERCENT
 
 # Open validity ends, percentage bounds, payees per target.
@@ -155,9 +156,8 @@ def _at_level(place: int):
 def rules_by_isrc(tracks: DataFrame, rules: DataFrame) -> DataFrame:
     """Each track's isrc with every rule that could ever pay it, as one array.
 
-    Built from the catalog alone, so the royalties are joined once, on isrc,
-    whatever the number of levels. An array holds the rules of one track, its
-    album, artist and workspace, which the payee limit keeps to some dozens.
+    An array holds the rules of one track, its album, artist and workspace,
+    which the payee limit keeps to some dozens.
     """
     rule = F.struct(
         F.col("payee_name").alias("payee_name"),
@@ -179,17 +179,59 @@ def rules_by_isrc(tracks: DataFrame, rules: DataFrame) -> DataFrame:
                 F.collect_list(rule).alias(name)
             )
             joined = joined.join(own, f"{level}_id", "left")
-        arrays.append(
-            F.transform(
-                F.coalesce(F.col(name), F.array()),
-                _at_level(place),
-            )
-        )
+        arrays.append(F.transform(F.coalesce(F.col(name), F.array()), _at_level(place)))
     return joined.select("isrc", F.concat(*arrays).alias("rules"))
 
 
-def _live(day: Column) -> Column:
-    return F.filter("rules", lambda r: (r["live_from"] <= day) & (r["live_to"] >= day))
+def _payee(rule: Column) -> Column:
+    level = F.element_at(F.array(*[F.lit(name) for name in LEVELS]), rule["level"] + 1)
+    return F.struct(
+        level.alias("level"),
+        rule["payee_name"].alias("payee_name"),
+        rule["percentage"].alias("percentage"),
+    )
+
+
+def rule_periods(tracks: DataFrame, rules: DataFrame, cascade: bool) -> DataFrame:
+    """For each isrc, periods without change and who is paid in each.
+
+    Columns: isrc, period_from, period_to, payees. All rule logic happens here,
+    on the catalog: days on which a rule starts or has ended cut the periods,
+    and in a cascade only the most specific live level stays. The royalties are
+    then joined once, on isrc, and need no further look at the rules.
+    """
+    starts = F.transform("rules", lambda r: r["live_from"])
+    stops = F.transform("rules", lambda r: F.date_add(r["live_to"], 1))
+    days = F.array_sort(F.array_distinct(F.concat(starts, stops)))
+
+    def payees(period: Column) -> Column:
+        live = F.filter(
+            "rules",
+            lambda r: (r["live_from"] <= period["start"]) & (r["live_to"] >= period["start"]),
+        )
+        if not cascade:
+            return F.transform(live, _payee)
+        top = F.array_min(F.transform(live, lambda r: r["level"]))
+        return F.transform(F.filter(live, lambda r: r["level"] == top), _payee)
+
+    periods = F.transform(
+        F.slice("days", 1, F.greatest(F.size("days") - 1, F.lit(0))),
+        lambda day, i: F.struct(
+            day.alias("start"), F.date_sub(F.get("days", i + 1), 1).alias("stop")
+        ),
+    )
+    made = (
+        rules_by_isrc(tracks, rules)
+        .withColumn("days", days)
+        .select("isrc", "rules", F.explode(periods).alias("period"))
+        .select(
+            "isrc",
+            F.col("period.start").alias("period_from"),
+            F.col("period.stop").alias("period_to"),
+            payees(F.col("period")).alias("payees"),
+        )
+    )
+    return lookup(made, row_bytes=64 + 64 * F.size("payees"))
 
 
 def _share(revenue: Column, percentage: Column) -> Column:
@@ -198,25 +240,27 @@ def _share(revenue: Column, percentage: Column) -> Column:
     return F.round(part, 9).cast(MONEY)
 
 
-def _level_name(level: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(name) for name in LEVELS]), level + 1)
+def _paid_by(royalties: DataFrame, periods: DataFrame, as_of: str | None, how: str) -> DataFrame:
+    """Royalties with the payees of their isrc on their own day, or on one given."""
+    r, p = royalties.alias("r"), periods.alias("p")
+    day = F.col("r.reporting_date") if as_of is None else F.lit(as_of).cast("date")
+    paying = (
+        (F.col("r.isrc") == F.col("p.isrc"))
+        & (F.col("p.period_from") <= day)
+        & (F.col("p.period_to") >= day)
+    )
+    return r.join(p, paying, how).select("r.*", "p.payees")
 
 
 def payout_fanout(royalties: DataFrame, tracks: DataFrame, rules: DataFrame,
                   as_of: str | None = None) -> DataFrame:
     """One row per royalty row and live rule on any of its levels."""
-    day = F.col("reporting_date") if as_of is None else F.lit(as_of).cast("date")
     keep = royalties.columns
+    periods = rule_periods(tracks, rules, cascade=False)
     return (
-        royalties.join(rules_by_isrc(tracks, rules), "isrc")
-        .select(*keep, F.explode(_live(day)).alias("r"))
-        .select(
-            *keep,
-            _level_name(F.col("r.level")).alias("level"),
-            F.col("r.payee_name").alias("payee_name"),
-            F.col("r.percentage").alias("percentage"),
-            _share(F.col("net_revenue"), F.col("r.percentage")).alias("amount"),
-        )
+        _paid_by(royalties, periods, as_of, "inner")
+        .select(*keep, F.inline("payees"))
+        .withColumn("amount", _share(F.col("net_revenue"), F.col("percentage")))
     )
 
 
@@ -224,39 +268,36 @@ def payout_cascade(royalties: DataFrame, tracks: DataFrame, rules: DataFrame,
                    as_of: str | None = None) -> DataFrame:
     """Payouts of every royalty row by its most specific live rules, with the rest.
 
-    All of it happens inside the row: the level is picked from the row's rule
-    array, so no window or second join follows the one join on isrc.
+    The rest needs the sum of the row's rounded payments. It is taken over the
+    row's own payees, so no grouping of the royalties follows.
     """
-    day = F.col("reporting_date") if as_of is None else F.lit(as_of).cast("date")
     keep = royalties.columns
     revenue = F.col("net_revenue")
-    live = F.coalesce(_live(day), F.array())
     # Adding two decimal(38,9) would round to eight places; this type has room.
     exact = T.DecimalType(30, 9)
-    zero = F.lit(0).cast(exact)
-    paid = F.transform(
-        F.filter("live", lambda r: r["level"] == F.col("top")),
-        lambda r: F.struct(
-            _level_name(r["level"]).alias("level"),
-            r["payee_name"].alias("payee_name"),
-            r["percentage"].alias("percentage"),
-            _share(revenue, r["percentage"]).alias("amount"),
-        ),
+    spent = F.aggregate(
+        "payees",
+        F.lit(0).cast(exact),
+        lambda acc, p: (acc + _share(revenue, p["percentage"]).cast(AMOUNT)).cast(exact),
     )
-    spent = F.aggregate("paid", zero, lambda acc, p: (acc + p["amount"].cast(AMOUNT)).cast(exact))
     rest = F.struct(
         F.lit(None).cast("string").alias("level"),
         F.lit(UNALLOCATED).alias("payee_name"),
         F.lit(None).cast(PERCENT).alias("percentage"),
-        (revenue.cast(AMOUNT) - spent).cast(MONEY).alias("amount"),
     )
+    amount = F.when(
+        F.col("percentage").isNull(), (revenue.cast(AMOUNT) - F.col("_spent")).cast(MONEY)
+    ).otherwise(_share(revenue, F.col("percentage")))
     return (
-        royalties.join(rules_by_isrc(tracks, rules), "isrc", "left")
-        .select(*keep, live.alias("live"))
-        .withColumn("top", F.array_min(F.transform("live", lambda r: r["level"])))
-        .withColumn("paid", paid)
-        .select(*keep, F.explode(F.concat("paid", F.array(rest))).alias("p"))
-        .select(*keep, "p.*")
+        _paid_by(royalties, rule_periods(tracks, rules, cascade=True), as_of, "left")
+        .select(
+            *keep,
+            F.coalesce(spent, F.lit(0).cast(exact)).alias("_spent"),
+            F.coalesce(F.concat("payees", F.array(rest)), F.array(rest)).alias("payees"),
+        )
+        .select(*keep, "_spent", F.inline("payees"))
+        .withColumn("amount", amount)
+        .drop("_spent")
     )
 
 
@@ -286,7 +327,7 @@ def with_catalog(royalties: DataFrame, tracks: DataFrame, albums: DataFrame,
               "artist_id", "left")
         .drop(OWNER)
     )
-    return royalties.join(entry, "isrc", "left")
+    return royalties.join(lookup(entry, row_bytes=256), "isrc", "left")
 
 
 def orphans(royalties: DataFrame, tracks: DataFrame) -> DataFrame:

@@ -22,6 +22,7 @@ from cadenza.plans.fixtures import (
     table,
 )
 from cadenza.plans.registry import query
+from cadenza.session import staged
 from cadenza.sources.detect import detect_source, source_of
 from cadenza.sources.files import json_rows
 
@@ -536,8 +537,9 @@ KNOWN_ALBUMS_CTE = """, known_albums AS (
 
 
 def _next_albums(spark, sf):
-    items = fx_data.owned_items(spark, sf)
-    artists = catalog.upsert_artists(items, _known_artists(spark, sf))
+    # Later jobs read the items and artists again, so both are worked out once.
+    items = staged(fx_data.owned_items(spark, sf))
+    artists = staged(catalog.upsert_artists(items, _known_artists(spark, sf)))
     return items, artists, catalog.upsert_albums(items, _known_albums(spark, sf), artists)
 
 
@@ -598,6 +600,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     items, artists, albums = _next_albums(spark, sf)
+    albums = staged(albums)
     known = (
         royalties(spark, sf, "owner_user_id")
         .where("platform = '5-LOW' AND transaction_type = 'N'")

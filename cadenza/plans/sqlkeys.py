@@ -296,8 +296,8 @@ sql(
     "sql_recursive",
     f"""WITH RECURSIVE per_year AS (
       SELECT CAST(year(reporting_date) AS INT) AS y, {REV} AS rev FROM royalty_data GROUP BY 1),
-    years(y) AS (SELECT min(y) FROM per_year UNION ALL
-      SELECT y + 1 FROM years WHERE y < (SELECT max(y) FROM per_year))
+    years(y, last) AS (SELECT min(y), max(y) FROM per_year UNION ALL
+      SELECT y + 1, last FROM years WHERE y < last)
     SELECT years.y, rev FROM years LEFT JOIN per_year ON per_year.y = years.y""",
 )
 sql(

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -56,6 +57,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="cadenza-checkpoint-"))
 
 
+def staged(frame: DataFrame) -> DataFrame:
+    """The frame written once as a table in the shared checkpoint folder.
+
+    Later steps read it instead of working it out again, also after executors
+    are lost, and the planner knows its size.
+    """
+    spark = frame.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/staged-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
+
+
 def parallelism(spark: SparkSession) -> int:
     """How many slices an ordered pass is cut into: follows the cluster's setting."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -17,6 +17,7 @@ from cadenza.operators import catalog
 from cadenza.operators.normalize import dataset_row_counts, normalize, rejects
 from cadenza.schema import DATASET_ID, RequestError
 from cadenza.sources.detect import source_of
+from cadenza.session import staged
 from cadenza.sources.files import processed_path, read_report, staging_path, write_royalties
 
 LEDGER = "dataset_id string, status string, row_count bigint, error_message string"
@@ -89,7 +90,8 @@ def latest_snapshot(spark: SparkSession, workspace: Workspace, name: str, before
 def update_catalog(spark: SparkSession, workspace: Workspace, royalties: DataFrame, snapshot: int) -> None:
     """Write the next catalog snapshot; the old one stays until readers moved on."""
     owned = royalties.withColumn(catalog.OWNER, F.lit(workspace.owner_user_id))
-    items = catalog.catalog_items(owned)
+    # Each table's job reads the items, so they are worked out once.
+    items = staged(catalog.catalog_items(owned))
     old = {n: latest_snapshot(spark, workspace, n, snapshot) for n in CATALOG_TABLES}
 
     def store(frame: DataFrame, name: str) -> DataFrame:

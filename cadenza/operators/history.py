@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.operators.sqlrun import Tables, run_sql
+from cadenza.schema import RequestError
+
 
 def query_id(sql: Column) -> Column:
     """`q_` and 16 hex digits of a 64-bit hash, so equal text shares an id."""
@@ -42,6 +45,17 @@ def latest_by_query_id(history: DataFrame) -> DataFrame:
     )
 
 
+def rerun(history: DataFrame, workspace_id: str, query_id: str, tables: Tables) -> DataFrame:
+    """Run the newest recorded SQL of a query id again."""
+    own = history.where(
+        (F.col("workspace_id") == workspace_id) & (F.col("query_id") == query_id)
+    )
+    found = latest_by_query_id(own).select("sql_executed").first()
+    if found is None:
+        raise RequestError(f"Query '{query_id}' is not in the history")
+    return run_sql(history.sparkSession, found["sql_executed"], tables)
+
+
 def dataset_status(log: DataFrame) -> DataFrame:
     """Current state of every dataset from its status log."""
     return latest(log, ["dataset_id"], ["updated_at", "seq"])

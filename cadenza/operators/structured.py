@@ -73,6 +73,7 @@ def structured_query(
     date_range: Mapping[str, str | None] | None = None,
     filters: Sequence[Mapping[str, Any]] | None = None,
     dataset_ids: Sequence[str] | None = None,
+    where: str | None = None,
     sort: Sequence[tuple[str, str]] | None = None,
     transform: Mapping[str, str] | None = None,
     limit: int | None = DEFAULT_LIMIT,
@@ -83,7 +84,7 @@ def structured_query(
     Dimensions with metrics group; with an empty metric list they are distinct;
     without metrics they are projected and keep duplicates. Metrics alone give
     one row and nothing at all gives every column. `limit=None` means no limit.
-    A limit without `sort` sorts by the dimensions, so the rows are defined.
+    `where` is a SQL condition over the royalty columns. A limit without `sort` sorts by the dimensions, so the rows are defined.
     """
     dims = [dimension(d) for d in dimensions or []]
     aggregates = [metric(m) for m in metrics or []]
@@ -96,6 +97,8 @@ def structured_query(
     if span.get("to"):
         conditions.append(F.col("reporting_date") <= F.lit(span["to"]).cast("date"))
     conditions += [condition(f["field"], f["operator"], f["value"]) for f in filters or []]
+    if where:
+        conditions.append(F.expr(where))
     rows = where_all(royalties, conditions)
 
     extra = {name: F.expr(text) for name, text in (transform or {}).items()}

@@ -661,8 +661,8 @@ def _after_deletes(spark, sf):
     debtors = table(spark, sf, "supplier").where("s_acctbal < 2000").selectExpr(
         "concat('ar-', s_name) AS id"
     )
-    album = table(spark, sf, "part").where("p_brand = 'Brand#7'").select(
-        F.lit("al-Brand#7").alias("id")
+    album = table(spark, sf, "part").where("p_brand = 'Brand#7'").selectExpr(
+        "concat('al-', p_brand) AS id"
     ).distinct()
     return catalog.delete_albums(album, catalog.delete_artists(debtors, frames))
 

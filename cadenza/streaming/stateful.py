@@ -32,18 +32,23 @@ class InOrder(StatefulProcessor):
         self.handle = handle
         self.held = handle.getListState("held", HELD)
         self.state = handle.getValueState("state", self.STATE)
+        self.passed = handle.getValueState("passed", _fields(until=T.LongType()))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
+        """Only holds; a timer at the earliest held event hands events on."""
         for batch in rows:
             times = batch["ts"].astype("datetime64[us, UTC]" if batch["ts"].dt.tz else "datetime64[us]")
             stamps = times.astype("int64").tolist()
             self.held.appendList(list(zip(stamps, batch["event_id"].tolist())))
-            for due in {ts // 1000 + 1 for ts in stamps}:
-                self.handle.registerTimer(due)
-        yield from self.pass_on(key, timerValues)
+            self.handle.registerTimer(min(stamps) // 1000 + 1)
+        yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        yield from self.pass_on(key, timerValues)
+        # Timers of one micro-batch see the same watermark: the first does the work.
+        until = timerValues.getCurrentWatermarkInMs()
+        if not self.passed.exists() or self.passed.get()[0] < until:
+            self.passed.update((until,))
+            yield from self.pass_on(key, timerValues)
 
     def pass_on(self, key, timers) -> Iterator[pd.DataFrame]:
         reached = timers.getCurrentWatermarkInMs() * 1000
@@ -55,8 +60,10 @@ class InOrder(StatefulProcessor):
             state = self.take(state, ts, row, out)
         state, wake = self.settle(state, reached, out)
         if ready:
-            left = [e for e in events if e[0] >= reached]
+            left = events[len(ready) :]
             self.held.put(left) if left else self.held.clear()
+            if left:
+                self.handle.registerTimer(left[0][0] // 1000 + 1)
         if state is None:
             self.state.clear()
         else:

@@ -72,6 +72,7 @@ def test_filters(data):
     assert count("country", "eq", "NG") == 4
     assert count("reporting_date", "gte", "2024-02-01") == 3
     assert count("platform", "ne", "Deezer") == 1
+    assert structured_query(data, where="net_revenue < 0 OR quantity = 3").count() == 3
 
 
 def test_dates_datasets_and_country(data):
@@ -185,6 +186,10 @@ def test_history_and_roles(spark):
     assert rows(history.latest_by_query_id(records).select("sql_executed", "row_count")) == [
         ("SELECT 1", 2), ("SELECT 2", 3)
     ]
+    again = history.rerun(records, "w", records.where("row_count = 3").first()["query_id"], {})
+    assert rows(again) == [(2,)]
+    with pytest.raises(RequestError, match="not in the history"):
+        history.rerun(records, "x", "q_0", {})
     requests = spark.createDataFrame(
         [("w", "own", "Owner"), ("w", "view", "Manager"), ("w", "adm", "Manager"), ("w", "odd", "Viewer"),
          ("w", "none", "Viewer"), ("x", "own", "Viewer")],

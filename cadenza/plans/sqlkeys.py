@@ -81,7 +81,7 @@ sql(
       round(corr({_DBL}, quantity), 8) AS r, round(covar_samp({_DBL}, quantity), 1) AS cov,
       round(covar_pop({_DBL}, quantity), 1) AS covp, round(regr_slope({_DBL}, quantity), 4) AS slope,
       round(regr_intercept({_DBL}, quantity), 2) AS intercept, round(regr_r2({_DBL}, quantity), 8) AS r2,
-      regr_count({_DBL}, quantity) AS pairs, round(regr_avgx({_DBL}, quantity), 6) AS avgx,
+      CAST(regr_count({_DBL}, quantity) AS BIGINT) AS pairs, round(regr_avgx({_DBL}, quantity), 6) AS avgx,
       bool_and(quantity > 0) AS all_pos, bool_or(quantity > 49) AS any_big,
       bit_and(quantity) AS band, bit_or(quantity) AS bor, bit_xor(quantity) AS bxor,
       CAST(median(quantity) AS DOUBLE) AS med
@@ -198,9 +198,9 @@ PER_TERRITORY = f"""per AS (SELECT platform, territory, {REV} AS rev, {QTY} AS q
 sql(
     "win_rank",
     "WITH " + PER_TERRITORY
-    + """SELECT platform, territory, rev, row_number() OVER w AS rn, rank() OVER w AS rk,
-      dense_rank() OVER w AS dr, percent_rank() OVER w AS pr, cume_dist() OVER w AS cd,
-      ntile(4) OVER w AS quarter FROM per WINDOW w AS (PARTITION BY platform ORDER BY rev DESC, territory)""",
+    + """SELECT platform, territory, rev, CAST(row_number() OVER w AS BIGINT) AS rn, CAST(rank() OVER w AS BIGINT) AS rk,
+      CAST(dense_rank() OVER w AS BIGINT) AS dr, percent_rank() OVER w AS pr, cume_dist() OVER w AS cd,
+      CAST(ntile(4) OVER w AS BIGINT) AS quarter FROM per WINDOW w AS (PARTITION BY platform ORDER BY rev DESC, territory)""",
 )
 sql(
     "win_lag_lead",
@@ -332,12 +332,12 @@ sql(
       starts_with(text, 'The') AS opens, ends_with(text, '.') AS closes, to_hex(doc_id) AS hexed,
       substr_index(source, 'c', 1) AS before_c, substr(text, 5, 7) AS middle, md5(text) AS digest
     FROM documents""",
-    """SELECT doc_id, length(text) AS chars, strlen(text) AS octets, CAST(strpos(text, ' the ') AS INT) AS at_the,
+    """SELECT doc_id, CAST(length(text) AS INT) AS chars, CAST(strlen(text) AS INT) AS octets, CAST(strpos(text, ' the ') AS INT) AS at_the,
       split_part(text, ' ', 3) AS third, upper(concat(lang, source)) AS head, lower(right(text, 9)) AS tail,
       md5((SELECT string_agg(c, '' ORDER BY i DESC) FROM (SELECT unnest(regexp_extract_all(text, '(?s).')) AS c,
         generate_subscripts(regexp_extract_all(text, '(?s).'), 1) AS i))) AS mirrored,
       lpad(lang, 5, '*') AS padded, rpad(lang, 5, '-') AS padded_right,
-      concat_ws('/', lang, source) AS path, levenshtein(lang, source) AS edits, translate(source, 'src', 'SRC') AS swapped,
+      concat_ws('/', lang, source) AS path, CAST(levenshtein(lang, source) AS INT) AS edits, translate(source, 'src', 'SRC') AS swapped,
       replace(source, 'src', '') AS bare, repeat(lang, 3) AS thrice, lang AS trimmed,
       lang AS left_trimmed, ascii(lang) AS code, chr(CAST(65 + length(lang) AS INT)) AS letter,
       starts_with(text, 'The') AS opens, suffix(text, '.') AS closes, lower(to_hex(doc_id)) AS hexed,

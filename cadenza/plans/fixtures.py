@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from cadenza.operators import catalog
-from cadenza.session import configure
+from cadenza.session import configure, spread
 
 EMPTY_ARTISTS = "id string, owner_user_id string, name string"
 EMPTY_ALBUMS = (
@@ -34,9 +34,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
-def royalties(spark: SparkSession, sf: str, *extra: str) -> DataFrame:
-    """The royalty table; `extra` names of dataset_id, owner_user_id, line."""
-    line = table(spark, sf, "lineitem").alias("l")
+def royalties(spark: SparkSession, sf: str, *extra: str, costly: bool = False) -> DataFrame:
+    """The royalty table; `extra` names of dataset_id, owner_user_id, line.
+
+    `costly` tells that much work per row follows, so few files are spread.
+    """
+    line = table(spark, sf, "lineitem")
+    line = (spread(line) if costly else line).alias("l")
     orders = table(spark, sf, "orders").alias("o")
     customer = table(spark, sf, "customer").alias("c")
     nation = table(spark, sf, "nation").alias("n")
@@ -101,7 +105,7 @@ COLUMNS = (
 
 def raw_cells(spark: SparkSession, sf: str) -> DataFrame:
     """Royalty rows as untidy report cells: the line number picks how untidy."""
-    return royalties(spark, sf, "dataset_id", "line").selectExpr(
+    return royalties(spark, sf, "dataset_id", "line", costly=True).selectExpr(
         "isrc", "upc", "title", "artist", "album", "platform", "territory",
         "transaction_type", "currency", "dataset_id",
         "CASE line WHEN 1 THEN date_format(reporting_date, 'yyyy-MM-dd') "
@@ -197,7 +201,7 @@ def raw_report(spark: SparkSession, sf: str, source: str, *carried: str) -> Data
 
 
 def owned_items(spark: SparkSession, sf: str) -> DataFrame:
-    return catalog.catalog_items(royalties(spark, sf, "owner_user_id"))
+    return catalog.catalog_items(royalties(spark, sf, "owner_user_id", costly=True))
 
 
 def single_owner_items(spark: SparkSession, sf: str) -> DataFrame:

@@ -834,7 +834,8 @@ SHOWN = "n.isrc, n.platform, n.reporting_date, n.net_revenue"
 
 
 def _payable(spark, sf):
-    return royalties(spark, sf).select("isrc", "platform", "reporting_date", "net_revenue")
+    rows = royalties(spark, sf, costly=True)
+    return rows.select("isrc", "platform", "reporting_date", "net_revenue")
 
 
 @query(
@@ -862,7 +863,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     frames = fx_data.label_catalog(spark, sf)
-    return splits.payout_by_payee(royalties(spark, sf), frames["tracks"], frames["splits"])
+    return splits.payout_by_payee(_payable(spark, sf), frames["tracks"], frames["splits"])
 
 
 @query(
@@ -915,7 +916,7 @@ RATE_SQL = "CASE WHEN r.currency = 'USD' THEN CAST(1 AS DECIMAL(10,6)) ELSE rate
     LEFT JOIN fx_rates f ON f.currency_code = r.currency AND f.date = r.reporting_date""",
 )
 def _(spark, sf):
-    return fx.convert_exact(royalties(spark, sf), fx_data.fx_rates(spark, sf)).select(*FX_SHOWN)
+    return fx.convert_exact(royalties(spark, sf, costly=True), fx_data.fx_rates(spark, sf)).select(*FX_SHOWN)
 
 
 @query(
@@ -926,7 +927,7 @@ def _(spark, sf):
     ASOF LEFT JOIN fx_rates f ON f.currency_code = r.currency AND f.date <= r.reporting_date""",
 )
 def _(spark, sf):
-    return fx.convert_as_of(royalties(spark, sf), fx_data.fx_rates(spark, sf)).select(*FX_SHOWN)
+    return fx.convert_as_of(royalties(spark, sf, costly=True), fx_data.fx_rates(spark, sf)).select(*FX_SHOWN)
 
 
 @query(

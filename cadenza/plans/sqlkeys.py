@@ -259,7 +259,8 @@ def _(spark, sf):
     FROM royalty_data ORDER BY artist, platform, reporting_date, net_revenue DESC, isrc""",
 )
 def _(spark, sf):
-    rows = royalties(spark, sf).select("artist", "platform", "reporting_date", "net_revenue", "isrc")
+    rows = royalties(spark, sf, costly=True)
+    rows = rows.select("artist", "platform", "reporting_date", "net_revenue", "isrc")
     order = [F.asc("reporting_date"), F.desc("net_revenue"), F.asc("isrc")]
     return distinct_on(rows, ["artist", "platform"], order)
 

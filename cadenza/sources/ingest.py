@@ -17,7 +17,7 @@ from cadenza.operators import catalog
 from cadenza.operators.normalize import dataset_row_counts, normalize, rejects
 from cadenza.schema import DATASET_ID, RequestError
 from cadenza.sources.detect import source_of
-from cadenza.session import staged
+from cadenza.session import spread, staged
 from cadenza.sources.files import processed_path, read_report, staging_path, write_royalties
 
 LEDGER = "dataset_id string, status string, row_count bigint, error_message string"
@@ -153,7 +153,8 @@ def ingest(
     for (source, _), files in sorted(groups.items()):
         raw = read_report(spark, [f["path"] for f in files])
         raw = raw.select("*", F.col("_metadata.file_path").alias("_path"))
-        raw = raw.withColumn(DATASET_ID, stem("_path")).drop("_path")
+        # One file is one reading task; cleaning its cells is spread over more.
+        raw = spread(raw.withColumn(DATASET_ID, stem("_path")).drop("_path"))
         try:
             part, notes = normalize(raw, source), rejects(raw, source)
         except RequestError as error:

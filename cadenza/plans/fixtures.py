@@ -204,17 +204,6 @@ def owned_items(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.catalog_items(royalties(spark, sf, "owner_user_id", costly=True))
 
 
-def single_owner_items(spark: SparkSession, sf: str) -> DataFrame:
-    return catalog.catalog_items(
-        royalties(spark, sf).withColumn("owner_user_id", F.lit("u-label"))
-    )
-
-
-def new_artists(spark: SparkSession, sf: str) -> DataFrame:
-    empty = spark.createDataFrame([], EMPTY_ARTISTS)
-    return catalog.upsert_artists(single_owner_items(spark, sf), empty)
-
-
 def label_catalog(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     """Catalog of one label, kept in the shape the catalog jobs write.
 

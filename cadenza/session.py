@@ -49,12 +49,34 @@ def isolated(spark: SparkSession) -> SparkSession:
     return child
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; make one only where none is set."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share, as `spark.checkpoint.dir` names it.
+
+    Only a local master may do without: it gets a temporary folder. Elsewhere
+    each executor would write to its own disk, so a missing setting is an error.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="cadenza-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    shared_dir(spark)
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_at_exit(spark: SparkSession, path: str) -> None:
+    """Have what was written to `path` deleted when the application ends."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
 
 
 def staged(frame: DataFrame) -> DataFrame:
@@ -64,9 +86,9 @@ def staged(frame: DataFrame) -> DataFrame:
     are lost, and the planner knows its size.
     """
     spark = frame.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/staged-{uuid.uuid4().hex}"
+    path = shared_path(spark, "staged")
     frame.write.parquet(path)
+    drop_at_exit(spark, path)
     return spark.read.schema(frame.schema).parquet(path)
 
 

@@ -93,7 +93,7 @@ def _hash(data: np.ndarray, starts: np.ndarray, word: Kind) -> tuple[np.ndarray,
     return mixed((total[last] - total[first]) * down[first]), first
 
 
-def _cut(data: np.ndarray, word: Kind) -> Iterator[np.ndarray]:
+def cut(data: np.ndarray, word: Kind) -> Iterator[np.ndarray]:
     """One long row in pieces that end after a byte that is no word byte."""
     at = 0
     while at < len(data):
@@ -125,7 +125,7 @@ def words(column: pa.Array, word: Kind) -> Iterator[Words]:
         end = max(row + 1, int(np.searchsorted(starts, starts[row] + PIECE, "right")) - 1)
         own = data[starts[row] : starts[end]]
         if len(own) > PIECE:
-            parts = [_hash(x, np.zeros(0, np.int64), word)[0] for x in _cut(own, word)]
+            parts = [_hash(x, np.zeros(0, np.int64), word)[0] for x in cut(own, word)]
             hashes = np.concatenate(parts)
             counts = np.array([len(hashes)])
         else:

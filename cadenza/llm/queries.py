@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cadenza.llm.decontaminate import contamination
 from cadenza.llm.lang_id import identify_languages
 from cadenza.llm.near_dedup import near_duplicates
 
@@ -30,3 +31,8 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from cadenza.llm.decontaminate import contamination
 from cadenza.llm.lang_id import identify_languages
 from cadenza.llm.near_dedup import near_duplicates
+from cadenza.llm.sharding import shard_documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,3 +37,8 @@ def op7_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(table(spark, sf_dir, "documents"))

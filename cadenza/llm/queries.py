@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cadenza.llm.decontaminate import contamination
 from cadenza.llm.lang_id import identify_languages
+from cadenza.llm.licenses import license_scan
 from cadenza.llm.mixing import mix
 from cadenza.llm.near_dedup import near_duplicates
 from cadenza.llm.sharding import shard_documents
@@ -48,3 +49,8 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))

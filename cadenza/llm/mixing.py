@@ -157,13 +157,17 @@ def mixed_copies(documents: DataFrame, id_column: str = "doc_id", text_column: s
 
 def sized(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
     """The key columns of each row: source_key, doc_id, size and text_hash."""
-    return documents.select(
+    return documents.select(*key_columns(id_column, text_column, source_column))
+
+
+def key_columns(id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> list[Column]:
+    return [
         # A null source is the empty key, others start with a mark.
         F.coalesce(F.concat(F.lit("="), F.col(source_column).cast("string")), F.lit("")).alias("source_key"),
         F.col(id_column).alias("doc_id"),
         F.coalesce(F.regexp_count(text_column, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.coalesce(F.xxhash64(text_column), F.lit(0)).alias("text_hash"),
-    )
+    ]
 
 
 def with_copies(rows: DataFrame, copies: DataFrame) -> DataFrame:

@@ -135,6 +135,15 @@ def assign(frame: DataFrame, key: list[str], shards: int = 8, places: int = PLAC
     return joined.select(*[F.col(f"r.`{c}`") for c in own.columns if c != "__position"], F.col("shard").cast("int").alias("shard"), (F.col("__rank") + F.col("__slot")).alias("slot"))
 
 
+def key_columns(id_column: str = "doc_id", text_column: str = "text") -> list[Column]:
+    text = F.col(text_column)
+    return [
+        F.col(id_column).alias("doc_id"),
+        (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+    ]
+
+
 def shard_documents(documents: DataFrame, shards: int = 8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per row: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
@@ -142,11 +151,6 @@ def shard_documents(documents: DataFrame, shards: int = 8, id_column: str = "doc
     and no checksum; a null doc_id is a key like any other. Rows that agree in
     all of doc_id, size and checksum are dealt as they come, each to one slot.
     """
-    text = F.col(text_column)
-    keys = documents.select(
-        F.col(id_column).alias("doc_id"),
-        (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
-    )
+    keys = documents.select(*key_columns(id_column, text_column))
     placed = assign(keys, ["doc_id", "size", "text_crc32"], shards)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -11,6 +11,7 @@ from cadenza.llm.lang_id import identify_languages
 from cadenza.llm.licenses import license_scan
 from cadenza.llm.mixing import mix
 from cadenza.llm.near_dedup import near_duplicates
+from cadenza.llm.secrets import scan_secrets
 from cadenza.llm.sharding import shard_documents
 from cadenza.llm.warc import round_trip
 
@@ -60,3 +61,8 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages"))
+
+
+@query
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cadenza.llm.decontaminate import contamination
+from cadenza.llm.html_text import main_text
 from cadenza.llm.lang_id import identify_languages
 from cadenza.llm.licenses import license_scan
 from cadenza.llm.mixing import mix
@@ -66,3 +67,8 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))

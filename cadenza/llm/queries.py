@@ -12,6 +12,7 @@ from cadenza.llm.lang_id import identify_languages
 from cadenza.llm.licenses import license_scan
 from cadenza.llm.mixing import mix
 from cadenza.llm.near_dedup import near_duplicates
+from cadenza.llm.nearest import nearest
 from cadenza.llm.secrets import scan_secrets
 from cadenza.llm.sharding import shard_documents
 from cadenza.llm.warc import round_trip
@@ -72,3 +73,8 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages"))
+
+
+@query
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))

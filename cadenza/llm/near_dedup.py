@@ -9,12 +9,14 @@ exact Jaccard similarity reaches the threshold become links.
 With 48 bands of 4 coordinates a pair of similarity 0.75 shares no band with
 probability (1 - 0.75^4)^48, about 1e-8; more similar pairs still less.
 
-Documents with equal sets are one candidate, whatever their number. In a band's
-bucket every set is first checked against the bucket's smallest one, and what is
-linked by then counts as one component. Only pairs that are still in different
-components of a bucket, and whose sizes allow the similarity, are checked after
-that, so a large group of near copies costs one check per member and bucket, not
-one per pair, and no link between components is lost.
+Documents with equal sets are one candidate, whatever their number. Each set is
+first checked against the smallest set of the buckets it shares most often; what
+is linked by then is one component. Buckets that hold one component are done.
+The sets of all others meet once more, across components only, through their
+rarest shingles: of two sets that are similar enough both have a shared one
+among these, at places that leave room for the rest (prefix and position
+filters, which are exact). So a large group of near copies costs a few checks
+per member, not one per pair, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.llm.graph import components
@@ -34,6 +36,7 @@ SHINGLE = 5
 BANDS = 48
 ROWS = 4
 THRESHOLD = 75  # percent
+FIRST = 3  # buckets' smallest sets that each set is checked against first
 
 _ORDER = np.random.Generator(np.random.PCG64(5)).integers(0, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHORT = np.uint64(0xD6E8FEB86659FD93)
@@ -126,6 +129,35 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(other, "b").where(_similar(common, F.size("of_a"), F.size("of_b"))).select("a", "b")
 
 
+def _across(sets: DataFrame) -> DataFrame:
+    """Pairs `a`, `b` of sets in different components that can be similar enough.
+
+    Shingles are ordered by how many of the sets have them. With sizes m and n a
+    similarity of t takes an overlap of t (m + n) / (1 + t), so the first shared
+    shingle has at least that many places from its own to the end in either set.
+    """
+    each = sets.select("node", "component", F.size("shingles").alias("n"), F.xxhash64("shingles").alias("set"), F.explode("shingles").alias("shingle"))
+    often = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    rank = F.row_number().over(Window.partitionBy("node", "set").orderBy(F.col("often").asc_nulls_first(), "shingle"))
+    front = each.join(often, "shingle", "left").withColumn("place", rank)
+    front = front.where((100 * (F.col("n") - F.col("place") + 1) >= THRESHOLD * F.col("n")) & F.col("often").isNotNull())
+    front = staged(front.select("shingle", "node", "component", "n", "place"))
+    l, r = front.alias("l"), front.alias("r")
+    n, m = F.col("l.n"), F.col("r.n")
+
+    def room(size: Column, place: Column) -> Column:
+        return (100 + THRESHOLD) * (size - place + 1) >= THRESHOLD * (n + m)
+
+    fits = (
+        (F.col("l.shingle") == F.col("r.shingle"))
+        & (F.col("l.component") < F.col("r.component"))
+        & (100 * F.least(n, m) >= THRESHOLD * F.greatest(n, m))
+        & room(n, F.col("l.place"))
+        & room(m, F.col("r.place"))
+    )
+    return l.join(r, fits).select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
+
+
 def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept.
 
@@ -148,7 +180,9 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column
     wanted = met.select(F.col("rep").alias("node")).distinct()
     sets = staged(texts.join(wanted, "node", "left_semi").mapInArrow(_sets, "node long, shingles array<long>").distinct())
 
-    tried = met.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
+    shares = met.where("rep <> pivot").groupBy("rep", "pivot").agg(F.count(F.lit(1)).alias("bands"))
+    order = F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("bands"), "pivot"))
+    tried = shares.withColumn("order", order).where(F.col("order") <= FIRST).select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
     # Documents with more than one text tie their sets together.
     several = linkable.join(first, key).select("node", "rep").distinct()
     tied = several.join(several.groupBy("node").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("node", "a"), "node")
@@ -157,17 +191,8 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column
 
     here = met.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     open_ = here.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("bucket")
-    rest = here.join(open_, "bucket").select("bucket", "rep", "n", "component", "pivot")
-    left, right = rest.alias("l"), rest.alias("r")
-    apart = (
-        (F.col("l.bucket") == F.col("r.bucket"))
-        & (F.col("l.component") < F.col("r.component"))
-        & (100 * F.least("l.n", "r.n") >= THRESHOLD * F.greatest("l.n", "r.n"))
-        & (F.col("l.rep") != F.col("l.pivot"))
-        & (F.col("r.rep") != F.col("r.pivot"))
-    )
-    untried = left.join(right, apart).select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b")).distinct()
-    more = staged(_confirmed(untried, sets))
+    apart = staged(here.join(open_, "bucket", "left_semi").select(F.col("rep").alias("node"), "component").distinct())
+    more = staged(_confirmed(_across(sets.join(apart, "node")), sets))
     if more.limit(1).count():
         label = components(links.union(more))
 

@@ -145,93 +145,86 @@ def split_violations(rules: DataFrame) -> DataFrame:
     return per_rule.unionByName(per_target)
 
 
-def _at_level(place: int):
+def _rule(workspace: Column) -> Column:
+    return F.struct(
+        workspace.alias("workspace"),
+        F.col("payee_name").alias("payee_name"),
+        F.col("percentage").alias("percentage"),
+        _from().alias("live_from"),
+        _to().alias("live_to"),
+    )
+
+
+def _with_level(place: int):
     """Lambda that puts the level's place in front of a rule's fields."""
-    fields = ("payee_name", "percentage", "live_from", "live_to")
+    fields = ("workspace", "payee_name", "percentage", "live_from", "live_to")
     return lambda rule: F.struct(
         F.lit(place).alias("level"), *[rule[f].alias(f) for f in fields]
     )
 
 
-def rules_by_isrc(tracks: DataFrame, rules: DataFrame) -> DataFrame:
-    """Each track's isrc with every rule that could ever pay it, as one array.
+def rules_by_track(tracks: DataFrame, rules: DataFrame, key: list[str], workspace: Column) -> DataFrame:
+    """Each track's key with the rules on it, its album or its artist, as one array.
 
-    An array holds the rules of one track, its album, artist and workspace,
-    which the payee limit keeps to some dozens.
+    The payee limit keeps an array to some dozens of rules per workspace that
+    the track is shared with. Rules of whole workspaces are not in it.
     """
-    rule = F.struct(
-        F.col("payee_name").alias("payee_name"),
-        F.col("percentage").alias("percentage"),
-        _from().alias("live_from"),
-        _to().alias("live_to"),
-    )
     targeted = with_target(rules)
     arrays = []
-    joined = tracks.select("isrc", F.col("id").alias("track_id"), "album_id", "artist_id")
-    for place, level in enumerate(LEVELS):
+    joined = tracks.select(*key, F.col("id").alias("track_id"), "album_id", "artist_id")
+    for place, level in enumerate(LEVELS[:-1]):
         name = f"{level}_rules"
         own = targeted.where(F.col("target_kind") == level)
-        if level == "workspace":
-            everywhere = own.agg(F.collect_list(rule).alias(name)).scalar()
-            joined = joined.withColumn(name, everywhere)
-        else:
-            own = own.groupBy(F.col("target_id").alias(f"{level}_id")).agg(
-                F.collect_list(rule).alias(name)
-            )
-            joined = joined.join(own, f"{level}_id", "left")
-        arrays.append(F.transform(F.coalesce(F.col(name), F.array()), _at_level(place)))
-    return joined.select("isrc", F.concat(*arrays).alias("rules"))
-
-
-def _payee(rule: Column) -> Column:
-    level = F.element_at(F.array(*[F.lit(name) for name in LEVELS]), rule["level"] + 1)
-    return F.struct(
-        level.alias("level"),
-        rule["payee_name"].alias("payee_name"),
-        rule["percentage"].alias("percentage"),
-    )
-
+        own = own.groupBy(F.col("target_id").alias(f"{level}_id")).agg(
+            F.collect_list(_rule(workspace)).alias(name)
+        )
+        joined = joined.join(own, f"{level}_id", "left")
+        arrays.append(F.transform(F.coalesce(F.col(name), F.array()), _with_level(place)))
+    return joined.select(*key, F.concat(*arrays).alias("rules"))
 
-def rule_periods(tracks: DataFrame, rules: DataFrame, cascade: bool) -> DataFrame:
-    """For each isrc, periods without change and who is paid in each.
 
-    Columns: isrc, period_from, period_to, payees. All rule logic happens here,
-    on the catalog: days on which a rule starts or has ended cut the periods,
-    and in a cascade only the most specific live level stays. The royalties are
-    then joined once, on isrc, and need no further look at the rules.
-    """
+def _periods(ruled: DataFrame, key: list[str]) -> DataFrame:
+    """The days from OPEN_FROM to OPEN_TO cut where a rule starts or has ended, with the rules live in each part."""
     starts = F.transform("rules", lambda r: r["live_from"])
     stops = F.transform("rules", lambda r: F.date_add(r["live_to"], 1))
-    days = F.array_sort(F.array_distinct(F.concat(starts, stops)))
-
-    def payees(period: Column) -> Column:
-        live = F.filter(
-            "rules",
-            lambda r: (r["live_from"] <= period["start"]) & (r["live_to"] >= period["start"]),
-        )
-        if not cascade:
-            return F.transform(live, _payee)
-        top = F.array_min(F.transform(live, lambda r: r["level"]))
-        return F.transform(F.filter(live, lambda r: r["level"] == top), _payee)
-
+    ends = F.array(F.lit(OPEN_FROM).cast("date"), F.date_add(F.lit(OPEN_TO).cast("date"), 1))
+    days = F.array_sort(F.array_distinct(F.concat(ends, starts, stops)))
     periods = F.transform(
-        F.slice("days", 1, F.greatest(F.size("days") - 1, F.lit(0))),
+        F.slice("days", 1, F.size("days") - 1),
         lambda day, i: F.struct(
             day.alias("start"), F.date_sub(F.get("days", i + 1), 1).alias("stop")
         ),
     )
-    made = (
-        rules_by_isrc(tracks, rules)
-        .withColumn("days", days)
-        .select("isrc", "rules", F.explode(periods).alias("period"))
+
+    def live(period: Column) -> Column:
+        return F.filter(
+            "rules",
+            lambda r: (r["live_from"] <= period["start"]) & (r["live_to"] >= period["start"]),
+        )
+
+    fields = ("level", "workspace", "payee_name", "percentage")
+    return (
+        ruled.withColumn("days", days)
+        .select(*key, "rules", F.explode(periods).alias("period"))
         .select(
-            "isrc",
+            *key,
             F.col("period.start").alias("period_from"),
             F.col("period.stop").alias("period_to"),
-            payees(F.col("period")).alias("payees"),
+            F.transform(live(F.col("period")), lambda r: F.struct(*[r[f].alias(f) for f in fields])).alias("live"),
         )
     )
-    return lookup(made, row_bytes=64 + 64 * F.size("payees"))
+
+
+def _shown(rules: Column) -> Column:
+    names = F.array(*[F.lit(name) for name in LEVELS])
+    return F.transform(
+        rules,
+        lambda r: F.struct(
+            F.element_at(names, r["level"] + 1).alias("level"),
+            r["payee_name"].alias("payee_name"),
+            r["percentage"].alias("percentage"),
+        ),
+    )
 
 
 def _share(revenue: Column, percentage: Column) -> Column:
@@ -240,25 +233,54 @@ def _share(revenue: Column, percentage: Column) -> Column:
     return F.round(part, 9).cast(MONEY)
 
 
-def _paid_by(royalties: DataFrame, periods: DataFrame, as_of: str | None, how: str) -> DataFrame:
-    """Royalties with the payees of their isrc on their own day, or on one given."""
-    r, p = royalties.alias("r"), periods.alias("p")
+def _paid_by(
+    royalties: DataFrame, tracks: DataFrame, rules: DataFrame, as_of: str | None, cascade: bool
+) -> DataFrame:
+    """Royalties with the payees of their track on their own day, or on one given.
+
+    Where royalties name their workspace (`workspace_id`), only its rules pay;
+    where they name their owner, only the owner's tracks count. Royalties
+    without these columns are all of one workspace or owner. All rule logic
+    that the catalog decides is in two tables of periods without change: one
+    per track and one per workspace, so a rule for everything is not copied to
+    each track. A track in no catalog has no payees (null).
+    """
+    by_owner = OWNER in royalties.columns
+    key = ["isrc", OWNER] if by_owner else ["isrc"]
+    workspace = F.col("workspace_id") if "workspace_id" in royalties.columns else F.lit("")
+    near = _periods(rules_by_track(tracks, rules, key, workspace), key)
+    near = lookup(near, row_bytes=64 + 96 * F.size("live"))
+    everywhere = with_target(rules).where(F.col("target_kind") == LEVELS[-1])
+    everywhere = everywhere.groupBy(workspace.alias("of_workspace")).agg(F.collect_list(_rule(workspace)).alias("all_rules"))
+    everywhere = everywhere.select("of_workspace", F.transform("all_rules", _with_level(len(LEVELS) - 1)).alias("rules"))
+    wide = _periods(everywhere, ["of_workspace"])
+    wide = lookup(wide.withColumnRenamed("live", "everywhere"), row_bytes=64 + 96 * F.size("everywhere"))
+
+    r, n, w = royalties.alias("r"), near.alias("n"), wide.alias("w")
     day = F.col("r.reporting_date") if as_of is None else F.lit(as_of).cast("date")
-    paying = (
-        (F.col("r.isrc") == F.col("p.isrc"))
-        & (F.col("p.period_from") <= day)
-        & (F.col("p.period_to") >= day)
-    )
-    return r.join(p, paying, how).select("r.*", "p.payees")
+    own = F.col("r.workspace_id") if "workspace_id" in royalties.columns else F.lit("")
+    paying = (F.col("n.period_from") <= day) & (F.col("n.period_to") >= day)
+    for name in key:
+        paying &= F.col(f"r.{name}") == F.col(f"n.{name}")
+    everyone = (own == F.col("w.of_workspace")) & (F.col("w.period_from") <= day) & (F.col("w.period_to") >= day)
+    joined = r.join(n, paying, "left").join(w, everyone, "left")
+    mine = F.filter("live", lambda rule: rule["workspace"] == own)
+    rest = F.coalesce("everywhere", F.array())
+    if cascade:
+        top = F.array_min(F.transform(mine, lambda rule: rule["level"]))
+        nearest = F.filter(mine, lambda rule: rule["level"] == top)
+        payees = F.when(F.size(mine) > 0, nearest).otherwise(rest)
+    else:
+        payees = F.concat(mine, rest)
+    return joined.select("r.*", F.when(F.col("live").isNotNull(), _shown(payees)).alias("payees"))
 
 
 def payout_fanout(royalties: DataFrame, tracks: DataFrame, rules: DataFrame,
                   as_of: str | None = None) -> DataFrame:
     """One row per royalty row and live rule on any of its levels."""
     keep = royalties.columns
-    periods = rule_periods(tracks, rules, cascade=False)
     return (
-        _paid_by(royalties, periods, as_of, "inner")
+        _paid_by(royalties, tracks, rules, as_of, cascade=False)
         .select(*keep, F.inline("payees"))
         .withColumn("amount", _share(F.col("net_revenue"), F.col("percentage")))
     )
@@ -289,7 +311,7 @@ def payout_cascade(royalties: DataFrame, tracks: DataFrame, rules: DataFrame,
         F.col("percentage").isNull(), (revenue.cast(AMOUNT) - F.col("_spent")).cast(MONEY)
     ).otherwise(_share(revenue, F.col("percentage")))
     return (
-        _paid_by(royalties, rule_periods(tracks, rules, cascade=True), as_of, "left")
+        _paid_by(royalties, tracks, rules, as_of, cascade=True)
         .select(
             *keep,
             F.coalesce(spent, F.lit(0).cast(exact)).alias("_spent"),
@@ -303,11 +325,13 @@ def payout_cascade(royalties: DataFrame, tracks: DataFrame, rules: DataFrame,
 
 def payout_by_payee(royalties: DataFrame, tracks: DataFrame, rules: DataFrame,
                     as_of: str | None = None) -> DataFrame:
-    """What each payee gets in all, and what stays unallocated."""
-    needed = royalties.select("isrc", "reporting_date", "net_revenue")
+    """What each payee gets in all, per workspace where royalties name it, and what stays unallocated."""
+    scope = [c for c in ("workspace_id", OWNER) if c in royalties.columns]
+    needed = royalties.select("isrc", "reporting_date", "net_revenue", *scope)
+    group = [c for c in scope if c == "workspace_id"]
     return (
         payout_cascade(needed, tracks, rules, as_of)
-        .groupBy("payee_name")
+        .groupBy(*group, "payee_name")
         .agg(F.sum("amount").alias("amount"), F.count("*").alias("payments"))
     )
 
@@ -317,17 +341,19 @@ def with_catalog(royalties: DataFrame, tracks: DataFrame, albums: DataFrame,
     """Royalties with the ids and names their catalog entries carry.
 
     The three catalog tables are joined with each other first: the royalties
-    then need one join, on isrc.
+    then need one join, on isrc, and on the owner where they name it (an isrc is
+    unique within an owner only).
     """
+    key = ["isrc", OWNER] if OWNER in royalties.columns else ["isrc"]
     entry = (
         tracks.select("isrc", F.col("id").alias("track_id"), "album_id", "artist_id", OWNER)
         .join(albums.select(F.col("id").alias("album_id"), F.col("title").alias("album_title")),
               "album_id", "left")
         .join(artists.select(F.col("id").alias("artist_id"), F.col("name").alias("artist_name")),
               "artist_id", "left")
-        .drop(OWNER)
     )
-    return royalties.join(lookup(entry, row_bytes=256), "isrc", "left")
+    entry = entry if OWNER in key else entry.drop(OWNER)
+    return royalties.join(lookup(entry, row_bytes=256), key, "left")
 
 
 def orphans(royalties: DataFrame, tracks: DataFrame) -> DataFrame:

@@ -882,6 +882,87 @@ def _(spark, sf):
     return joined.select("isrc", "platform", "net_revenue", "track_id", "album_title", "artist_name")
 
 
+# Two workspaces of two owners: every royalty belongs to one, each owner has all
+# tracks under the same isrcs, and each workspace has its share of the rules.
+TWO_CTES = PAY + """, owned AS (
+  SELECT row_number() OVER () AS rn, r.* EXCLUDE (owner_user_id), 'ws-' || length(platform) % 2 AS workspace_id,
+    'u-' || length(platform) % 2 AS owner_user_id FROM royalty_data r
+), two_tracks AS (
+  SELECT 'u-' || k AS owner_user_id, 'u' || k || id AS id, 'u' || k || album_id AS album_id,
+    'u' || k || artist_id AS artist_id, isrc FROM tracks, (VALUES (0), (1)) v(k)
+), two_rules AS (
+  SELECT 'ws-' || k AS workspace_id, 'u' || k || track_id AS track_id, 'u' || k || album_id AS album_id,
+    'u' || k || artist_id AS artist_id, payee_name || ' of ' || k AS payee_name, percentage,
+    coalesce(effective_from, DATE '1900-01-01') AS d1, coalesce(effective_to, DATE '2099-12-31') AS d2
+  FROM splits, (VALUES (0), (1)) v(k) WHERE k = 0 OR length(id) % 2 = 0
+), found AS (
+  SELECT o.rn, o.workspace_id, o.net_revenue, s.payee_name, s.percentage,
+    CASE WHEN s.track_id IS NOT NULL THEN 0 WHEN s.album_id IS NOT NULL THEN 1
+      WHEN s.artist_id IS NOT NULL THEN 2 ELSE 3 END AS lvl
+  FROM owned o JOIN two_tracks t ON t.isrc = o.isrc AND t.owner_user_id = o.owner_user_id
+  JOIN two_rules s ON s.workspace_id = o.workspace_id AND o.reporting_date BETWEEN s.d1 AND s.d2
+    AND coalesce(s.track_id, t.id) = t.id
+    AND (s.track_id IS NOT NULL OR coalesce(s.album_id, t.album_id) = t.album_id)
+    AND (s.track_id IS NOT NULL OR s.album_id IS NOT NULL OR coalesce(s.artist_id, t.artist_id) = t.artist_id)
+), paid AS (
+  SELECT rn, workspace_id, payee_name,
+    CAST(round(CAST(net_revenue AS DECIMAL(22,9)) * percentage * CAST(0.01 AS DECIMAL(3,2)), 9) AS DECIMAL(38,9)) AS amount
+  FROM (SELECT *, min(lvl) OVER (PARTITION BY rn) AS nearest FROM found) f WHERE lvl = nearest
+), every AS (
+  SELECT workspace_id, payee_name, amount FROM paid
+  UNION ALL
+  SELECT o.workspace_id, 'UNALLOCATED', CAST(o.net_revenue - coalesce(p.spent, 0) AS DECIMAL(38,9))
+  FROM owned o LEFT JOIN (SELECT rn, sum(amount) AS spent FROM paid GROUP BY rn) p USING (rn)
+)
+"""
+
+
+def _two_of_each(frame, *ids: str, owner: bool = True):
+    """Rows once per owner, their ids told apart."""
+    twice = frame.withColumn("k", F.explode(F.array(F.lit("0"), F.lit("1"))))
+    for name in ids:
+        twice = twice.withColumn(name, F.concat(F.lit("u"), "k", name))
+    return twice.withColumn("owner_user_id", F.concat(F.lit("u-"), "k")) if owner else twice
+
+
+def _owned(rows):
+    which = (F.length("platform") % 2).cast("string")
+    return rows.withColumn("workspace_id", F.concat(F.lit("ws-"), which)).withColumn("owner_user_id", F.concat(F.lit("u-"), which))
+
+
+@query(
+    "payout_two_workspaces",
+    TWO_CTES
+    + """SELECT workspace_id, payee_name, CAST(sum(amount) AS DECIMAL(38,9)) AS amount, count(*) AS payments
+    FROM every GROUP BY 1, 2""",
+)
+def _(spark, sf):
+    frames = fx_data.label_catalog(spark, sf)
+    tracks = _two_of_each(frames["tracks"], "id", "album_id", "artist_id")
+    rules = _two_of_each(frames["splits"], "track_id", "album_id", "artist_id", owner=False)
+    rules = rules.where("k = '0' OR length(id) % 2 = 0").withColumn("workspace_id", F.concat(F.lit("ws-"), "k"))
+    rules = rules.withColumn("payee_name", F.concat("payee_name", F.lit(" of "), "k"))
+    return splits.payout_by_payee(_owned(_payable(spark, sf)), tracks, rules)
+
+
+@query(
+    "royalty_catalog_two_owners",
+    R
+    + CATALOG_CTES
+    + """SELECT r.isrc, r.platform, r.net_revenue, 'u-' || length(r.platform) % 2 AS owner_user_id,
+      'u' || length(r.platform) % 2 || t.id AS track_id, al.title AS album_title, ar.name AS artist_name
+    FROM royalty_data r LEFT JOIN tracks t ON t.isrc = r.isrc
+    LEFT JOIN albums al ON al.id = t.album_id LEFT JOIN artists ar ON ar.id = t.artist_id""",
+)
+def _(spark, sf):
+    frames = fx_data.label_catalog(spark, sf)
+    tracks = _two_of_each(frames["tracks"], "id", "album_id", "artist_id")
+    albums = _two_of_each(frames["albums"], "id")
+    artists = _two_of_each(frames["artists"], "id")
+    joined = splits.with_catalog(_owned(royalties(spark, sf)), tracks, albums, artists)
+    return joined.select("isrc", "platform", "net_revenue", "owner_user_id", "track_id", "album_title", "artist_name")
+
+
 @query(
     "royalty_orphans",
     R

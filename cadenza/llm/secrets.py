@@ -221,15 +221,19 @@ _SCANNED = "doc_id long, base array<struct<kind:string,start:long,stop:long,valu
 
 
 class Formats:
-    """An automaton per kind of credential, and the score from which a candidate counts."""
+    """An automaton per kind of credential, and the score from which a candidate counts as one."""
 
     def __init__(self, labelled: dict[str, list[str]]):
         self.automata = {k: Automaton(v) for k, v in sorted(labelled.items()) if v}
-        scores = sorted(self.score(w) for v in labelled.values() for w in v)
-        self.least = max(0.0, scores[int(len(scores) * (1 - SHARE_REACHED))]) if scores else math.inf
+        self.least = {}
+        for kind, automaton in self.automata.items():
+            scores = sorted(automaton.score(w) for w in labelled[kind])
+            self.least[kind] = max(0.0, scores[int(len(scores) * (1 - SHARE_REACHED))])
 
     def score(self, word: str) -> float:
-        return max((a.score(word) for a in self.automata.values()), default=-math.inf)
+        """The best score of the kinds whose threshold it reaches, minus infinity for none."""
+        scores = ((a.score(word), self.least[k]) for k, a in self.automata.items())
+        return max((x for x, least in scores if x >= least), default=-math.inf)
 
 
 def learn_formats(scanned: DataFrame) -> Formats:
@@ -257,7 +261,7 @@ def _digest(formats: Formats):
                 best, more = 0.0, []
                 for c in loose:
                     score = formats.score(c["value"])
-                    if score >= formats.least and all(c["stop"] <= a or b <= c["start"] for a, _, b in own):
+                    if score > -math.inf and all(c["stop"] <= a or b <= c["start"] for a, _, b in own):
                         more.append((c["start"], len(KINDS), c["stop"]))
                         best = max(best, score)
                 names = (*KINDS, LEARNED)

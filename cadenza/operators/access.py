@@ -17,11 +17,16 @@ def role_rank(role: Column) -> Column:
     return rank
 
 
+def _is_role(role: Column) -> Column:
+    return F.coalesce(F.lower(F.trim(role)).isin([name.lower() for name in ROLES]), F.lit(False))
+
+
 def effective_role(requests: DataFrame, workspaces: DataFrame, members: DataFrame) -> DataFrame:
     """Answer each (workspace_id, user_id, required_role) request.
 
     The owner has every right; a member has the stored role. `outcome` is
-    `granted`, `forbidden`, `not a member` or `no workspace`.
+    `granted`, `forbidden`, `not a member` or `no workspace`; asking for a role
+    that does not exist is forbidden.
     """
     known = (
         requests.join(
@@ -44,7 +49,7 @@ def effective_role(requests: DataFrame, workspaces: DataFrame, members: DataFram
     outcome = (
         F.when(F.col("owner").isNull(), "no workspace")
         .when(F.col("role").isNull(), "not a member")
-        .when(role_rank(F.col("role")) >= role_rank(F.col("required_role")), "granted")
+        .when(_is_role(F.col("required_role")) & (role_rank(F.col("role")) >= role_rank(F.col("required_role"))), "granted")
         .otherwise("forbidden")
     )
     return known.withColumn("role", F.when(F.col("owner").isNotNull(), held)).select(

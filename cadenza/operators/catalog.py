@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions.cleaning import blank, trimmed_or_null
 from cadenza.functions.music import natural_id
+from cadenza.operators.access import role_rank
 from cadenza.schema import UNKNOWN_ARTIST
 
 OWNER = "owner_user_id"
@@ -177,24 +178,40 @@ def upsert_tracks(
 
 
 def upsert_named(named: DataFrame, existing: DataFrame, key: list[str]) -> DataFrame:
-    """Existing rows plus those whose key is new (payees by owner and name)."""
-    added = named.dropDuplicates(key).join(existing, key, "left_anti")
+    """Existing rows plus those whose key is new (payees by owner and name).
+
+    Of new rows with one key that with the greatest other columns is taken.
+    """
+    rest = [c for c in named.columns if c not in key]
+    if rest:
+        named = named.groupBy(*key).agg(F.max(F.struct(*rest)).alias("one")).select(*key, "one.*")
+    else:
+        named = named.distinct()
+    added = named.join(existing, key, "left_anti")
     added = added.withColumn("id", natural_id(*[F.col(k) for k in key]))
     return existing.unionByName(added, allowMissingColumns=True)
 
 
 def upsert_members(changes: DataFrame, members: DataFrame) -> DataFrame:
-    """Workspace members after the changes; a known member's role is overwritten."""
+    """Workspace members after the changes; a known member's role is overwritten.
+
+    Of rival changes the latest by `changed_at` holds; among equal times, or
+    without that column, the weaker role, so that no rival gains rights by chance.
+    """
     key = ["workspace_id", "user_id"]
-    new = changes.groupBy(*key).agg(F.max("role").alias("new_role"))
+    when = F.col("changed_at") if "changed_at" in changes.columns else F.lit(0)
+    new = changes.groupBy(*key).agg(F.max_by("role", F.struct(when, -role_rank(F.col("role")), F.col("role"))).alias("new_role"))
     return members.join(new, key, "full").select(
         *key, F.coalesce("new_role", "role").alias("role")
     )
 
 
 def patch(rows: DataFrame, changes: DataFrame, columns: list[str], key: str = "id") -> DataFrame:
-    """Partial update: a null in the change keeps the old value."""
-    new = changes.select(key, *[F.col(c).alias(f"new_{c}") for c in columns])
+    """Partial update: a null in the change keeps the old value.
+
+    Of several changes to one row the greatest value of each column holds.
+    """
+    new = changes.groupBy(key).agg(*[F.max(c).alias(f"new_{c}") for c in columns])
     return rows.join(new, key, "left").select(
         *[F.coalesce(f"new_{c}", c).alias(c) if c in columns else F.col(c) for c in rows.columns]
     )
@@ -214,7 +231,7 @@ def _without(rows: DataFrame, gone: DataFrame, column: str) -> DataFrame:
 
 def delete_albums(gone: DataFrame, catalog: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """Catalog without the albums: their splits go, their tracks lose the album."""
-    ids = gone.select(F.col("id").alias("album_id"), F.lit(True).alias("gone"))
+    ids = gone.select(F.col("id").alias("album_id"), F.lit(True).alias("gone")).distinct()
     tracks = catalog["tracks"]
     cleared = tracks.join(ids, "album_id", "left").withColumn(
         "album_id", F.when(F.col("gone").isNull(), F.col("album_id"))

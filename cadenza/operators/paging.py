@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,12 +27,16 @@ def page(
     newest_first: bool = True,
     created: str = "created_at",
     key: str = "id",
+    well_formed: str | None = None,
 ) -> DataFrame:
     """The page after the row whose id is `cursor`, plus one row if more follow.
 
     The cursor row is found by a scalar subquery, and the page is a top-k, so
-    only page-sized data leaves a task. An unknown cursor gives an empty page.
+    only page-sized data leaves a task. An unknown cursor gives an empty page; a
+    malformed one (`well_formed` is a pattern of ids) gives the first page.
     """
+    if cursor is not None and well_formed is not None and not re.fullmatch(well_formed, cursor):
+        cursor = None
     position = _keyed(rows, created, key)
     if cursor is not None:
         at = rows.where(F.col(key) == cursor).select(position.alias("at")).scalar()

@@ -25,6 +25,74 @@ def require_query(spark: SparkSession, sql: str) -> None:
         raise RequestError(f"The query cannot be planned: {plan}")
 
 
+# Functions that reach beyond the tables, into the JVM, the session or the files.
+OUTSIDE = frozenset(
+    "reflect java_method try_reflect input_file_name input_file_block_start input_file_block_length "
+    "current_user session_user user current_catalog current_database current_schema version read_files "
+    "sql_keywords collations".split()
+)
+
+
+def _walk(node, a_plan, a_subquery):
+    """A parsed plan's nodes and expressions, those of subqueries and named queries too."""
+    yield node
+    inner = [node.children()]
+    if a_plan.isInstance(node):
+        inner.append(node.expressions())
+    for group in inner:
+        for k in range(group.size()):
+            yield from _walk(group.apply(k), a_plan, a_subquery)
+    if a_subquery.isInstance(node):
+        yield from _walk(node.plan(), a_plan, a_subquery)
+    if node.getClass().getSimpleName() == "UnresolvedWith":
+        named = node.cteRelations()
+        for k in range(named.size()):
+            yield from _walk(named.apply(k)._2(), a_plan, a_subquery)
+
+
+def require_inside(spark: SparkSession, sql: str, tables: Tables) -> None:
+    """Refuse relations that are not in `tables` and functions that reach outside.
+
+    Decided on the parsed plan, not on the text, so comments, quoting and case
+    make no difference. A query's own named queries are relations too.
+    """
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    except ParseException as error:
+        raise RequestError(f"Only queries can be run: {error}") from error
+    _refuse(spark, plan, {name.lower() for name in tables})
+
+
+def require_plain(spark: SparkSession, expression: str) -> None:
+    """Refuse an expression that calls a function that reaches outside, or holds a subquery on a table."""
+    try:
+        parsed = spark._jsparkSession.sessionState().sqlParser().parseExpression(expression)
+    except ParseException as error:
+        raise RequestError(f"'{expression}' cannot be read: {error}") from error
+    _refuse(spark, parsed, set())
+
+
+def _refuse(spark: SparkSession, plan, known: set[str]) -> None:
+    named_class = spark._jvm.java.lang.Class.forName
+    catalyst = "org.apache.spark.sql.catalyst"
+    kinds = named_class(f"{catalyst}.plans.QueryPlan"), named_class(f"{catalyst}.expressions.PlanExpression")
+    asked = []
+    for node in _walk(plan, *kinds):
+        kind = node.getClass().getSimpleName()
+        if kind == "UnresolvedWith":
+            named = node.cteRelations()
+            known |= {named.apply(k)._1().lower() for k in range(named.size())}
+        elif kind == "UnresolvedRelation":
+            asked.append(node.multipartIdentifier().mkString("."))
+        elif kind in ("UnresolvedFunction", "UnresolvedTableValuedFunction"):
+            name = (node.nameParts() if kind == "UnresolvedFunction" else node.name()).last()
+            if name.lower() in OUTSIDE:
+                raise RequestError(f"Function '{name}' is not allowed")
+    for name in asked:
+        if name.lower() not in known:
+            raise RequestError(f"Table '{name}' is not known")
+
+
 def run_sql(spark: SparkSession, sql: str, tables: Tables) -> DataFrame:
     """Plan of a query over `tables`, whose frames are built in the new session.
 
@@ -35,11 +103,13 @@ def run_sql(spark: SparkSession, sql: str, tables: Tables) -> DataFrame:
     child = isolated(spark)
     child.conf.set("spark.sql.ansi.enabled", "true")
     child.conf.set("spark.sql.ansi.doubleQuotedIdentifiers", "true")
+    child.conf.set("spark.sql.runSQLOnFiles", "false")
     said = sql.lower()
     compat.register(child, said)
     for name, build in tables.items():
         if name.lower() in said:
             build(child).createOrReplaceTempView(name)
+    require_inside(child, sql, tables)
     require_query(child, sql)
     try:
         return child.sql(sql)

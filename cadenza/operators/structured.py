@@ -9,6 +9,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.operators.sqlrun import require_plain
 from cadenza.schema import DATASET_ID, DIMENSION_COLUMN, DIMENSIONS, ROYALTY_COLUMNS, RequestError
 
 # Metric names and the result column each makes.
@@ -97,6 +98,8 @@ def structured_query(
     if span.get("to"):
         conditions.append(F.col("reporting_date") <= F.lit(span["to"]).cast("date"))
     conditions += [condition(f["field"], f["operator"], f["value"]) for f in filters or []]
+    for text in [*([where] if where else []), *(transform or {}).values()]:
+        require_plain(royalties.sparkSession, text)
     if where:
         conditions.append(F.expr(where))
     rows = where_all(royalties, conditions)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from cadenza.operators import catalog
-from cadenza.session import configure, spread
+from cadenza.session import configure
 
 EMPTY_ARTISTS = "id string, owner_user_id string, name string"
 EMPTY_ALBUMS = (
@@ -34,13 +34,23 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
+def _spread(frame: DataFrame) -> DataFrame:
+    """Rows of a few files over all cores, before work that costs much per row.
+
+    Input with at least as many splits as cores is left alone, so nothing is
+    shuffled where files are many or large.
+    """
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame if frame.rdd.getNumPartitions() >= cores else frame.repartition(cores)
+
+
 def royalties(spark: SparkSession, sf: str, *extra: str, costly: bool = False) -> DataFrame:
     """The royalty table; `extra` names of dataset_id, owner_user_id, line.
 
     `costly` tells that much work per row follows, so few files are spread.
     """
     line = table(spark, sf, "lineitem")
-    line = (spread(line) if costly else line).alias("l")
+    line = (_spread(line) if costly else line).alias("l")
     orders = table(spark, sf, "orders").alias("o")
     customer = table(spark, sf, "customer").alias("c")
     nation = table(spark, sf, "nation").alias("n")

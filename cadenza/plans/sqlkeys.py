@@ -154,7 +154,7 @@ sql(
 sql(
     "sql_join_full",
     f"""SELECT coalesce(x.artist, y.name) AS artist, x.qty, y.percentage
-    FROM (SELECT artist, {QTY} AS qty FROM royalty_data WHERE reporting_date < DATE '1995-02-15' GROUP BY 1) x
+    FROM (SELECT artist, {QTY} AS qty FROM royalty_data GROUP BY 1) x
     FULL JOIN (SELECT a.name, s.percentage FROM artists a JOIN cascading_splits s ON s.artist_id_str = a.id) y
       ON x.artist = y.name""",
 )
@@ -188,7 +188,7 @@ sql(
 sql(
     "sql_join_lateral",
     f"""SELECT a.name, x.rev, x.n FROM artists a,
-    LATERAL (SELECT {REV} AS rev, count(*) AS n FROM royalty_data r WHERE r.artist = a.name AND r.currency = 'EUR') x""",
+    LATERAL (SELECT {REV} AS rev, count(*) AS n FROM royalty_data r WHERE r.artist = a.name) x""",
 )
 
 # --- windows: over frames reduced by an aggregate first ------------------------

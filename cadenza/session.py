@@ -92,16 +92,6 @@ def staged(frame: DataFrame) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
-def spread(frame: DataFrame) -> DataFrame:
-    """Rows of a few files over all cores, before work that costs much per row.
-
-    Input with at least as many splits as cores is left alone, so nothing is
-    shuffled where files are many or large.
-    """
-    cores = frame.sparkSession.sparkContext.defaultParallelism
-    return frame if frame.rdd.getNumPartitions() >= cores else frame.repartition(cores)
-
-
 def parallelism(spark: SparkSession) -> int:
     """How many slices an ordered pass is cut into: follows the cluster's setting."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

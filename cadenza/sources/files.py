@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,42 @@ CSV_READ = {"header": True, "multiLine": True, "escape": '"'}
 CSV_WRITE = {"header": True, "escape": '"', "emptyValue": "", "nullValue": ""}
 
 
+#: Bytes of a file that are looked at before it is read: enough for a header line.
+HEAD_BYTES = 64 * 1024
+
+
+def heads(spark: SparkSession, folder: str, paths: list[str] | None = None) -> list[tuple[str, int, bytes]]:
+    """Path, length and first bytes of each file below a folder, or of the given files.
+
+    Like a file listing this is one short row per file on the driver; only
+    HEAD_BYTES of a file are read, from any store that Spark knows.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    store = root.getFileSystem(conf)
+    if paths is None:
+        paths = []
+        if store.exists(root):
+            listed = store.listFiles(root, True)
+            while listed.hasNext():
+                own = listed.next().getPath()
+                inner = own.toString()[len(store.makeQualified(root).toString()) :]
+                if not any(part[:1] in ("_", ".") for part in inner.strip("/").split("/")):
+                    paths.append(own.toString())
+
+    def head(path: str) -> tuple[str, int, bytes]:
+        file = jvm.org.apache.hadoop.fs.Path(path)
+        stream = store.open(file)
+        try:
+            bounded = jvm.org.apache.commons.io.input.BoundedInputStream(stream, HEAD_BYTES)
+            return path, store.getFileStatus(file).getLen(), bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(bounded))
+        finally:
+            stream.close()
+
+    with ThreadPoolExecutor(16) as pool:
+        return sorted(pool.map(head, paths))
+
+
 def processed_path(root: str, workspace_id: str) -> str:
     return f"{root.rstrip('/')}/workspaces/{workspace_id}/processed"
 
@@ -54,6 +92,15 @@ def write_royalties(rows: DataFrame, path: str) -> None:
     )
 
 
+def clear_datasets(spark: SparkSession, path: str, datasets: list[str]) -> None:
+    """Remove the stored rows of datasets that have none any more."""
+    jvm = spark.sparkContext._jvm
+    for dataset in datasets:
+        name = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(dataset)
+        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/{DATASET_ID}={name}")
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def write_csv(result: DataFrame, path: str) -> None:
     """Result rows as CSV: quotes only where needed, null as nothing."""
     result.write.mode("overwrite").options(**CSV_WRITE).csv(path)

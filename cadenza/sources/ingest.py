@@ -6,10 +6,13 @@ follows the number of distinct headers, not of files.
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
 from collections import defaultdict
 from collections.abc import Mapping
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,10 +20,10 @@ from cadenza.operators import catalog
 from cadenza.operators.normalize import dataset_row_counts, normalize, rejects
 from cadenza.schema import DATASET_ID, RequestError
 from cadenza.sources.detect import source_of
-from cadenza.session import spread, staged
-from cadenza.sources.files import processed_path, read_report, staging_path, write_royalties
+from cadenza.session import staged
+from cadenza.sources.files import clear_datasets, heads, processed_path, read_report, staging_path, write_royalties
 
-LEDGER = "dataset_id string, status string, row_count bigint, error_message string"
+LEDGER = "dataset_id string, status string, row_count bigint, error_message string, updated_at timestamp, seq int"
 CATALOG_TABLES = {
     "artists": catalog.ARTIST_COLUMNS,
     "albums": catalog.ALBUM_COLUMNS,
@@ -58,41 +61,69 @@ def stem(path: str):
     return F.regexp_extract(F.col(path), r"([^/]+?)(\.[^./]*)?$", 1)
 
 
-def staged_files(spark: SparkSession, workspace: Workspace, declared: Mapping[str, str]) -> DataFrame:
+def staged_files(
+    spark: SparkSession,
+    workspace: Workspace,
+    declared: Mapping[str, str],
+    folder: str | None = None,
+    paths: list[str] | None = None,
+) -> DataFrame:
     """Path, dataset id, layout and header line of every staged file."""
-    names = F.lit(None).cast("string")
-    for dataset, name in declared.items():
-        names = F.when(F.col(DATASET_ID) == dataset, name).otherwise(names)
-    files = spark.read.format("binaryFile").load(workspace.staging).withColumn(
-        DATASET_ID, stem("path")
-    )
+    found = [(p, bytearray(head)) for p, _, head in heads(spark, folder or workspace.staging, paths)]
+    files = spark.createDataFrame(found, "path string, content binary").withColumn(DATASET_ID, stem("path"))
+    named = spark.createDataFrame(list(declared.items()), f"{DATASET_ID} string, named string")
     header = F.regexp_extract(F.col("content").cast("string"), r"^([^\r\n]*)", 1)
-    return files.select(
-        "path", DATASET_ID, source_of(names, F.col("content")).alias("source"), header.alias("header")
+    return files.join(named, DATASET_ID, "left").select(
+        "path", DATASET_ID, source_of(F.col("named"), F.col("content")).alias("source"), header.alias("header")
     )
 
 
-def latest_snapshot(spark: SparkSession, workspace: Workspace, name: str, before: int) -> DataFrame:
-    """Newest stored state of a catalog table older than snapshot `before`."""
-    columns = CATALOG_TABLES[name]
-    schema = ", ".join(f"{c} {STRING_BUT.get(c, 'string')}" for c in columns)
+def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
     try:
-        stored = spark.read.schema(f"{schema}, snapshot bigint").parquet(workspace.table(name))
-    except Exception as error:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(error):
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
-    older = stored.where(F.col("snapshot") < before)
-    newest = older.agg(F.max("snapshot")).first()[0]
-    return older.where(F.col("snapshot") == (-1 if newest is None else newest)).select(*columns)
 
 
-def update_catalog(spark: SparkSession, workspace: Workspace, royalties: DataFrame, snapshot: int) -> None:
-    """Write the next catalog snapshot; the old one stays until readers moved on."""
+def committed_snapshot(spark: SparkSession, workspace: Workspace) -> tuple[int, set[str]]:
+    """The newest catalog snapshot that is whole (0 for none), and the runs that made it and those before."""
+    rows = _stored(spark, workspace.table("commits"), "run string, snapshot bigint").collect()  # one per run
+    return max((r["snapshot"] for r in rows), default=0), {r["run"] for r in rows}
+
+
+def read_catalog(spark: SparkSession, workspace: Workspace, name: str) -> DataFrame:
+    """A catalog table as its newest whole snapshot has it; empty where there is none."""
+    return latest_snapshot(spark, workspace, name, committed_snapshot(spark, workspace)[0])
+
+
+def read_ledger(spark: SparkSession, workspace: Workspace) -> DataFrame:
+    """All entries ever written about the workspace's datasets."""
+    return _stored(spark, workspace.table("datasets"), LEDGER)
+
+
+def latest_snapshot(spark: SparkSession, workspace: Workspace, name: str, snapshot: int) -> DataFrame:
+    """A catalog table as of a snapshot."""
+    schema = ", ".join(f"{c} {STRING_BUT.get(c, 'string')}" for c in CATALOG_TABLES[name])
+    return _stored(spark, f"{workspace.table(name)}/snapshot={snapshot}", schema)
+
+
+def update_catalog(spark: SparkSession, workspace: Workspace, royalties: DataFrame, run: str) -> None:
+    """Write the snapshot after the newest committed one, and commit it last.
+
+    A run that was committed before is not applied again; what a broken run
+    left behind is written over by the next one. One run at a time may change a
+    workspace's catalog.
+    """
+    newest, runs = committed_snapshot(spark, workspace)
+    if run in runs:
+        return
+    snapshot = newest + 1
     owned = royalties.withColumn(catalog.OWNER, F.lit(workspace.owner_user_id))
     # Each table's job reads the items, so they are worked out once.
     items = staged(catalog.catalog_items(owned))
-    old = {n: latest_snapshot(spark, workspace, n, snapshot) for n in CATALOG_TABLES}
+    old = {n: latest_snapshot(spark, workspace, n, newest) for n in CATALOG_TABLES}
 
     def store(frame: DataFrame, name: str) -> DataFrame:
         path = f"{workspace.table(name)}/snapshot={snapshot}"
@@ -102,70 +133,86 @@ def update_catalog(spark: SparkSession, workspace: Workspace, royalties: DataFra
     artists = store(catalog.upsert_artists(items, old["artists"]), "artists")
     albums = store(catalog.upsert_albums(items, old["albums"], artists), "albums")
     store(catalog.upsert_tracks(items, old["tracks"], albums, artists), "tracks")
+    made = spark.createDataFrame([(run, snapshot)], "run string, snapshot bigint")
+    made.coalesce(1).write.mode("append").parquet(workspace.table("commits"))
 
 
-def store_batch(
-    spark: SparkSession,
-    workspace: Workspace,
-    rows: DataFrame,
-    bad: DataFrame,
-    failed: list[tuple[str, str]],
-    number: int,
+def write_ledger(
+    spark: SparkSession, workspace: Workspace, run: str, seq: int, entries: list[tuple]
 ) -> None:
-    """Store one batch of normalized rows; running it again changes nothing."""
-    write_royalties(rows, workspace.processed)
-    datasets = rows.select(DATASET_ID).distinct()
-    stored = (
-        spark.read.schema(rows.schema)
-        .parquet(workspace.processed)
-        .join(datasets, DATASET_ID, "left_semi")
-    )
-    bad.write.mode("overwrite").parquet(f"{workspace.table('rejects')}/batch={number}")
-    ready = dataset_row_counts(stored).select(
-        DATASET_ID,
-        F.lit("READY").alias("status"),
-        "row_count",
-        F.lit(None).cast("string").alias("error_message"),
-    )
-    refused = spark.createDataFrame(
-        [(dataset, "FAILED", 0, message) for dataset, message in failed], LEDGER
-    )
-    ready.unionByName(refused).write.mode("overwrite").parquet(
-        f"{workspace.table('datasets')}/batch={number}"
-    )
-    update_catalog(spark, workspace, stored, number)
+    """Add entries (dataset, status, rows, message) to the ledger; a repeated run replaces its own."""
+    now = dt.datetime.now(dt.timezone.utc)
+    rows = [(*entry, now, seq) for entry in entries]
+    path = f"{workspace.table('datasets')}/batch={run}/part={seq}"
+    spark.createDataFrame(rows, LEDGER).coalesce(1).write.mode("overwrite").parquet(path)
 
 
-def ingest(
+def store_batch(
     spark: SparkSession,
     workspace: Workspace,
-    declared: Mapping[str, str] | None = None,
-    number: int = 1,
+    rows: DataFrame | None,
+    bad: DataFrame | None,
+    datasets: list[str],
+    failed: list[tuple[str, str]],
+    run: str,
 ) -> None:
-    """Ingest every staged file. A file that cannot be read is FAILED in the ledger.
+    """Store one batch of normalized rows; running it again changes nothing.
 
-    What comes to the driver is one short row per file, as file listing does.
+    `datasets` are those whose files could be read, also files without a row:
+    they are READY with 0 rows, and rows stored of them earlier go.
+    """
+    counts: dict[str, int] = {}
+    if rows is not None:
+        ready = staged(rows)
+        write_royalties(ready, workspace.processed)
+        bad.write.mode("overwrite").parquet(f"{workspace.table('rejects')}/batch={run}")
+        counts = {r[DATASET_ID]: r["row_count"] for r in dataset_row_counts(ready).collect()}  # one per file
+        update_catalog(spark, workspace, ready, run)
+    clear_datasets(spark, workspace.processed, [d for d in datasets if d not in counts])
+    entries = [(d, "READY", counts.get(d, 0), None) for d in datasets]
+    entries += [(d, "FAILED", 0, message) for d, message in failed]
+    write_ledger(spark, workspace, run, 1, entries)
+
+
+def ingest_files(spark: SparkSession, workspace: Workspace, files: list, run: str) -> None:
+    """Ingest files given as rows of `staged_files`. One that cannot be read is FAILED in the ledger.
+
+    Files are read together only if layout and header are the same, so columns
+    are never taken for others by their place.
     """
+    if not files:
+        return
+    write_ledger(spark, workspace, run, 0, [(f[DATASET_ID], "PROCESSING", 0, None) for f in files])
     groups: dict[tuple[str, str], list] = defaultdict(list)
-    for file in staged_files(spark, workspace, declared or {}).collect():
+    for file in files:
         groups[(file["source"], file["header"])].append(file)
-    rows, bad, failed = None, None, []
-    for (source, _), files in sorted(groups.items()):
-        raw = read_report(spark, [f["path"] for f in files])
+    rows, bad, datasets, failed = None, None, [], []
+    for (source, _), same in sorted(groups.items()):
+        raw = read_report(spark, [f["path"] for f in same])
         raw = raw.select("*", F.col("_metadata.file_path").alias("_path"))
-        # One file is one reading task; cleaning its cells is spread over more.
-        raw = spread(raw.withColumn(DATASET_ID, stem("_path")).drop("_path"))
+        raw = raw.withColumn(DATASET_ID, stem("_path")).drop("_path")
         try:
             part, notes = normalize(raw, source), rejects(raw, source)
         except RequestError as error:
-            failed += [(f[DATASET_ID], str(error)) for f in files]
+            failed += [(f[DATASET_ID], str(error)) for f in same]
             continue
+        datasets += [f[DATASET_ID] for f in same]
         rows = part if rows is None else rows.unionByName(part)
         bad = notes if bad is None else bad.unionByName(notes)
-    if rows is None:
-        refused = [(dataset, "FAILED", 0, message) for dataset, message in failed]
-        spark.createDataFrame(refused, LEDGER).write.mode("overwrite").parquet(
-            f"{workspace.table('datasets')}/batch={number}"
-        )
-        return
-    store_batch(spark, workspace, rows, bad, failed, number)
+    store_batch(spark, workspace, rows, bad, datasets, failed, run)
+
+
+def ingest(
+    spark: SparkSession,
+    workspace: Workspace,
+    declared: Mapping[str, str] | None = None,
+    run: str | None = None,
+) -> str:
+    """Ingest every staged file and return the name of the run, a new one unless given.
+
+    What comes to the driver is one short row per file, as file listing does.
+    """
+    run = run or f"files-{uuid.uuid4().hex}"
+    files = staged_files(spark, workspace, declared or {}).collect()
+    ingest_files(spark, workspace, files, run)
+    return run

@@ -6,15 +6,14 @@ Results match the stored-event forms for everything the watermark has closed.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from cadenza.operators.chains import Rule
-from cadenza.operators.normalize import normalize, rejects
-from cadenza.schema import DATASET_ID
-from cadenza.sources.files import CSV_READ
-from cadenza.sources.ingest import Workspace, stem, store_batch
+from cadenza.sources.ingest import Workspace, ingest_files, staged_files
 from cadenza.streaming.flow import MAX_BATCH, SECOND
 from cadenza.streaming.stateful import LimitProcessor, RunProcessor, ThrottleProcessor
 
@@ -30,28 +29,30 @@ def ingest_stream(
 ) -> StreamingQuery:
     """Ingest all files waiting in a layout's staging folder, then stop.
 
-    Each micro-batch replaces the datasets it read and writes its own ledger,
-    reject and snapshot folders by number, so a repeated batch is harmless.
+    The stream is one of file names; each micro-batch ingests its files as a
+    batch does, by their own headers, so a file that cannot be read is FAILED in
+    the ledger and stops nothing. A run is named by layout, stream and number:
+    a repeated micro-batch replaces what it wrote, and no stream another's.
     """
     folder = f"{workspace.staging}/{source}"
-    header = spark.read.options(**CSV_READ).csv(folder).schema
-    raw = (
-        spark.readStream.schema(header)
-        .options(**CSV_READ)
+    names = (
+        spark.readStream.format("binaryFile")
+        .schema("path string, modificationTime timestamp, length bigint, content binary")
         .option("maxFilesPerTrigger", files_per_batch)
-        .csv(folder)
-        .select("*", F.col("_metadata.file_path").alias("_path"))
-        .withColumn(DATASET_ID, stem("_path"))
-        .drop("_path")
+        .load(folder)
+        .select("path")
     )
+    stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
 
     def store(batch: DataFrame, number: int) -> None:
-        store_batch(
-            spark, workspace, normalize(batch, source), rejects(batch, source), [], number
-        )
+        paths = [r["path"] for r in batch.collect()]  # at most files_per_batch
+        if not paths:
+            return
+        files = staged_files(spark, workspace, {}, folder, paths).withColumn("source", F.lit(source))
+        ingest_files(spark, workspace, files.collect(), f"{source}-{stream}-{number}")
 
     return (
-        raw.writeStream.foreachBatch(store)
+        names.writeStream.foreachBatch(store)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import cleaning
 from cadenza.operators.layouts import CDBABY, DISTROKID, LAYOUTS, TUNECORE, find_column, resolve
+from cadenza.operators.history import dataset_status
 from cadenza.operators.normalize import normalize, rejects
 from cadenza.schema import ROYALTY_COLUMNS, ROYALTY_SCHEMA, STORED_SCHEMA, RequestError
 from cadenza.sources import files
 from cadenza.sources.detect import detect_files, source_by_name, source_of
-from cadenza.sources.ingest import Workspace, ingest
+from cadenza.sources.ingest import Workspace, committed_snapshot, ingest, read_catalog, read_ledger
 from cadenza.streaming.live import ingest_stream
 from tests.conftest import by_name, rows
 
@@ -204,12 +205,23 @@ REPORTS = {
 }
 
 
+def status(spark, workspace):
+    log = dataset_status(read_ledger(spark, workspace))
+    return {r["dataset_id"]: (r["status"], r["row_count"]) for r in log.collect()}
+
+
+def names_in(spark, workspace, table, column):
+    return sorted(r[0] for r in read_catalog(spark, workspace, table).select(column).collect())
+
+
 def test_ingest_files(spark, tmp_path):
     workspace = Workspace(str(tmp_path), "w1", "u1")
     for name, text in REPORTS.items():
         write(tmp_path / "workspaces/w1/staging", name, text)
-    for number in (1, 2):
-        ingest(spark, workspace, number=number)
+    ingest(spark, workspace, run="one")
+    first = rows(read_catalog(spark, workspace, "tracks"))
+    run = ingest(spark, workspace)
+    assert rows(read_catalog(spark, workspace, "tracks")) == first and len(first) == 3
     stored = files.read_royalties(spark, workspace.processed)
     assert stored.select(*ROYALTY_COLUMNS).schema.fieldNames() == ROYALTY_SCHEMA.fieldNames()
     assert rows(stored.select("dataset_id", "isrc", "title", "upc", "net_revenue")) == [
@@ -217,27 +229,65 @@ def test_ingest_files(spark, tmp_path):
         ("ds1", "I2", "D", "", D("0E-9")),
         ("ds2", "I3", "E", "77", D("3.500000000")),
     ]
-    ledger = spark.read.parquet(workspace.table("datasets")).where("batch = 2")
-    assert rows(ledger.select("dataset_id", "status", "row_count")) == [
-        ("ds1", "READY", 2), ("ds2", "READY", 1), ("ds3", "FAILED", 0)
-    ]
+    assert status(spark, workspace) == {"ds1": ("READY", 2), "ds2": ("READY", 1), "ds3": ("FAILED", 0)}
+    ledger = read_ledger(spark, workspace)
     assert ledger.where("status = 'FAILED'").first()["error_message"].startswith("Missing ISRC")
-    first, second = (
-        rows(spark.read.parquet(f"{workspace.table('tracks')}/snapshot={n}")) for n in (1, 2)
-    )
-    assert first == second and len(first) == 3
-    assert spark.read.parquet(workspace.table("rejects")).where("batch = 2").count() == 1
+    assert ledger.where("status = 'PROCESSING'").count() == 6
+    assert spark.read.parquet(workspace.table("rejects")).where(F.col("batch") == run).count() == 1
+    # The same run again changes nothing.
+    entries = ledger.count()
+    ingest(spark, workspace, run="one")
+    assert committed_snapshot(spark, workspace)[0] == 2 and read_ledger(spark, workspace).count() == entries
 
 
-def test_ingest_stream(spark, tmp_path):
+def test_second_batch_keeps_the_first(spark, tmp_path):
+    """Other files, an empty, an emptied, a reordered and a declared one, in runs of their own."""
     workspace = Workspace(str(tmp_path), "w1", "u1")
-    staging = tmp_path / "workspaces/w1/staging/DistroKid"
+    staging = tmp_path / "workspaces/w1/staging"
     write(staging, "ds1.csv", REPORTS["ds1.csv"])
-    checkpoint = str(tmp_path / "checkpoint")
-    assert ingest_stream(spark, workspace, "DistroKid", checkpoint).awaitTermination(120)
-    write(staging, "ds4.csv", REPORTS["ds1.csv"].replace("I1", "I9"))
-    assert ingest_stream(spark, workspace, "DistroKid", checkpoint).awaitTermination(120)
+    ingest(spark, workspace)
+    (staging / "ds1.csv").unlink()
+    header = REPORTS["ds1.csv"].split("\n")[0]
+    write(staging, "empty.csv", header + "\n")
+    write(staging, "ds2.csv", REPORTS["ds2.csv"])
+    write(staging, "turned.csv", "ISRC,Earnings (USD),Song Title,Store,Reporting Month,Artist\nI8,2.5,T,Shop,2026-03,Bob\n")
+    ingest(spark, workspace, declared={"ds2": "cd_baby"})
+    assert names_in(spark, workspace, "artists", "name") == ["Ann", "Bob", "Doe, Jane", "Jane"]
+    assert names_in(spark, workspace, "tracks", "isrc") == ["I1", "I2", "I3", "I8"]
+    assert status(spark, workspace) == {
+        "ds1": ("READY", 2), "ds2": ("READY", 1), "empty": ("READY", 0), "turned": ("READY", 1)
+    }
     stored = files.read_royalties(spark, workspace.processed)
-    assert rows(stored.groupBy("dataset_id").count()) == [("ds1", 2), ("ds4", 2)]
-    newest = spark.read.parquet(f"{workspace.table('tracks')}/snapshot=1")
-    assert rows(newest.select("isrc")) == [("I1",), ("I2",), ("I9",)]
+    assert stored.where("dataset_id = 'turned'").first()["reporting_date"] == dt.date(2026, 3, 1)
+    write(staging, "ds2.csv", REPORTS["ds2.csv"].split("\n")[0] + "\n")
+    ingest(spark, workspace)
+    assert status(spark, workspace)["ds2"] == ("READY", 0)
+    left = files.read_royalties(spark, workspace.processed).select("dataset_id").distinct()
+    assert rows(left) == [("ds1",), ("turned",)]
+
+
+def test_ingest_streams(spark, tmp_path):
+    workspace = Workspace(str(tmp_path), "w1", "u1")
+
+    def run(source):
+        query = ingest_stream(spark, workspace, source, str(tmp_path / f"checkpoint-{source}"))
+        assert query.awaitTermination(120)
+
+    staging = tmp_path / "workspaces/w1/staging"
+    write(staging / "DistroKid", "ds1.csv", REPORTS["ds1.csv"])
+    run("DistroKid")
+    write(staging / "CDBaby", "ds2.csv", REPORTS["ds2.csv"])
+    run("CDBaby")
+    # A file with other columns and one that lacks some do not stop the stream.
+    write(staging / "DistroKid", "ds4.csv", "ISRC,Earnings (USD),Song Title,Store,Reporting Month\nI9,2.5,T,Shop,2026-02\n")
+    write(staging / "DistroKid", "ds5.csv", "Title\nx\n")
+    run("DistroKid")
+    run("DistroKid")
+    stored = files.read_royalties(spark, workspace.processed)
+    assert rows(stored.groupBy("dataset_id").count()) == [("ds1", 2), ("ds2", 1), ("ds4", 1)]
+    assert stored.where("isrc = 'I9'").first()["reporting_date"] == dt.date(2026, 2, 1)
+    assert names_in(spark, workspace, "tracks", "isrc") == ["I1", "I2", "I3", "I9"]
+    assert status(spark, workspace) == {
+        "ds1": ("READY", 2), "ds2": ("READY", 1), "ds4": ("READY", 1), "ds5": ("FAILED", 0)
+    }
+    assert spark.read.parquet(workspace.table("rejects")).count() == 1

@@ -9,6 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from cadenza.operators import access, history, paging, summary
+from cadenza.operators.access import effective_role
+from cadenza.operators.catalog import patch, upsert_members
+from cadenza.operators.paging import page
 from cadenza.operators.sqlrun import run_sql
 from cadenza.operators.structured import structured_query
 from cadenza.operators.windows import distinct_on, over_groups
@@ -206,3 +209,58 @@ def test_history_and_roles(spark):
         ("w", "odd", "Viewer", "granted"), ("w", "own", "Owner", "granted"),
         ("w", "view", "Viewer", "forbidden"), ("x", "own", None, "no workspace"),
     ]
+
+
+@pytest.mark.parametrize(
+    "sql",
+    [
+        "SELECT * FROM csv.`/etc/passwd`",
+        "SELECT /* x */ ReFlect('java.lang.System', 'currentTimeMillis') FROM t",
+        "SELECT * FROM t WHERE x IN (SELECT z FROM hidden)",
+        "SELECT (SELECT max(v) FROM hidden) FROM t",
+        "WITH a AS (SELECT * FROM hidden) SELECT * FROM a",
+        "SELECT sum(x) OVER (ORDER BY java_method('a', 'b')) FROM t",
+        "SELECT * FROM t, LATERAL (SELECT try_reflect('java.lang.Math', 'abs', x))",
+    ],
+)
+def test_sql_stays_with_its_tables(spark, sql):
+    spark.range(3).createOrReplaceTempView("hidden")
+    with pytest.raises(RequestError):
+        run_sql(spark, sql, {"t": lambda s: s.range(3).toDF("x")})
+
+
+def test_sql_uses_its_own_named_queries(spark):
+    got = run_sql(spark, "WITH q AS (SELECT 1 z) SELECT x FROM t WHERE x IN (SELECT z FROM q)", {"t": lambda s: s.range(3).toDF("x")})
+    assert rows(got) == [(1,)]
+
+
+def test_expressions_stay_inside(spark):
+    frame = spark.createDataFrame([], STORED_SCHEMA)
+    for text in ("reflect('java.lang.System', 'currentTimeMillis') > 0", "isrc IN (SELECT x FROM hidden)"):
+        with pytest.raises(RequestError):
+            structured_query(frame, ["isrc"], where=text)
+        with pytest.raises(RequestError):
+            structured_query(frame, ["isrc"], transform={"more": text})
+
+
+def test_malformed_cursor_is_the_first_page(spark):
+    listed = spark.createDataFrame([("id-1", 1), ("id-2", 2)], "id string, created_at int")
+    assert page(listed, "???", well_formed=r"id-\d+").count() == 2
+    assert page(listed, "id-9", well_formed=r"id-\d+").count() == 0
+
+
+def test_unknown_required_role_is_forbidden(spark):
+    asked = spark.createDataFrame([("w", "u", "Overlord"), ("w", "u", "viewer")], "workspace_id string, user_id string, required_role string")
+    spaces = spark.createDataFrame([("w", "u")], "workspace_id string, owner_user_id string")
+    none = spark.createDataFrame([], "workspace_id string, user_id string, role string")
+    assert {r["required_role"]: r["outcome"] for r in effective_role(asked, spaces, none).collect()} == {"Overlord": "forbidden", "viewer": "granted"}
+
+
+def test_rival_changes_do_not_multiply_rows(spark):
+    listed = spark.createDataFrame([("a", "x", "y")], "id string, n string, m string")
+    twice = spark.createDataFrame([("a", "p", None), ("a", None, "q")], "id string, n string, m string")
+    assert rows(patch(listed, twice, ["n", "m"])) == [("a", "p", "q")]
+    changes = spark.createDataFrame([("w", "u", "Viewer", 2), ("w", "u", "Owner", 1)], "workspace_id string, user_id string, role string, changed_at int")
+    none = spark.createDataFrame([], "workspace_id string, user_id string, role string")
+    assert rows(upsert_members(changes, none)) == [("w", "u", "Viewer")]
+    assert rows(upsert_members(changes.drop("changed_at"), none)) == [("w", "u", "Viewer")]

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cadenza.llm.decontaminate import contamination
+from cadenza.llm.decontaminate import WINDOW, contamination
 from cadenza.llm.html_text import main_text
 from cadenza.llm.lang_id import identify_languages
-from cadenza.llm.licenses import license_scan
+from cadenza.llm.licenses import CONTAINED, PHRASES, TEMPLATES, license_scan
 from cadenza.llm.mixing import mix
 from cadenza.llm.near_dedup import near_duplicates
 from cadenza.llm.nearest import nearest
@@ -25,56 +25,153 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def query(fn):
-    QUERIES[fn.__name__] = fn
-    return fn
-
-
-@query
+def query(sql: str | None = None):
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql is not None:
+            ORACLES[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SPACED = f"regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+')"
+_ALNUM = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+NEAR_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_SPACED} AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + least(len(w), 5) - 1], ' ') AS g
+  FROM d, unnest(range(1, greatest(2, len(w) - 3))) u(i) WHERE len(w) > 0
+),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT x, y FROM common JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 75 * (p.n + q.n - c)
+),
+ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT x, y FROM ways UNION SELECT r.x, b.y FROM reach r JOIN ways b ON r.y = b.x),
+least_of AS (SELECT x, min(y) AS m FROM reach GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id,
+  d.doc_id <= coalesce(m, d.doc_id) AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN least_of ON x = d.doc_id
+"""
+
+LEAKS_SQL = f"""
+WITH d AS (SELECT doc_id, {_ALNUM} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_ALNUM} AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item, least(len(w), {WINDOW}) AS n, array_to_string(w[i:i + least(len(w), {WINDOW}) - 1], ' ') AS k
+  FROM b, unnest(range(1, greatest(2, len(w) - {WINDOW} + 2))) u(i) WHERE len(w) > 0
+),
+places AS (
+  SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS k
+  FROM d, (SELECT DISTINCT n FROM windows) x, unnest(range(1, len(w) - n + 2)) u(i)
+),
+hits AS (SELECT doc_id, item, i, n FROM places JOIN windows USING (n, k)),
+words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM hits, unnest(range(i, i + n)) u(p) GROUP BY 1),
+items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed
+  FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY 1
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(listed, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+_BASE = ", ".join(
+    "list_filter(range(0, len(w)), lambda i: " + " AND ".join(f"w[i + {k + 1}] = '{word}'" for k, word in enumerate(phrase.split())) + f") AS at_{label}"
+    for phrase, label in PHRASES
+)
+_ALL_AT = " || ".join(f"at_{label}" for _, label in PHRASES)
+_BASE_SET = "[" + ", ".join(f"CASE WHEN len(at_{label}) > 0 THEN '{label}' END" for _, label in PHRASES) + "]"
+_TEMPLATE_ROWS = ", ".join(f"({k}, '{label}', {sorted(set(text.split()))})" for k, (label, text) in enumerate(TEMPLATES))
+
+LICENSES_SQL = f"""
+WITH d AS (SELECT doc_id, {_LOWER} AS low, {_ALNUM} AS w FROM documents),
+base AS (SELECT doc_id, w, {_BASE} FROM d),
+templates(t, label, own) AS (VALUES {_TEMPLATE_ROWS}),
+blocks AS (
+  SELECT doc_id, line, list_distinct(regexp_extract_all(block, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS b
+  FROM (SELECT doc_id, unnest(string_split(low, chr(10))) AS block, generate_subscripts(string_split(low, chr(10)), 1) AS line FROM d)
+),
+met AS (
+  SELECT doc_id, line, t, label, own, len(list_intersect(own, b)) AS c FROM blocks, templates
+  WHERE 100 * len(list_intersect(own, b)) >= {CONTAINED} * len(own)
+),
+found AS (
+  SELECT doc_id, list(DISTINCT label) AS found, max(c / len(own)) AS best FROM met m
+  WHERE NOT EXISTS (SELECT 1 FROM met o WHERE o.doc_id = m.doc_id AND o.line = m.line
+    AND len(o.own) > len(m.own) AND list_has_all(o.own, m.own)) GROUP BY 1
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len({_ALL_AT}) AS BIGINT) AS n_base,
+  CAST(list_min({_ALL_AT}) AS BIGINT) AS first_word, CAST(list_max({_ALL_AT}) AS BIGINT) AS last_word,
+  coalesce(array_to_string(list_sort(list_filter({_BASE_SET}, lambda x: x IS NOT NULL)), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_filter({_BASE_SET}, lambda x: x IS NOT NULL) || coalesce(found, CAST([] AS VARCHAR[])))), ','), '') AS labels,
+  CASE WHEN len({_ALL_AT}) > 0 THEN 1.0 ELSE coalesce(best, 0.0) END AS score
+FROM base LEFT JOIN found USING (doc_id)
+"""
+
+WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+h AS (SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes, sha1(body) AS hex, min(page_id) OVER (PARTITION BY body) AS first FROM p)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + ((CAST('0x' || substr(hex, 1 + 5 * (k // 4), 5) AS INTEGER) >> (15 - 5 * (k % 4))) & 31), 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM h
+"""
+
+
+@query(NEAR_SQL)
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-@query
+@query()
 def op7_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
 
-@query
+@query(LEAKS_SQL)
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("n_near")
 
 
-@query
+@query()
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
-@query
+@query()
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
-@query
+@query(LICENSES_SQL)
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
-@query
+@query(WARC_SQL)
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return round_trip(table(spark, sf_dir, "pages"))
+    found = round_trip(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-@query
+@query()
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
-@query
+@query()
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages"))
 
 
-@query
+@query()
 def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"))

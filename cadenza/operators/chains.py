@@ -209,17 +209,17 @@ def runs(
     labelled = T.StructType(
         [*prepared.schema.fields, T.StructField("run_ts", T.LongType()), T.StructField("run_id", T.LongType())]
     )
-    plain, busy = part(prepared, ["_key"], slice_rows)
+    plain, busy, cuts = part(prepared, ["_key"], slice_rows)
     result = (
         plain.repartition("_key")
         .sortWithinPartitions("_key", *order)
         .mapInPandas(_label(rule, incoming=False), labelled)
     )
     if busy is not None:
-        cut = slices(busy, ["_key"], order)
+        cut = slices(busy, ["_key"], order, cuts)
         summaries = cut.select("_key", "_ts", "_id", SLICE).mapInPandas(_summarise(rule), SUMMARY)
         incoming = summaries.groupBy("key").applyInPandas(_chain(rule), INCOMING)
-        # At most one row per slice, and there are as many slices as shuffle partitions.
+        # At most one row per slice.
         entered = cut.join(F.broadcast(incoming), SLICE, "left").select(
             *prepared.columns, *OPEN
         )

@@ -17,14 +17,12 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cadenza.operators.joins import BROADCAST_BYTES
 from cadenza.session import ensure_checkpoint_dir, parallelism, staged
 
 SLICE = "_slice"
 WHOLE = -1
 SLICE_ROWS = 2_000_000
-# Busy keys number at most rows / slice_rows; beyond this many they are joined
-# by shuffle, not broadcast.
-MAX_BROADCAST_KEYS = 200_000
 
 
 @dataclass(frozen=True)
@@ -57,49 +55,54 @@ class Ordered:
         return self.rows.drop(SLICE)
 
 
-def slices(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+def slices(rows: DataFrame, keys: Sequence[str], order: Sequence[str], number: int | None = None) -> DataFrame:
     """Rows cut into equal slices by keys and order, numbered and sorted.
 
-    `order` must tell any two rows of a key apart.
+    There are `number` slices, or as many as shuffle partitions. `order` must tell any two rows of a key apart.
     """
-    spark = rows.sparkSession
-    ensure_checkpoint_dir(spark)
+    ensure_checkpoint_dir(rows.sparkSession)
     by = [*keys, *order]
     return (
-        rows.repartitionByRange(parallelism(spark), *by)
+        rows.repartitionByRange(number or parallelism(rows.sparkSession), *by)
         .sortWithinPartitions(*by)
         .withColumn(SLICE, F.spark_partition_id())
         .checkpoint()
     )
 
 
-def busy_keys(rows: DataFrame, keys: Sequence[str], slice_rows: int) -> DataFrame | None:
-    """Keys with more rows than a slice should hold, or None if there are none."""
-    busy = staged(rows.groupBy(*keys).count().where(F.col("count") > slice_rows).drop("count"))
-    found = busy.count()
-    if found == 0:
+def busy_keys(rows: DataFrame, keys: Sequence[str], slice_rows: int) -> tuple[DataFrame, int] | None:
+    """Keys with more rows than a slice should hold and the slices to cut them into, or None if there are none."""
+    counted = staged(rows.groupBy(*keys).count().where(F.col("count") > slice_rows))
+    text = sum((F.coalesce(F.octet_length(F.col(k).cast("string")), F.lit(0)) + 32 for k in keys), F.lit(0))
+    found = counted.agg(F.sum("count").alias("rows"), F.sum(text).alias("bytes")).first()
+    if not found["rows"]:
         return None
-    return F.broadcast(busy) if found <= MAX_BROADCAST_KEYS else busy
-
-
-def part(rows: DataFrame, keys: Sequence[str], slice_rows: int) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of ordinary keys, and rows of busy ones if there are any."""
-    busy = busy_keys(rows, keys, slice_rows)
-    if busy is None:
-        return rows, None
+    busy = counted.drop("count")
+    cuts = max(parallelism(rows.sparkSession), -(-found["rows"] // slice_rows))
+    return (F.broadcast(busy) if found["bytes"] <= BROADCAST_BYTES else busy), cuts
+
+
+def part(
+    rows: DataFrame, keys: Sequence[str], slice_rows: int
+) -> tuple[DataFrame, DataFrame | None, int]:
+    """Rows of ordinary keys, rows of busy ones if there are any, and the slices to cut these into."""
+    found = busy_keys(rows, keys, slice_rows)
+    if found is None:
+        return rows, None, 0
+    busy, cuts = found
     same = [F.col(f"r.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
     left, right = rows.alias("r"), busy.alias("b")
-    return left.join(right, same, "left_anti"), left.join(right, same, "left_semi")
+    return left.join(right, same, "left_anti"), left.join(right, same, "left_semi"), cuts
 
 
 def ordered(
     rows: DataFrame, keys: Sequence[str], order: Sequence[str], slice_rows: int = SLICE_ROWS
 ) -> Ordered:
-    plain, busy = part(rows, keys, slice_rows)
+    plain, busy, cuts = part(rows, keys, slice_rows)
     whole = plain.withColumn(SLICE, F.lit(WHOLE))
     if busy is None:
         return Ordered(whole, tuple(keys), tuple(order), False)
-    both = whole.unionByName(slices(busy, keys, order))
+    both = whole.unionByName(slices(busy, keys, order, cuts))
     return Ordered(both, tuple(keys), tuple(order), True)
 
 

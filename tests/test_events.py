@@ -198,6 +198,14 @@ def test_slices_are_even_and_stable(spark, data):
     assert rows(cut) == rows(cut)
 
 
+def test_slices_hold_what_they_should(spark):
+    """As many slices as the busy rows need, also beyond the shuffle partitions."""
+    frame = spark.range(4000).selectExpr("id", "'k' AS key", "id AS ts")
+    data = od.ordered(frame, ["key"], ["ts"], slice_rows=100)
+    sizes = [r["count"] for r in data.rows.groupBy(od.SLICE).count().collect()]
+    assert len(sizes) >= 30 and max(sizes) <= 250 and sum(sizes) == 4000
+
+
 def test_batch_bounds(data):
     _, frame = data
     with pytest.raises(ValueError, match="max_size"):

@@ -797,6 +797,37 @@ def _(spark, sf):
     return splits.split_violations(fx_data.splits(spark, sf))
 
 
+# Every supplier is a payee of one album and a rule of its own, wrong in ways that follow from its keys.
+HARD_CTE = """WITH splits AS (
+  SELECT 'sp-' || s_suppkey AS id, 'ws-label' AS workspace_id, NULL::VARCHAR AS artist_id, 'al-all' AS album_id,
+    NULL::VARCHAR AS track_id, CASE WHEN s_suppkey % 7 = 0 THEN '  ' ELSE s_name END AS payee_name,
+    CAST((s_suppkey % 3) * 50.01 AS DECIMAL(5,2)) AS percentage,
+    CASE WHEN s_nationkey % 2 = 0 THEN DATE '2000-01-01' ELSE DATE '1996-01-01' END AS effective_from,
+    CASE WHEN s_nationkey % 3 = 0 THEN DATE '1999-12-31' END AS effective_to FROM supplier
+)"""
+
+
+@query(
+    "split_violations_hard",
+    HARD_CTE
+    + """SELECT workspace_id, id AS subject, 'ends before it starts' AS reason FROM splits WHERE effective_from > effective_to
+    UNION ALL SELECT workspace_id, id, 'percentage out of range' FROM splits WHERE percentage < 0.01 OR percentage > 100
+    UNION ALL SELECT workspace_id, id, 'blank payee' FROM splits WHERE trim(payee_name) = ''
+    UNION ALL SELECT workspace_id, album_id, 'total over 100' FROM splits GROUP BY 1, 2 HAVING sum(percentage) > 100
+    UNION ALL SELECT workspace_id, album_id, 'too many payees' FROM splits GROUP BY 1, 2 HAVING count(*) > 50""",
+)
+def _(spark, sf):
+    rules = table(spark, sf, "supplier").selectExpr(
+        "concat('sp-', s_suppkey) AS id", "'ws-label' AS workspace_id", "CAST(NULL AS STRING) AS artist_id",
+        "'al-all' AS album_id", "CAST(NULL AS STRING) AS track_id", "concat('pa-', s_suppkey) AS payee_id",
+        "CASE WHEN s_suppkey % 7 = 0 THEN '  ' ELSE s_name END AS payee_name",
+        "CAST((s_suppkey % 3) * 50.01 AS DECIMAL(5,2)) AS percentage",
+        "CASE WHEN s_nationkey % 2 = 0 THEN DATE'2000-01-01' ELSE DATE'1996-01-01' END AS effective_from",
+        "CASE WHEN s_nationkey % 3 = 0 THEN DATE'1999-12-31' END AS effective_to",
+    )
+    return splits.split_violations(rules)
+
+
 # Payments per royalty row and rule, at every level, told apart by row number.
 PAID_CTES = PAY + """, numbered AS (
   SELECT row_number() OVER () AS rn, r.*, t.id AS track_id, t.album_id, t.artist_id

@@ -90,7 +90,13 @@ def _(spark, sf):
     )
 
 
-@query("result_json")
+@query(
+    "result_json",
+    R
+    + """SELECT '[' || to_json(platform) || ',' || to_json(territory) || ',' ||
+      CAST(CAST(sum(net_revenue) AS DECIMAL(38,9)) AS VARCHAR) || ',' || CAST(sum(quantity) AS VARCHAR) || ']' AS "row"
+    FROM royalty_data GROUP BY platform, territory""",
+)
 def _(spark, sf):
     result = structured.structured_query(
         royalties(spark, sf), ["platform", "territory"], ["net_revenue", "quantity"], limit=None

@@ -93,6 +93,15 @@ sql(
       approx_percentile(quantity, 0.95) AS p95 FROM royalty_data GROUP BY platform""",
     oracle=False,
 )
+sql(
+    "sql_approx_close",
+    """SELECT platform,
+      abs(approx_count_distinct(isrc) - count(DISTINCT isrc)) <= 0.1 * count(DISTINCT isrc) AS tracks_close,
+      abs(approx_percentile(quantity, 0.5) - percentile(quantity, 0.5)) <= 1 AS p50_close,
+      abs(approx_percentile(quantity, 0.95) - percentile(quantity, 0.95)) <= 1 AS p95_close
+    FROM royalty_data GROUP BY platform""",
+    "SELECT platform, true AS tracks_close, true AS p50_close, true AS p95_close FROM royalty_data GROUP BY platform",
+)
 sql(
     "sql_agg_filter",
     f"""SELECT currency, CAST(SUM(net_revenue) FILTER (WHERE transaction_type = 'R') AS DECIMAL(38,9)) AS returned,

@@ -10,7 +10,7 @@ from tests.conftest import SF
 from tests.oracle import connect, difference
 
 # The training-data queries have tests of their own.
-ROWS_ONLY = {"result_json", "sql_approx"}
+ROWS_ONLY = {"sql_approx"}
 
 
 @pytest.fixture(scope="module")

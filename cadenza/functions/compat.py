@@ -34,11 +34,38 @@ FUNCTIONS = (
     "date_bin(seconds BIGINT, ts TIMESTAMP, origin TIMESTAMP) RETURNS TIMESTAMP RETURN "
     "timestamp_micros(unix_micros(origin) + "
     "(unix_micros(ts) - unix_micros(origin) - pmod(unix_micros(ts) - unix_micros(origin), seconds * 1000000)))",
+    "digest(s STRING, m STRING) RETURNS BINARY RETURN unhex(CASE lower(m) WHEN 'md5' THEN md5(s) "
+    "WHEN 'sha224' THEN sha2(s, 224) WHEN 'sha256' THEN sha2(s, 256) WHEN 'sha384' THEN sha2(s, 384) "
+    "WHEN 'sha512' THEN sha2(s, 512) END)",
+    "map_extract(m MAP<STRING, STRING>, k STRING) RETURNS ARRAY<STRING> "
+    "RETURN IF(map_contains_key(m, k), array(m[k]), array())",
 )
 
+# Built-in functions under a second name; aggregates and functions of any type need this form.
+ALIASES = {
+    "approx_distinct": "approx_count_distinct",
+    "approx_median": "median",
+    "approx_percentile_cont": "approx_percentile",
+    "array_length": "array_size",
+    "arrow_typeof": "typeof",
+    "generate_series": "sequence",
+    "make_array": "array",
+    "unnest": "explode",
+}
+
+
+def _alias(spark: SparkSession, name: str, known: str) -> None:
+    catalyst = spark._jvm.org.apache.spark.sql.catalyst
+    registry = spark._jsparkSession.sessionState().functionRegistry()
+    source, target = catalyst.FunctionIdentifier(known), catalyst.FunctionIdentifier(name)
+    registry.registerFunction(target, registry.lookupFunction(source).get(), registry.lookupFunctionBuilder(source).get())
+
 
 def register(spark: SparkSession, said: str) -> None:
     """Make the functions a text names (in lower case) known to one session."""
     for definition in FUNCTIONS:
         if definition.split("(", 1)[0] in said:
             spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {definition}")
+    for name, known in ALIASES.items():
+        if name in said:
+            _alias(spark, name, known)

@@ -93,6 +93,28 @@ sql(
       approx_percentile(quantity, 0.95) AS p95 FROM royalty_data GROUP BY platform""",
     oracle=False,
 )
+sql(
+    "fn_alias_array",
+    """SELECT platform, array_length(make_array(platform, currency, artist)) AS three,
+      generate_series(1, 5, 2) AS odd, CAST(sum(quantity) AS BIGINT) AS qty FROM royalty_data GROUP BY platform, currency, artist""",
+    """SELECT platform, CAST(3 AS INTEGER) AS three, [1, 3, 5] AS odd,
+      CAST(sum(quantity) AS BIGINT) AS qty FROM royalty_data GROUP BY platform, currency, artist""",
+)
+sql(
+    "fn_alias_approx",
+    """SELECT platform, abs(approx_distinct(isrc) - count(DISTINCT isrc)) <= 0.1 * count(DISTINCT isrc) AS tracks_close,
+      abs(approx_percentile_cont(quantity, 0.5) - median(quantity)) <= 1 AS p50_close,
+      approx_median(quantity) = median(quantity) AS same, arrow_typeof(max(isrc)) = 'string' AS is_text
+    FROM royalty_data GROUP BY platform""",
+    """SELECT platform, true AS tracks_close, true AS p50_close, true AS same, true AS is_text
+    FROM royalty_data GROUP BY platform""",
+)
+sql(
+    "fn_alias_digest",
+    """SELECT isrc, lower(hex(digest(isrc, 'md5'))) AS md, lower(hex(digest(isrc, 'sha256'))) AS sha,
+      map_extract(map('k', isrc), 'k') AS found, map_extract(map('k', isrc), 'z') AS missing FROM royalty_data""",
+    """SELECT isrc, md5(isrc) AS md, sha256(isrc) AS sha, [isrc] AS found, CAST([] AS VARCHAR[]) AS missing FROM royalty_data""",
+)
 sql(
     "sql_approx_close",
     """SELECT platform,

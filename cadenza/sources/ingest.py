@@ -21,7 +21,7 @@ from cadenza.operators.normalize import dataset_row_counts, normalize, rejects
 from cadenza.schema import DATASET_ID, RequestError
 from cadenza.sources.detect import source_of
 from cadenza.session import staged
-from cadenza.sources.files import clear_datasets, heads, processed_path, read_report, staging_path, write_royalties
+from cadenza.sources.files import clear_datasets, heads, processed_path, read_report, read_royalties, staging_path, write_royalties
 
 LEDGER = "dataset_id string, status string, row_count bigint, error_message string, updated_at timestamp, seq int"
 CATALOG_TABLES = {
@@ -103,6 +103,14 @@ def read_ledger(spark: SparkSession, workspace: Workspace) -> DataFrame:
     return _stored(spark, workspace.table("datasets"), LEDGER)
 
 
+def tables_of(spark: SparkSession, workspace: Workspace) -> DataFrame:
+    """table_name, column_name, data_type and position of all a workspace's tables."""
+    frames = {"royalty_data": read_royalties(spark, workspace.processed), "datasets": read_ledger(spark, workspace)}
+    frames |= {name: read_catalog(spark, workspace, name) for name in CATALOG_TABLES}
+    rows = [(name, column, kind, k) for name, frame in sorted(frames.items()) for k, (column, kind) in enumerate(frame.dtypes)]
+    return spark.createDataFrame(rows, "table_name string, column_name string, data_type string, position int")
+
+
 def latest_snapshot(spark: SparkSession, workspace: Workspace, name: str, snapshot: int) -> DataFrame:
     """A catalog table as of a snapshot."""
     schema = ", ".join(f"{c} {STRING_BUT.get(c, 'string')}" for c in CATALOG_TABLES[name])

@@ -15,7 +15,7 @@ from cadenza.operators.normalize import normalize, rejects
 from cadenza.schema import ROYALTY_COLUMNS, ROYALTY_SCHEMA, STORED_SCHEMA, RequestError
 from cadenza.sources import files
 from cadenza.sources.detect import detect_files, source_by_name, source_of
-from cadenza.sources.ingest import Workspace, committed_snapshot, ingest, read_catalog, read_ledger
+from cadenza.sources.ingest import Workspace, committed_snapshot, ingest, read_catalog, read_ledger, tables_of
 from cadenza.streaming.live import ingest_stream
 from tests.conftest import by_name, rows
 
@@ -240,6 +240,12 @@ def test_ingest_files(spark, tmp_path):
     assert committed_snapshot(spark, workspace)[0] == 2 and read_ledger(spark, workspace).count() == entries
 
 
+def test_tables_of_an_empty_workspace(spark, tmp_path):
+    listed = tables_of(spark, Workspace(str(tmp_path), "w1", "u1")).collect()
+    assert {r["table_name"] for r in listed} == {"royalty_data", "datasets", "artists", "albums", "tracks"}
+    assert ("tracks", "isrc", "string") in {tuple(r)[:3] for r in listed}
+
+
 def test_second_batch_keeps_the_first(spark, tmp_path):
     """Other files, an empty, an emptied, a reordered and a declared one, in runs of their own."""
     workspace = Workspace(str(tmp_path), "w1", "u1")

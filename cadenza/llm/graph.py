@@ -13,26 +13,23 @@ def components(links: DataFrame) -> DataFrame:
 
     Large-star and small-star steps in turn: every node hangs its larger, then
     its smaller neighbours on the smallest one it knows. Each turn is written to
-    the shared folder, and the turns end when one changes nothing. A node with
+    the shared folder; they end when every node hangs on one root. A node with
     very many links is only ever a group with a minimum and one side of a join.
     Nulls and links of a node to itself are left out.
     """
     low, high = F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")
     stars = staged(links.where("a <> b").select(high, low).distinct())
-    seen = _state(stars)
-    while seen["n"]:
+    while _unsettled(stars):
         stars = staged(_small_star(_large_star(stars)))
-        now = _state(stars)
-        if now == seen:
-            break
-        seen = now
     return stars.select(F.col("high").alias("node"), F.col("low").alias("component"))
 
 
-def _state(stars: DataFrame) -> dict:
-    # Sums of 32 bits each, so that they do not run over.
-    mark = F.crc32(F.concat_ws(":", "high", "low").cast("binary"))
-    return stars.agg(F.count(F.lit(1)).alias("n"), F.sum(mark).alias("mark")).first().asDict()
+def _unsettled(stars: DataFrame) -> bool:
+    """Whether a node hangs on two others, or on one that hangs on a third."""
+    ends = stars.select(F.col("high").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("holds"))
+    ends = ends.union(stars.select("low", F.lit(0), F.lit(1)))
+    ends = ends.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
+    return bool(ends.where("hangs > 1 or (hangs > 0 and holds > 0)").limit(1).count())
 
 
 def _large_star(stars: DataFrame) -> DataFrame:

@@ -114,7 +114,9 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         own = list(shingle_sets(batch.column(1)))
         values = signed(np.concatenate(own)) if own else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), lists([len(s) for s in own], values, pa.int64())], ["node", "shingles"])
+        sizes = [len(s) for s in own]
+        keys = [_set_keys(s)[0] if len(s) else 0 for s in own]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), lists(sizes, values, pa.int64())], ["node", "set", "n", "shingles"])
 
 
 def _similar(common: Column, one: Column, other: Column) -> Column:
@@ -123,10 +125,10 @@ def _similar(common: Column, one: Column, other: Column) -> Column:
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of candidate pairs `a`, `b` those whose whole sets are similar enough."""
-    one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a"))
-    other = sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b"))
+    one = sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("of_a"))
+    other = sets.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("of_b"))
     common = F.size(F.array_intersect("of_a", "of_b"))
-    return pairs.join(one, "a").join(other, "b").where(_similar(common, F.size("of_a"), F.size("of_b"))).select("a", "b")
+    return pairs.join(one, "a").join(other, "b").where(_similar(common, F.col("n_a"), F.col("n_b"))).select("a", "b")
 
 
 def _across(sets: DataFrame) -> DataFrame:
@@ -136,9 +138,9 @@ def _across(sets: DataFrame) -> DataFrame:
     similarity of t takes an overlap of t (m + n) / (1 + t), so the first shared
     shingle has at least that many places from its own to the end in either set.
     """
-    each = sets.select("node", "component", F.size("shingles").alias("n"), F.xxhash64("shingles").alias("set"), F.explode("shingles").alias("shingle"))
+    each = sets.select("node", "component", "n", "set", F.explode("shingles").alias("shingle"))
     often = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
-    rank = F.row_number().over(Window.partitionBy("node", "set").orderBy(F.col("often").asc_nulls_first(), "shingle"))
+    rank = F.dense_rank().over(Window.partitionBy("node", "set").orderBy(F.col("often").asc_nulls_first(), "shingle"))
     front = each.join(often, "shingle", "left").withColumn("place", rank)
     front = front.where((100 * (F.col("n") - F.col("place") + 1) >= THRESHOLD * F.col("n")) & F.col("often").isNotNull())
     front = staged(front.select("shingle", "node", "component", "n", "place"))
@@ -158,6 +160,17 @@ def _across(sets: DataFrame) -> DataFrame:
     return l.join(r, fits).select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
 
 
+def _joined(label: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after some more links, which are few: only their ends' components meet again."""
+    of_a = label.select(F.col("node").alias("a"), F.col("component").alias("at_a"))
+    of_b = label.select(F.col("node").alias("b"), F.col("component").alias("at_b"))
+    ends = links.join(of_a, "a", "left").join(of_b, "b", "left")
+    merged = staged(components(ends.select(F.coalesce("at_a", "a").alias("a"), F.coalesce("at_b", "b").alias("b"))))
+    moved = label.join(merged.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
+    own = moved.select("node", F.coalesce("to", "component").alias("component"))
+    return own.union(merged.join(label, "node", "left_anti"))
+
+
 def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept.
 
@@ -178,7 +191,8 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column
     shared = banded.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("pivot < last")
     met = staged(banded.join(shared.select("bucket", "pivot"), "bucket").distinct())
     wanted = met.select(F.col("rep").alias("node")).distinct()
-    sets = staged(texts.join(wanted, "node", "left_semi").mapInArrow(_sets, "node long, shingles array<long>").distinct())
+    once = texts.join(wanted, "node", "left_semi").dropDuplicates(["node", "text"])
+    sets = staged(once.mapInArrow(_sets, "node long, set long, n long, shingles array<long>"))
 
     shares = met.where("rep <> pivot").groupBy("rep", "pivot").agg(F.count(F.lit(1)).alias("bands"))
     order = F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("bands"), "pivot"))
@@ -194,7 +208,7 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column
     apart = staged(here.join(open_, "bucket", "left_semi").select(F.col("rep").alias("node"), "component").distinct())
     more = staged(_confirmed(_across(sets.join(apart, "node")), sets))
     if more.limit(1).count():
-        label = components(links.union(more))
+        label = _joined(label, more)
 
     group = first.join(label.withColumnRenamed("node", "rep"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component"))
     rows = sketches.select("node", *key).join(group, key, "left")

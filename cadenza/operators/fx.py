@@ -18,33 +18,28 @@ def needed_days(royalties: DataFrame) -> DataFrame:
     return royalties.select(*KEY).distinct()
 
 
-def rates_as_of(needed: DataFrame, rates: DataFrame) -> DataFrame:
-    """Latest rate on or before each needed day.
+def rate_calendar(rates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rate of every day between a currency's first and last rate, and its last one with its day.
 
-    Works on the calendar, not on the royalties: one row per currency and day,
-    so a window per currency holds some thousand rows however many royalties
-    there are.
+    Works on the rates alone, so the royalties are read once. Of several rates
+    of a day the greatest counts.
     """
-    known = rates.select(
-        F.col("currency_code").alias("currency"),
-        F.col("date").alias("reporting_date"),
-        F.col("rate_to_usd").alias("rate"),
-    )
-    days = needed.select(*KEY, F.lit(None).cast("decimal(10,6)").alias("rate"), F.lit(True).alias("wanted"))
-    so_far = W.partitionBy("currency").orderBy("reporting_date", F.desc("rate"))
-    return (
-        days.unionByName(known.withColumn("wanted", F.lit(False)))
-        .groupBy(*KEY)
-        .agg(F.max("rate").alias("rate"), F.max("wanted").alias("wanted"))
-        .withColumn("rate", F.last("rate", ignorenulls=True).over(so_far))
-        .where("wanted")
-        .select(*KEY, "rate")
-    )
+    known = rates.where("rate_to_usd is not null").groupBy(F.col("currency_code").alias("currency"), "date")
+    known = known.agg(F.max("rate_to_usd").alias("rate"))
+    until = F.lead("date").over(W.partitionBy("currency").orderBy("date"))
+    spans = known.withColumn("until", until)
+    days = F.explode(F.sequence("date", F.date_sub("until", 1))).alias("reporting_date")
+    calendar = spans.where("until is not null").select("currency", days, "rate")
+    return calendar, spans.where("until is null").select("currency", F.col("date").alias("since"), F.col("rate").alias("newest"))
 
 
 def _with_rate(royalties: DataFrame, daily: DataFrame) -> DataFrame:
     """Royalties with their day's rate and USD amount, by a plain equi-join."""
-    joined = royalties.join(daily.select(*KEY, "rate"), KEY, "left")
+    return _rated(royalties.join(daily.select(*KEY, "rate"), KEY, "left"))
+
+
+def _rated(joined: DataFrame) -> DataFrame:
+    """Rows with a `rate` (null where none is known) and their USD amount."""
     usd = apply_fx(F.col("net_revenue"), F.col("currency"), F.col("rate"))
     rate = F.when(F.col("currency") == DEFAULT_CURRENCY, F.coalesce("rate", F.lit(1))).otherwise(
         F.col("rate")
@@ -64,8 +59,11 @@ def convert_exact(royalties: DataFrame, rates: DataFrame) -> DataFrame:
 
 def convert_as_of(royalties: DataFrame, rates: DataFrame) -> DataFrame:
     """USD amounts by the latest rate on or before the day."""
-    daily = rates_as_of(needed_days(royalties), rates)
-    return _with_rate(royalties, lookup(daily, row_bytes=64))
+    calendar, last = rate_calendar(rates)
+    rows = royalties.join(lookup(calendar, row_bytes=64), KEY, "left").join(lookup(last, row_bytes=64), "currency", "left")
+    later = F.when(F.col("reporting_date") >= F.col("since"), F.col("newest"))
+    rows = rows.withColumn("rate", F.coalesce("rate", later)).drop("since", "newest")
+    return _rated(rows)
 
 
 def missing_rates(royalties: DataFrame, rates: DataFrame) -> DataFrame:

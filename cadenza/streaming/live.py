@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from cadenza.operators.chains import Rule
+from cadenza.operators.chains import NO_KEY, Rule
 from cadenza.sources.ingest import Workspace, ingest_files, staged_files
 from cadenza.streaming.flow import MAX_BATCH, SECOND
 from cadenza.streaming.stateful import LimitProcessor, RunProcessor, ThrottleProcessor
@@ -95,7 +95,7 @@ def debounce(events: DataFrame, key: str, period: int) -> DataFrame:
 
 
 def wait_for(events: DataFrame, matches: DataFrame, key: str, timeout: int) -> DataFrame:
-    """Each event with the matching events that follow in time, or none.
+    """Each event with the matching events that follow in time (in id where times are equal), or none.
 
     An outer join bounded in time by both watermarks. The first match per event
     is the least (match_ts, match_id); a sink keeps it with `first_match`.
@@ -105,6 +105,7 @@ def wait_for(events: DataFrame, matches: DataFrame, key: str, timeout: int) -> D
     )
     in_time = (
         (F.col("_key") == F.col(key))
+        & (F.struct("match_ts", "match_id") > F.struct(F.col(TS), F.col(ID)))
         & (F.col("match_ts") >= F.col(TS))
         & (F.col("match_ts") <= F.col(TS) + F.expr(f"INTERVAL {int(timeout)} SECONDS"))
     )
@@ -122,8 +123,9 @@ def first_match(joined: DataFrame, key: str) -> DataFrame:
 
 
 def _keyed(events: DataFrame, key: str) -> DataFrame:
+    """State needs a key: events without one share NO_KEY, which no text key is."""
     return events.select(
-        F.coalesce(F.col(key).cast("string"), F.lit("")).alias("key"), ID, TS
+        F.coalesce(F.col(key).cast("string"), F.lit(NO_KEY)).alias("key"), ID, TS
     )
 
 

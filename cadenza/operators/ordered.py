@@ -70,7 +70,7 @@ def slices(rows: DataFrame, keys: Sequence[str], order: Sequence[str], number: i
     )
 
 
-def busy_keys(rows: DataFrame, keys: Sequence[str], slice_rows: int) -> tuple[DataFrame, int] | None:
+def _busy(rows: DataFrame, keys: Sequence[str], slice_rows: int) -> tuple[DataFrame, int] | None:
     """Keys with more rows than a slice should hold and the slices to cut them into, or None if there are none."""
     counted = staged(rows.groupBy(*keys).count().where(F.col("count") > slice_rows))
     text = sum((F.coalesce(F.octet_length(F.col(k).cast("string")), F.lit(0)) + 32 for k in keys), F.lit(0))
@@ -82,11 +82,17 @@ def busy_keys(rows: DataFrame, keys: Sequence[str], slice_rows: int) -> tuple[Da
     return (F.broadcast(busy) if found["bytes"] <= BROADCAST_BYTES else busy), cuts
 
 
+def busy_keys(rows: DataFrame, keys: Sequence[str], slice_rows: int) -> DataFrame | None:
+    """Keys with more rows than a slice should hold, or None if there are none."""
+    found = _busy(rows, keys, slice_rows)
+    return found and found[0]
+
+
 def part(
     rows: DataFrame, keys: Sequence[str], slice_rows: int
 ) -> tuple[DataFrame, DataFrame | None, int]:
     """Rows of ordinary keys, rows of busy ones if there are any, and the slices to cut these into."""
-    found = busy_keys(rows, keys, slice_rows)
+    found = _busy(rows, keys, slice_rows)
     if found is None:
         return rows, None, 0
     busy, cuts = found

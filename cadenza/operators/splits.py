@@ -233,6 +233,11 @@ def _share(revenue: Column, percentage: Column) -> Column:
     return F.round(part, 9).cast(MONEY)
 
 
+def _one_workspace(column: str) -> Column:
+    """The empty name, taken from a column so that the join on it stays one by equality."""
+    return F.coalesce(F.substring(column, 1, 0), F.lit(""))
+
+
 def _paid_by(
     royalties: DataFrame, tracks: DataFrame, rules: DataFrame, as_of: str | None, cascade: bool
 ) -> DataFrame:
@@ -247,7 +252,8 @@ def _paid_by(
     """
     by_owner = OWNER in royalties.columns
     key = ["isrc", OWNER] if by_owner else ["isrc"]
-    workspace = F.col("workspace_id") if "workspace_id" in royalties.columns else F.lit("")
+    named = "workspace_id" in royalties.columns
+    workspace = F.col("workspace_id") if named else _one_workspace("payee_name")
     near = _periods(rules_by_track(tracks, rules, key, workspace), key)
     near = lookup(near, row_bytes=64 + 96 * F.size("live"))
     everywhere = with_target(rules).where(F.col("target_kind") == LEVELS[-1])
@@ -258,7 +264,7 @@ def _paid_by(
 
     r, n, w = royalties.alias("r"), near.alias("n"), wide.alias("w")
     day = F.col("r.reporting_date") if as_of is None else F.lit(as_of).cast("date")
-    own = F.col("r.workspace_id") if "workspace_id" in royalties.columns else F.lit("")
+    own = F.col("r.workspace_id") if named else _one_workspace("r.isrc")
     paying = (F.col("n.period_from") <= day) & (F.col("n.period_to") >= day)
     for name in key:
         paying &= F.col(f"r.{name}") == F.col(f"n.{name}")

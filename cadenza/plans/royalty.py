@@ -803,9 +803,9 @@ def _(spark, sf):
     return splits.split_violations(fx_data.splits(spark, sf))
 
 
-# Every supplier is a payee of one album and a rule of its own, wrong in ways that follow from its keys.
+# Suppliers are payees of one album per length of name, each with a rule of its own, wrong in ways that follow from its keys.
 HARD_CTE = """WITH splits AS (
-  SELECT 'sp-' || s_suppkey AS id, 'ws-label' AS workspace_id, NULL::VARCHAR AS artist_id, 'al-all' AS album_id,
+  SELECT 'sp-' || s_suppkey AS id, 'ws-' || length(s_name) AS workspace_id, NULL::VARCHAR AS artist_id, 'al-' || length(s_name) AS album_id,
     NULL::VARCHAR AS track_id, CASE WHEN s_suppkey % 7 = 0 THEN '  ' ELSE s_name END AS payee_name,
     CAST((s_suppkey % 3) * 50.01 AS DECIMAL(5,2)) AS percentage,
     CASE WHEN s_nationkey % 2 = 0 THEN DATE '2000-01-01' ELSE DATE '1996-01-01' END AS effective_from,
@@ -824,8 +824,8 @@ HARD_CTE = """WITH splits AS (
 )
 def _(spark, sf):
     rules = table(spark, sf, "supplier").selectExpr(
-        "concat('sp-', s_suppkey) AS id", "'ws-label' AS workspace_id", "CAST(NULL AS STRING) AS artist_id",
-        "'al-all' AS album_id", "CAST(NULL AS STRING) AS track_id", "concat('pa-', s_suppkey) AS payee_id",
+        "concat('sp-', s_suppkey) AS id", "concat('ws-', length(s_name)) AS workspace_id", "CAST(NULL AS STRING) AS artist_id",
+        "concat('al-', length(s_name)) AS album_id", "CAST(NULL AS STRING) AS track_id", "concat('pa-', s_suppkey) AS payee_id",
         "CASE WHEN s_suppkey % 7 = 0 THEN '  ' ELSE s_name END AS payee_name",
         "CAST((s_suppkey % 3) * 50.01 AS DECIMAL(5,2)) AS percentage",
         "CASE WHEN s_nationkey % 2 = 0 THEN DATE'2000-01-01' ELSE DATE'1996-01-01' END AS effective_from",

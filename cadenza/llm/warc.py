@@ -15,6 +15,7 @@ global order: the history of each URL.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 from urllib.parse import urlsplit
@@ -27,14 +28,14 @@ from cadenza.session import drop_at_exit, parallelism, shared_path, staged
 
 END = "\r\n\r\n"
 VERSION = "WARC/1.1"
-#: Bytes an archive should have; a longer record makes a longer one.
-ARCHIVE = 16 << 20
+#: Records of an archive at most: a task reads an archive whole.
+RECORDS = 4096
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
-def base32_sha1(payload: Column) -> Column:
-    """The SHA-1 of a binary column in upper-case base32: 40 hex digits, five at a time."""
-    hexed, letters = F.sha1(payload), F.lit(_BASE32)
+def base32(hexed: Column) -> Column:
+    """40 hex digits in upper-case base32, five digits at a time."""
+    letters = F.lit(_BASE32)
     out = []
     for at in range(1, 41, 5):
         number = F.conv(F.substring(hexed, at, 5), 16, 10).cast("int")
@@ -43,7 +44,7 @@ def base32_sha1(payload: Column) -> Column:
 
 
 def records(pages: DataFrame, least: int = 0, id_column: str = "page_id", url_column: str = "url", html_column: str = "html", ts_column: str | None = None) -> DataFrame:
-    """The capture of each row: page_id, url, ts, payload, digest, record_type and refers_to.
+    """The capture of each row: page_id, url, ts, payload, bytes, sha, record_type and refers_to.
 
     Of captures with equal payloads of at least `least` bytes the one with the
     smallest page_id is the response, the others revisit it. A null html is an
@@ -58,10 +59,10 @@ def records(pages: DataFrame, least: int = 0, id_column: str = "page_id", url_co
     # Control characters cannot stand in a header line.
     url = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col(url_column), "\r", "%0D"), "\n", "%0A"), r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "")
     rows = pages.select(F.col(id_column).alias("page_id"), url.alias("url"), ts.alias("ts"), payload.alias("payload"))
-    raw = F.encode("payload", "UTF-8")
-    rows = rows.withColumn("digest", base32_sha1(raw)).withColumn("bytes", F.octet_length("payload").cast("long"))
-    first = rows.where(F.col("bytes") >= least).groupBy("digest", "bytes").agg(F.min("page_id").alias("first"))
-    joined = rows.join(first, ["digest", "bytes"], "left")
+    sha = F.sha1(F.encode("payload", "UTF-8"))
+    rows = rows.withColumn("sha", sha).withColumn("bytes", F.octet_length("payload").cast("long"))
+    first = rows.where(F.col("bytes") >= least).groupBy("sha", "bytes").agg(F.min("page_id").alias("first"))
+    joined = rows.join(first, ["sha", "bytes"], "left")
     again = F.coalesce((F.col("page_id") != F.col("first")) | (F.col("page_id").isNull() & F.col("first").isNotNull()), F.lit(False))
     return joined.withColumn("record_type", F.when(again, "revisit").otherwise("response")).withColumn("refers_to", F.when(again, F.col("first"))).drop("first")
 
@@ -83,7 +84,7 @@ def _text(records: DataFrame) -> Column:
         line("WARC-Record-ID", key),
         line("WARC-Date", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")),
         line("WARC-Target-URI", F.col("url")),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
+        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32(F.col("sha")))),
         line("WARC-Profile", F.when(~response, F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))),
         line("WARC-Refers-To", F.when(~response, F.concat(F.lit("<urn:page:"), F.col("refers_to").cast("string"), F.lit(">")))),
         F.lit("Content-Type: application/http; msgtype=response"),
@@ -93,13 +94,15 @@ def _text(records: DataFrame) -> Column:
 
 
 def write_archives(records: DataFrame, path: str | None = None) -> str:
-    """Write the records as WARC files under `path`, or a new folder all executors share."""
+    """Write the records as WARC files under `path`, or a new folder all executors share.
+
+    Files are compressed as one stream each; offsets in the index count the
+    bytes of the stream.
+    """
     spark = records.sparkSession
     target = path or shared_path(spark, "warc")
-    size = records.agg(F.sum(F.when(F.col("record_type") == "response", F.col("bytes")).otherwise(0) + 600)).first()[0] or 0
-    files = max(1, -(-size // ARCHIVE))
-    spreadable = records.select(_text(records).alias("value"), F.xxhash64("page_id", "digest", "url").alias("at"))
-    spreadable.repartition(files, "at").select("value").write.option("lineSep", END).text(target)
+    lines = records.select(_text(records).alias("value"))
+    lines.write.options(lineSep=END, compression="gzip", maxRecordsPerFile=RECORDS).text(target)
     if path is None:
         drop_at_exit(spark, target)
     return target
@@ -148,7 +151,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, content in zip(batch.column(0), batch.column(1), strict=True):
             run = []
-            for at, fields, block in _parsed(content.as_buffer().to_pybytes()):
+            data = content.as_buffer().to_pybytes()
+            for at, fields, block in _parsed(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
                 digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
                 size = None
                 if fields["WARC-Type"] == "response":

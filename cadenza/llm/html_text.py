@@ -6,9 +6,8 @@ recurring: each element outside the article's own paragraphs is hashed with all
 it contains, the hashes are counted per host over all pages, and subtrees that
 many pages of the host have are deleted wherever they stand.
 
-Pages are parsed once. A page keeps its text in parts, each with the hashes of
-the elements around it, and drops the parts of recurring subtrees when the
-counts are known.
+Pages are parsed twice, once to count and once to extract, so that no page is
+shuffled or stored: only hashes are, and what recurs is looked up per host.
 """
 
 from __future__ import annotations
@@ -17,13 +16,12 @@ import hashlib
 import html
 import re
 from collections.abc import Iterator
-from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.session import staged
+from cadenza.operators.joins import lookup
 
 #: A subtree recurs if it is on this many pages of a host and on this share of them.
 PAGES = 5
@@ -180,35 +178,27 @@ def page_parts(page: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
     return [(t, h) for t, h in kept if t], sorted(set(hashes))
 
 
-def host_of(url: str | None) -> str:
-    try:
-        return (urlsplit(url).hostname or "") if url else ""
-    except ValueError:
-        return ""
-
-
-_PARTS = pa.list_(pa.struct([("text", pa.string()), ("around", pa.list_(pa.int64()))]))
-_PARSED = "page_id long, url string, host string, parts array<struct<text:string,around:array<long>>>, subtrees array<long>"
-
-
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """host and hash of each page's subtrees, once per page."""
     for batch in batches:
-        for at in range(0, len(batch), 200):  # parts of few pages at a time
-            some = batch.slice(at, 200)
-            urls = some.column(1).to_pylist()
-            found = [page_parts(page or "") for page in some.column(2).to_pylist()]
-            parts = [[{"text": t, "around": h} for t, h in p] for p, _ in found]
-            columns = [some.column(0), some.column(1), pa.array([host_of(u) for u in urls], pa.string()), pa.array(parts, _PARTS), pa.array([h for _, h in found], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "host", "parts", "subtrees"])
+        for at in range(0, len(batch), 200):  # few pages at a time
+            hosts, pages = (batch.column(k).slice(at, 200) for k in (0, 1))
+            found = [page_parts(page.as_py() or "")[1] for page in pages]
+            which = [k for k, own in enumerate(found) for _ in own]
+            yield pa.RecordBatch.from_arrays([hosts.take(pa.array(which, pa.int64())), pa.array([h for own in found for h in own], pa.int64())], ["host", "subtree"])
 
 
-def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The text of each page without the parts inside subtrees that are `gone`."""
     for batch in batches:
-        texts = []
-        for parts, gone in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            gone = set(gone or ())
-            texts.append(" ".join("".join(p["text"] if gone.isdisjoint(p["around"]) else "\n" for p in parts).split()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+        for at in range(0, len(batch), 200):
+            some = batch.slice(at, 200)
+            texts = []
+            for page, gone in zip(some.column(2), some.column(3), strict=True):
+                out = set(gone.as_py() or ())
+                parts = page_parts(page.as_py() or "")[0]
+                texts.append(" ".join("".join(t if out.isdisjoint(around) else "\n" for t, around in parts).split()))
+            yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
 def main_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
@@ -220,12 +210,14 @@ def main_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "u
     Null ids and repeated rows are rows like any other (a repeated page counts
     as often as it comes). An empty table gives an empty result.
     """
-    rows = pages.select(F.col(id_column).cast("long").alias("page_id"), F.col(url_column).cast("string").alias("url"), F.col(html_column).alias("html"))
-    parsed = staged(rows.mapInArrow(_parse, _PARSED))
-    of_host = parsed.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    counts = parsed.select("host", F.explode("subtrees").alias("subtree")).groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n"))
-    many = counts.where(F.col("n") >= PAGES).join(of_host, "host").where(F.col("n") >= SHARE * F.col("pages"))
-    # At most 1 / SHARE times a page's mean number of elements per host.
-    recurring = many.groupBy("host").agg(F.collect_list("subtree").alias("gone"))
-    cut = parsed.join(recurring, "host", "left").select("page_id", "url", "parts", "gone")
-    return cut.mapInArrow(_joined, "page_id long, url string, text string, n_chars long")
+    url = F.col(url_column).cast("string")
+    host = F.lower(F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit("")))
+    rows = pages.select(F.col(id_column).cast("long").alias("page_id"), url.alias("url"), F.col(html_column).alias("html"), host.alias("host"))
+    of_host = rows.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    each = rows.select("host", "html").mapInArrow(_subtrees, "host string, subtree long")
+    counts = each.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= PAGES)
+    many = counts.join(of_host, "host").where(F.col("n") >= SHARE * F.col("pages"))
+    # At most 1 / SHARE times a page's mean number of elements per host; broadcast only if it measures small.
+    recurring = lookup(many.groupBy("host").agg(F.collect_list("subtree").alias("gone")), row_bytes=64 + 8 * F.size("gone"))
+    cut = rows.join(recurring, "host", "left").select("page_id", "url", "html", "gone")
+    return cut.mapInArrow(_texts, "page_id long, url string, text string, n_chars long")

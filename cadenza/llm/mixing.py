@@ -143,7 +143,11 @@ def mixed_copies(documents: DataFrame, id_column: str = "doc_id", text_column: s
     The frame has source_key, doc_id, size, text_hash, source_size, target and
     copies, once per different key.
     """
-    rows = sized(documents, id_column, text_column, source_column)
+    return copies_of(sized(documents, id_column, text_column, source_column))
+
+
+def copies_of(rows: DataFrame) -> DataFrame:
+    """`mixed_copies` of rows that have the key columns."""
     units = staged(rows.groupBy(*_UNIT).agg(F.count(F.lit(1)).alias("n")))
     targets = staged(source_targets(units.select("source_key", (F.col("size") * F.col("n")).alias("size"))))
     order = ranked(units.withColumn("class", F.floor(F.log2(F.col("size") * F.col("n")))).withColumn("turn", F.xxhash64(F.lit(SEED), *_UNIT)), ["source_key", "class", "turn", "doc_id", "size", "text_hash"], "id")
@@ -165,11 +169,17 @@ def key_columns(id_column: str = "doc_id", text_column: str = "text", source_col
         # A null source is the empty key, others start with a mark.
         F.coalesce(F.concat(F.lit("="), F.col(source_column).cast("string")), F.lit("")).alias("source_key"),
         F.col(id_column).alias("doc_id"),
-        F.coalesce(F.regexp_count(text_column, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.coalesce(word_count(F.col(text_column)), F.lit(0)).cast("long").alias("size"),
         F.coalesce(F.xxhash64(text_column), F.lit(0)).alias("text_hash"),
     ]
 
 
+def word_count(text: Column) -> Column:
+    """Words of a text, without a list of them: each becomes one letter, then letters are counted."""
+    marks = F.regexp_replace(text, WORD, "w")
+    return F.length(marks) - F.length(F.replace(marks, F.lit("w"), F.lit("")))
+
+
 def with_copies(rows: DataFrame, copies: DataFrame) -> DataFrame:
     """Rows that have the key columns, with what `mixed_copies` found for them."""
     r, c = rows.alias("r"), copies.alias("c")
@@ -185,5 +195,6 @@ def mix(documents: DataFrame, **columns: str) -> DataFrame:
     agree in source, doc_id and text are one document and get equal copies. No
     row has more than two. An empty table gives an empty result.
     """
-    found = with_copies(sized(documents, **columns), mixed_copies(documents, **columns))
+    rows = staged(sized(documents, **columns))
+    found = with_copies(rows, copies_of(rows))
     return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), F.col("copies").cast("int").alias("copies"))

@@ -2,9 +2,9 @@
 
 A page is read into elements. Menus, forms, adverts and the like are known by
 their tags, roles and classes. What is left of a site's frame is known by its
-recurring: each element outside the article's own paragraphs is hashed with all
-it contains, the hashes are counted per host over all pages, and subtrees that
-many pages of the host have are deleted wherever they stand.
+recurring: each element is hashed with all it contains, the hashes of those
+outside the article's own paragraphs are counted per host over all pages, and
+subtrees that many pages of the host have are deleted wherever they stand.
 
 Pages are parsed twice, once to count and once to extract, so that no page is
 shuffled or stored: only hashes are, and what recurs is looked up per host.
@@ -89,22 +89,20 @@ class _Element:
 
 def page_parts(page: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
     """Text parts with the hashes of the subtrees around each, and all subtree hashes of the page."""
-    stack = [_Element("", False, False, False, None, -1)]
+    stack = [_Element("", False, False, False, hashlib.blake2b(digest_size=8), -1)]
     hashes: list[int] = []  # of candidates, by number
     parts: list[tuple[str, tuple[int, ...], int]] = []  # text, candidates around it, 2 in an article, 1 in main
 
     def close() -> None:
         own = stack.pop()
-        if own.mark is not None:
-            digest = own.mark.digest()
+        digest = own.mark.digest()
+        stack[-1].mark.update(digest)
+        if own.number >= 0:
             hashes[own.number] = int.from_bytes(digest, "big", signed=True)
-            if stack[-1].mark is not None:
-                stack[-1].mark.update(digest)
 
     def put(text: str) -> None:
         top = stack[-1]
-        if top.mark is not None:
-            top.mark.update(" ".join(text.split()).encode("utf-8", "replace"))
+        top.mark.update(" ".join(text.split()).encode("utf-8", "replace"))
         if not top.frame:
             around = tuple(e.number for e in stack if e.number >= 0)
             parts.append((text, around, 2 if top.article else 1 if top.main else 0))
@@ -140,9 +138,9 @@ def page_parts(page: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
             top = stack[-1]
             frame = top.frame or _is_frame(tag, attributes, top.article)
             inside = top.article or tag == "article"
-            mark, number = None, -1
+            mark, number = hashlib.blake2b(tag.encode("utf-8", "replace"), digest_size=8), -1
             if tag not in CONTENT and not (inside and tag in TEXT):
-                mark, number = hashlib.blake2b(tag.encode(), digest_size=8), len(hashes)
+                number = len(hashes)
                 hashes.append(0)
             stack.append(_Element(tag, frame, inside and not frame, top.main or tag == "main", mark, number))
             if tag in RAW and not attributes.rstrip().endswith("/"):

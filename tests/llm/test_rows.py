@@ -193,6 +193,24 @@ def test_recurring_subtrees_go_and_articles_stay(spark):
     assert html_text.main_text(empty).collect() == []
 
 
+def texts_of(spark, rows):
+    return [r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body><div id=page><article><p>unique {}</p></article></div></body>",
+        "<body><div id=page><main><p>unique {}</p></main></div></body>",
+        "<body><article><div class=entry-content><p>unique <b>{}</b></p></div></article></body>",
+        "<div><section><article><ul><li>unique {}</ul></article></section></div>",
+    ],
+)
+def test_a_subtree_is_all_it_contains(spark, page):
+    rows = [(i, f"http://a.example/{i}", page.format(i)) for i in range(12)]
+    assert texts_of(spark, rows) == [f"unique {i}" for i in range(12)]
+
+
 def test_archives_round_trip(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html")
     own = [(None, None, None), (7000, "u\r\nv", None), (7001, "", ""), (7002, "http://x/", "WARC/1.1\r\n\r\n\r\nWARC/1.1\r\nContent-Length: 9\r\n\r\n é")]

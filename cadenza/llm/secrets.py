@@ -172,19 +172,28 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     return [(m.start(), m.end(), m[0]) for m in TOKEN.finditer(text) if len(m[0]) >= LEAST and any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0])]
 
 
+def _runs(inside: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of marked bytes begin and end; none goes across a cut."""
+    head, tail = inside.copy(), inside.copy()
+    head[1:] &= ~inside[:-1]
+    tail[:-1] &= ~inside[1:]
+    head[cuts] = inside[cuts]
+    tail[cuts - 1] = inside[cuts - 1]
+    return np.flatnonzero(head), np.flatnonzero(tail) + 1
+
+
 def _suspect(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Rows with a run of LEAST token characters that has a digit or starts like an access key."""
     lower = data | np.uint8(0x20)
     digit = data - np.uint8(0x30) < 10
     token = digit | (lower - np.uint8(0x61) < 26) | np.isin(data, np.frombuffer(b"+/_.=-", np.uint8))
-    edge = np.diff(np.concatenate(([0], token.view(np.int8), [0])))
-    begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    cuts = starts[(starts > 0) & (starts < len(data))]
+    begin, end = _runs(token, cuts)
     digits = np.concatenate(([0], np.cumsum(digit)))
     long = (end - begin >= LEAST) & (digits[end] > digits[begin])
     # A hex run may be all letters.
     hexed = digit | (data - np.uint8(0x61) < 6)
-    edge = np.diff(np.concatenate(([0], hexed.view(np.int8), [0])))
-    first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    first, last = _runs(hexed, cuts)
     at = np.concatenate((begin[long], first[last - first >= 24]))
     out = np.zeros(len(starts) - 1, bool)
     out[np.searchsorted(starts, at, "right") - 1] = True

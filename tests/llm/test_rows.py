@@ -151,6 +151,23 @@ def test_inferred_formats_tell_credentials_from_words():
         assert formats.score(other) < 0
 
 
+def test_rows_are_scanned_apart(spark):
+    rnd = random.Random(3)
+    key = lambda: "".join(rnd.choices("0123456789abcdef", k=32))
+    made = [key() for _ in range(60)]
+    texts = made + [made[0]] * 40  # keys alone, copies among them
+    for end in (".", "e", "9", ""):
+        texts += [f"some text that ends{end}", f"{key()} starts this one", None, "", key()]
+    texts += [t for _ in range(40) for t in (f"password={key()[:20]}", "ends here.", f"{key()[:20]}! learned")]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in secrets.scan_secrets(frame.coalesce(1)).collect()}
+    assert all(rows[i].n_hex == sum(s[1] == 2 for s in brute_secrets(t or "")) for i, t in enumerate(texts))
+    alone = {r.doc_id: r for r in secrets.scan_secrets(frame.repartition(25, "doc_id")).collect()}
+    assert rows == alone
+    learned = [rows[i] for i, t in enumerate(texts) if t and t.endswith("! learned")]
+    assert sum("learned:0:20" in r.spans for r in learned) >= 36
+
+
 def test_main_text_of_the_table(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     want = {}

@@ -6,6 +6,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -150,6 +151,25 @@ def test_nearest_recall(spark, sf, monkeypatch):
     assert np.mean([len(set(found[q]) & set(w)) / len(w) for q, w in want.items()]) >= 0.9
 
 
+@pytest.mark.parametrize("kind", ["directions", "uneven", "clusters"])
+def test_nearest_recall_with_windows_far_below_the_table(spark, monkeypatch, kind):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(6000, 32))
+    if kind == "clusters":
+        x = rng.normal(size=(600, 32))[rng.integers(0, 600, 6000)] + 0.1 * x
+    if kind == "uneven":
+        x *= rng.lognormal(0, 1.5, size=(6000, 1))
+    vectors = dict(enumerate(x.tolist()))
+    monkeypatch.setattr("cadenza.llm.nearest.WINDOW", 20)
+    monkeypatch.setattr("cadenza.llm.nearest.BLOCK_BYTES", 500 * 8 * 32)
+    monkeypatch.setattr("cadenza.llm.nearest.ASKS", 100)
+    frame = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")
+    found, want = by_query(nearest.nearest(frame).collect()), brute_nearest(vectors, 20, 20)
+    recall = np.mean([len(set(found[q]) & set(w)) / len(w) for q, w in want.items()])
+    print(kind, "recall", recall)
+    assert recall >= 0.9
+
+
 def test_nearest_of_odd_and_equal_vectors(spark):
     vectors = {i: [1.0, 2.0] if i % 2 else [float(i % 7), 1.0] for i in range(300)}
     odd = [(1000, None), (1001, [0.0, 0.0]), (1002, [float("nan"), 1.0]), (None, [1.0, 1.0]), (1003, [None, 1.0]), (1004, [1.0]), (1005, []), (1006, [float("inf"), 1.0]), (4, [4.0, 1.0])]

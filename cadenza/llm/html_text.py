@@ -68,30 +68,39 @@ _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s
 _WORDS = re.compile(r"[a-z0-9]+")
 
 
-def _is_frame(tag: str, attributes: str, in_article: bool) -> bool:
+#: What tells a frame: nothing, a class or id (which an article or main inside refutes), or more than that.
+NO, BY_WORD, FRAME = range(3)
+
+
+def _is_frame(tag: str, attributes: str, in_article: bool) -> int:
     if tag in FRAME_TAGS or (tag == "header" and not in_article):
-        return True
+        return FRAME
     if not attributes.strip() or tag in ("html", "body", "main"):
-        return False
+        return NO
     named = {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes)}
     if "hidden" in named or named.get("role", "").lower() in FRAME_ROLES:
-        return True
-    words = _WORDS.findall(f"{named.get('class', '')} {named.get('id', '')}".lower())
-    return any(w in FRAME_WORDS for w in words)
+        return FRAME
+    names = f"{named.get('class', '')} {named.get('id', '')}".lower()
+    if tag == "article":  # one inside another may be a comment, by a whole name
+        return BY_WORD if in_article and any(w in FRAME_WORDS for w in names.split()) else NO
+    return BY_WORD if any(w in FRAME_WORDS for w in _WORDS.findall(names)) else NO
 
 
 class _Element:
-    __slots__ = ("tag", "frame", "article", "main", "mark", "number")
+    __slots__ = ("tag", "frame", "worded", "article", "main", "mark", "number")
 
-    def __init__(self, tag: str, frame: bool, article: bool, main: bool, mark, number: int):
-        self.tag, self.frame, self.article, self.main, self.mark, self.number = tag, frame, article, main, mark, number
+    def __init__(self, tag: str, frame: bool, worded: int, article: bool, main: bool, mark, number: int):
+        self.tag, self.frame, self.worded, self.article, self.main, self.mark, self.number = tag, frame, worded, article, main, mark, number
 
 
 def page_parts(page: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
     """Text parts with the hashes of the subtrees around each, and all subtree hashes of the page."""
-    stack = [_Element("", False, False, False, hashlib.blake2b(digest_size=8), -1)]
+    stack = [_Element("", False, 0, False, False, hashlib.blake2b(digest_size=8), -1)]
     hashes: list[int] = []  # of candidates, by number
-    parts: list[tuple[str, tuple[int, ...], int]] = []  # text, candidates around it, 2 in an article, 1 in main
+    # Text, candidates around it, 2 in an article or 1 in main, and the nearest frame by word around it (0: none).
+    parts: list[tuple[str, tuple[int, ...], int, int]] = []
+    refuted: list[bool] = [True]  # of frames by word, by number: an article or main was found inside
+    within: list[int] = [0]  # of frames by word, by number: the nearest one around
 
     def close() -> None:
         own = stack.pop()
@@ -105,7 +114,7 @@ def page_parts(page: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
         top.mark.update(" ".join(text.split()).encode("utf-8", "replace"))
         if not top.frame:
             around = tuple(e.number for e in stack if e.number >= 0)
-            parts.append((text, around, 2 if top.article else 1 if top.main else 0))
+            parts.append((text, around, 2 if top.article else 1 if top.main else 0, top.worded))
 
     def end(tags: tuple[str, ...], scopes: tuple[str, ...]) -> None:
         for k in range(len(stack) - 1, 0, -1):
@@ -136,13 +145,22 @@ def page_parts(page: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
             if tag in VOID:
                 continue
             top = stack[-1]
-            frame = top.frame or _is_frame(tag, attributes, top.article)
+            kind = FRAME if top.frame else _is_frame(tag, attributes, top.article)
+            frame, worded = kind == FRAME, top.worded
+            if kind == BY_WORD:
+                within.append(worded)
+                worded = len(refuted)
+                refuted.append(False)
+            if not frame and (tag == "main" or (tag == "article" and not top.article)):
+                around = worded
+                while not refuted[around]:
+                    refuted[around], around = True, within[around]
             inside = top.article or tag == "article"
             mark, number = hashlib.blake2b(tag.encode("utf-8", "replace"), digest_size=8), -1
             if tag not in CONTENT and not (inside and tag in TEXT):
                 number = len(hashes)
                 hashes.append(0)
-            stack.append(_Element(tag, frame, inside and not frame, top.main or tag == "main", mark, number))
+            stack.append(_Element(tag, frame, worded, inside and not frame, top.main or tag == "main", mark, number))
             if tag in RAW and not attributes.rstrip().endswith("/"):
                 stop = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
                 stack[-1].frame = True
@@ -163,9 +181,12 @@ def page_parts(page: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
                 put("\n")
     while len(stack) > 1:
         close()
+    for number in range(1, len(refuted)):  # a frame by word that another one holds is in a frame
+        refuted[number] = refuted[number] and refuted[within[number]]
+    parts = [p for p in parts if refuted[p[3]]]
     level = max((p[2] for p in parts if p[0].strip()), default=0)
     kept: list[tuple[str, list[int]]] = []
-    for text, around, where in parts:
+    for text, around, where, _ in parts:
         if where < level:
             continue
         own = [hashes[k] for k in around]

@@ -197,6 +197,23 @@ def test_parts_of_a_page(page, text):
     assert " ".join("".join(t for t, _ in html_text.page_parts(page)[0]).split()) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<body><article class='post comments-open'><p>x</p></article></body>", "x"),
+        ("<div class='content-sidebar-wrap'><div class=sidebar>s</div><article><p>x</p></article><div class=widget>w</div></div>", "x"),
+        ("<div class='has-sidebar'><div id=no-share><main><p>x</p><div class=share>s</div></main></div></div>", "x"),
+        ("<div class='no-share'><article class='ad'><p>x</p><div class='related posts'>r</div></article></div>", "x"),
+        ("<div class=sidebar><aside><article>teaser</article></aside>s</div><p>x</p>", "x"),
+        ("<article><p>x</p><article class=comment>c</article><section class=comments><article>d</article></section></article>", "x"),
+        ("<article class=menu-item><p>x</p><article class='post comments-open'>y</article></article>", "x y"),
+        ("<nav><article>n</article></nav><div class=promo>p</div>x", "x"),
+    ],
+)
+def test_class_words_do_not_take_articles(page, text):
+    assert " ".join("".join(t for t, _ in html_text.page_parts(page)[0]).split()) == text
+
+
 def test_recurring_subtrees_go_and_articles_stay(spark):
     frame = "<body><div><span>Our site</span><p>Follow us</p></div><div><p>page {}</p><p>Hello.</p></div></body>"
     rows = [(i, f"http://a.example/{i}", frame.format(i)) for i in range(9)]

@@ -3,11 +3,15 @@
 A page is read into elements. Menus, forms, adverts and the like are known by
 their tags, roles and classes. What is left of a site's frame is known by its
 recurring: each element is hashed with all it contains, the hashes of those
-outside the article's own paragraphs are counted per host over all pages, and
-subtrees that many pages of the host have are deleted wherever they stand.
+outside the article's own paragraphs are counted per host, and per section of it
+(host with the first and first two parts of the path), over pages of different
+text; subtrees that many of them have are deleted from the pages of that host or
+section, wherever they stand. Copies of a page count once, so a group of copies
+does not make its text a template; a frame that only a section has is judged by
+the section's pages, however large the host.
 
 Pages are parsed twice, once to count and once to extract, so that no page is
-shuffled or stored: only hashes are, and what recurs is looked up per host.
+shuffled or stored: only hashes are, and what recurs is looked up per section.
 """
 
 from __future__ import annotations
@@ -22,10 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.operators.joins import lookup
+from cadenza.session import staged
 
-#: A subtree recurs if it is on this many pages of a host and on this share of them.
+#: A subtree recurs if it is on this many different pages of a host or section and on this share of them.
 PAGES = 5
 SHARE = 0.2
+#: Sections are the first parts of the path, up to so many.
+SECTIONS = 2
 
 # Fixed values of HTML: elements without content, of raw text, and that end a line of text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -197,14 +204,21 @@ def page_parts(page: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
     return [(t, h) for t, h in kept if t], sorted(set(hashes))
 
 
+def _page_hash(parts: list[tuple[str, list[int]]]) -> int:
+    """Of a page's text outside frames: the same for copies, whatever their frames."""
+    text = " ".join("".join(t for t, _ in parts).split())
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+
+
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """host and hash of each page's subtrees, once per page."""
+    """Sites of each page, and the hash of each of its subtrees, or null for the page itself, with that of the page."""
     for batch in batches:
         for at in range(0, len(batch), 200):  # few pages at a time
-            hosts, pages = (batch.column(k).slice(at, 200) for k in (0, 1))
-            found = [page_parts(page.as_py() or "")[1] for page in pages]
-            which = [k for k, own in enumerate(found) for _ in own]
-            yield pa.RecordBatch.from_arrays([hosts.take(pa.array(which, pa.int64())), pa.array([h for own in found for h in own], pa.int64())], ["host", "subtree"])
+            sites, pages = (batch.column(k).slice(at, 200) for k in (0, 1))
+            found = [(own, _page_hash(parts)) for parts, own in (page_parts(page.as_py() or "") for page in pages)]
+            which = [k for k, (own, _) in enumerate(found) for _ in range(len(own) + 1)]
+            subtrees = [h for own, _ in found for h in (None, *own)]
+            yield pa.RecordBatch.from_arrays([sites.take(pa.array(which, pa.int64())), pa.array(subtrees, pa.int64()), pa.array([found[k][1] for k in which], pa.int64())], ["sites", "subtree", "page"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,8 +227,8 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, len(batch), 200):
             some = batch.slice(at, 200)
             texts = []
-            for page, gone in zip(some.column(2), some.column(3), strict=True):
-                out = set(gone.as_py() or ())
+            for page, *gone in zip(*(some.column(k) for k in range(2, some.num_columns)), strict=True):
+                out = {h for one in gone for h in one.as_py() or ()}
                 parts = page_parts(page.as_py() or "")[0]
                 texts.append(" ".join("".join(t if out.isdisjoint(around) else "\n" for t, around in parts).split()))
             yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
@@ -226,17 +240,27 @@ def main_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "u
     The text is that of the page's articles; of its main element where there is
     no article with text, of its body where there is neither. A null or empty
     page has an empty text. Pages whose url is null or has no host are one site.
-    Null ids and repeated rows are rows like any other (a repeated page counts
-    as often as it comes). An empty table gives an empty result.
+    Null ids and repeated rows are rows like any other, but pages of one text
+    count once where recurring subtrees are counted. An empty table gives an
+    empty result.
     """
     url = F.col(url_column).cast("string")
     host = F.lower(F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit("")))
-    rows = pages.select(F.col(id_column).cast("long").alias("page_id"), url.alias("url"), F.col(html_column).alias("html"), host.alias("host"))
-    of_host = rows.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    each = rows.select("host", "html").mapInArrow(_subtrees, "host string, subtree long")
-    counts = each.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= PAGES)
-    many = counts.join(of_host, "host").where(F.col("n") >= SHARE * F.col("pages"))
-    # At most 1 / SHARE times a page's mean number of elements per host; broadcast only if it measures small.
-    recurring = lookup(many.groupBy("host").agg(F.collect_list("subtree").alias("gone")), row_bytes=64 + 8 * F.size("gone"))
-    cut = rows.join(recurring, "host", "left").select("page_id", "url", "html", "gone")
+    path = F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit(""))
+    folders = F.filter(F.regexp_extract_all(path, F.lit("([^/]*)/")), lambda part: part != "")  # not the last part, the page's own
+    rows = pages.select(F.col(id_column).cast("long").alias("page_id"), url.alias("url"), F.col(html_column).alias("html"), host.alias("host"), folders.alias("folders"))
+    site = [F.xxhash64("host", F.slice("folders", 1, n)) if n else F.xxhash64("host") for n in range(SECTIONS + 1)]
+    sites = F.array_compact(F.array(*[F.when(F.size("folders") >= n, key) for n, key in enumerate(site)]))
+    each = rows.select(sites.alias("sites"), "html").mapInArrow(_subtrees, "sites array<long>, subtree long, page long")
+    pairs = each.select(F.explode("sites").alias("site"), "subtree", "page").distinct()
+    counts = staged(pairs.groupBy("site", "subtree").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= PAGES))
+    of_site = counts.where("subtree is null").select("site", F.col("n").alias("pages"))
+    many = counts.where("subtree is not null").join(of_site, "site").where(F.col("n") >= SHARE * F.col("pages"))
+    # At most 1 / SHARE times a page's mean number of elements per site; broadcast only if it measures small.
+    recurring = lookup(many.groupBy("site").agg(F.collect_list("subtree").alias("gone")), row_bytes=64 + 8 * F.size("gone"))
+    cut = rows
+    for n, key in enumerate(site):
+        own = recurring.select(F.col("site").alias(f"site{n}"), F.col("gone").alias(f"gone{n}"))
+        cut = cut.withColumn("key", F.when(F.size("folders") >= n, key)).join(own, F.col("key") == F.col(f"site{n}"), "left")
+    cut = cut.select("page_id", "url", "html", *[f"gone{n}" for n in range(len(site))])
     return cut.mapInArrow(_texts, "page_id long, url string, text string, n_chars long")

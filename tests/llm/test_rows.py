@@ -245,6 +245,22 @@ def test_a_subtree_is_all_it_contains(spark, page):
     assert texts_of(spark, rows) == [f"unique {i}" for i in range(12)]
 
 
+def test_frames_of_sections_go_on_a_hot_host(spark):
+    page = "<body><div><span>Our site</span></div><div><b>Section {s}</b><i>menu</i></div><div><p>text {i} of {s}</p></div></body>"
+    rows = [(100 * s + i, f"http://hot.example/{'' if s % 2 else 'users/'}s{s}/{i}?q={i}", page.format(s=s, i=i)) for s in range(20) for i in range(12)]
+    rows += [(5000 + i, f"http://small.example/s1/{i}", page.format(s=1, i=i)) for i in range(12)]
+    want = [f"text {i} of {s}" for s in range(20) for i in range(12)] + [f"text {i} of 1" for i in range(12)]
+    assert texts_of(spark, rows) == want
+
+
+def test_copies_are_no_templates(spark):
+    page = "<body><div><span>Our site</span></div><{tag}><nav>{nav}</nav><p>{text}</p><p>More on {text}.</p></{tag}></body>"
+    for tag in ("main", "div"):
+        rows = [(i, f"http://a.example/{i}", page.format(tag=tag, nav=i, text=f"own {i}")) for i in range(30)]
+        rows += [(100 + i, f"http://a.example/copy/{i}", page.format(tag=tag, nav=i % 7, text="the same")) for i in range(40)]
+        assert texts_of(spark, rows) == [f"own {i} More on own {i}." for i in range(30)] + ["the same More on the same."] * 40
+
+
 def test_archives_round_trip(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html")
     own = [(None, None, None), (7000, "u\r\nv", None), (7001, "", ""), (7002, "http://x/", "WARC/1.1\r\n\r\n\r\nWARC/1.1\r\nContent-Length: 9\r\n\r\n é")]

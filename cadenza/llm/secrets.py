@@ -6,10 +6,12 @@ tell apart (their frequencies of ending and of each next class agree within a
 Hoeffding bound, and so do those of their successors) are merged, which turns
 the tree into a probabilistic automaton with loops. Every candidate token of
 every text is scored by the likelihood per character its best automaton gives it,
-against what characters of tokens in general would.
+against what characters of tokens in general would. Candidates are the runs of
+token characters and, where a run does not pass, its parts between `=`, `/` and
+`.`, down to 16 characters or the shortest credential that was labelled.
 
-Texts are scanned once, on their bytes; only the few rows with a keyword or a
-long run of token characters are looked at closer.
+Texts are scanned twice, on their bytes, to label and to score; only the rows
+with a keyword or a long enough run are looked at closer.
 """
 
 from __future__ import annotations
@@ -26,7 +28,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.llm.tokens import PIECE, buffers
-from cadenza.session import staged
 
 KINDS = ("assign", "access", "hex")
 LEARNED = "learned"
@@ -35,8 +36,12 @@ ASSIGN = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][d
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
-TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]+")
-#: Shortest candidate.
+SIGNS = "+/_.=-"
+#: What joins a credential to other things in a run, in the order in which runs are taken apart.
+JOINTS = "=/."
+_SIGNS = re.compile(r"[+/_.=-]+")
+_WORD = re.compile(r"[A-Za-z]?[a-z]*|[A-Z]*")
+#: Shortest candidate, where none shorter was labelled.
 LEAST = 16
 #: Credentials per kind that the automata are fitted on, chosen by hash: a bound on what the driver holds.
 SAMPLE = 2000
@@ -167,9 +172,25 @@ def base_spans(text: str) -> list[tuple[str, int, int, str]]:
     return found
 
 
-def candidates(text: str) -> list[tuple[int, int, str]]:
-    """Long runs of token characters with a letter and a digit."""
-    return [(m.start(), m.end(), m[0]) for m in TOKEN.finditer(text) if len(m[0]) >= LEAST and any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0])]
+def _wordlike(run: str) -> bool:
+    """Words joined by signs, or figures: nothing tells them from a text's own."""
+    return all(_WORD.fullmatch(part) for part in _SIGNS.split(run)) or not any(c.isalpha() for c in run)
+
+
+def found_in(run: str, at: int, accept, joints: str = JOINTS) -> list[tuple[int, int, float]]:
+    """Start, end and score of what `accept` scores above minus infinity: the run, without signs at its ends, or its parts."""
+    a = at + len(run) - len(run.lstrip(SIGNS))
+    for start, word in ((at, run), (at, run.rstrip(SIGNS)), (a, run.lstrip(SIGNS)), (a, run.strip(SIGNS))):
+        if (score := accept(start, word)) > -math.inf:
+            return [(start, start + len(word), score)]
+    for k, joint in enumerate(joints):
+        if joint in run:
+            found, start = [], at
+            for part in run.split(joint):
+                found += found_in(part, start, accept, joints[k + 1 :])
+                start += len(part) + 1
+            return found
+    return []
 
 
 def _runs(inside: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -182,51 +203,42 @@ def _runs(inside: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.flatnonzero(head), np.flatnonzero(tail) + 1
 
 
-def _suspect(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Rows with a run of LEAST token characters that has a digit or starts like an access key."""
-    lower = data | np.uint8(0x20)
-    digit = data - np.uint8(0x30) < 10
-    token = digit | (lower - np.uint8(0x61) < 26) | np.isin(data, np.frombuffer(b"+/_.=-", np.uint8))
+def _suspect(data: np.ndarray, starts: np.ndarray, least: int | None) -> np.ndarray:
+    """Rows with a run of `least` token characters, if any are asked for, or a run that a hex span may be."""
     cuts = starts[(starts > 0) & (starts < len(data))]
-    begin, end = _runs(token, cuts)
-    digits = np.concatenate(([0], np.cumsum(digit)))
-    long = (end - begin >= LEAST) & (digits[end] > digits[begin])
-    # A hex run may be all letters.
-    hexed = digit | (data - np.uint8(0x61) < 6)
-    first, last = _runs(hexed, cuts)
-    at = np.concatenate((begin[long], first[last - first >= 24]))
+    digit = data - np.uint8(0x30) < 10
+    first, last = _runs(digit | (data - np.uint8(0x61) < 6), cuts)
+    at = first[last - first >= 24]
+    if least is not None:
+        lower = data | np.uint8(0x20)
+        token = digit | (lower - np.uint8(0x61) < 26) | np.isin(data, np.frombuffer(SIGNS.encode(), np.uint8))
+        begin, end = _runs(token, cuts)
+        at = np.concatenate((at, begin[end - begin >= least]))
     out = np.zeros(len(starts) - 1, bool)
     out[np.searchsorted(starts, at, "right") - 1] = True
     return out
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _close(column: pa.Array, least: int | None) -> Iterator[str]:
+    """Each row's text, empty for one that no span can be in."""
+    data, starts = buffers(column)
+    rows = len(starts) - 1
+    close = np.zeros(rows, bool)
+    at = 0
+    while at < rows:  # in pieces, so that the masks stay small
+        to = max(at + 1, int(np.searchsorted(starts, starts[at] + PIECE, "right")) - 1)
+        close[at:to] = _suspect(data[starts[at] : starts[to]], starts[at : to + 1] - starts[at], least)
+        at = to
+    for row in range(rows):
+        raw = data[starts[row] : starts[row + 1]].tobytes()
+        low = raw.lower()
+        yield raw.decode("utf-8", "replace") if close[row] or b"AKIA" in raw or any(k in low for k in KEYWORDS) else ""
+
+
+def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        data, starts = buffers(batch.column(1))
-        rows = len(starts) - 1
-        close = np.zeros(rows, bool)
-        at = 0
-        while at < rows:  # in pieces, so that the masks stay small
-            to = max(at + 1, int(np.searchsorted(starts, starts[at] + PIECE, "right")) - 1)
-            close[at:to] = _suspect(data[starts[at] : starts[to]], starts[at : to + 1] - starts[at])
-            at = to
-        spans, loose = [], []
-        for row in range(rows):
-            raw = data[starts[row] : starts[row + 1]].tobytes()
-            own, some = [], []
-            low = raw.lower()
-            if close[row] or b"AKIA" in raw or any(k in low for k in KEYWORDS):
-                text = raw.decode("utf-8", "replace")
-                own = base_spans(text)
-                some = candidates(text)
-            spans.append([{"kind": k, "start": a, "stop": b, "value": v} for k, a, b, v in own])
-            loose.append([{"start": a, "stop": b, "value": v} for a, b, v in some])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, _SPANS), pa.array(loose, _LOOSE)], ["doc_id", "base", "loose"])
-
-
-_SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("stop", pa.int64()), ("value", pa.string())]))
-_LOOSE = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("value", pa.string())]))
-_SCANNED = "doc_id long, base array<struct<kind:string,start:long,stop:long,value:string>>, loose array<struct<start:long,stop:long,value:string>>"
+        own = [(k, v) for text in _close(batch.column(0), None) for k, _, _, v in base_spans(text)]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in own], pa.string()), pa.array([v for _, v in own], pa.string())], ["kind", "value"])
 
 
 class Formats:
@@ -235,19 +247,20 @@ class Formats:
     def __init__(self, labelled: dict[str, list[str]]):
         self.automata = {k: Automaton(v) for k, v in sorted(labelled.items()) if v}
         self.least = {}
+        self.shortest = {k: min(LEAST, *map(len, labelled[k])) for k in self.automata}
         for kind, automaton in self.automata.items():
             scores = sorted(automaton.score(w) for w in labelled[kind])
             self.least[kind] = max(0.0, scores[int(len(scores) * (1 - SHARE_REACHED))])
 
     def score(self, word: str) -> float:
         """The best score of the kinds whose threshold it reaches, minus infinity for none."""
-        scores = ((a.score(word), self.least[k]) for k, a in self.automata.items())
+        scores = ((a.score(word), self.least[k]) for k, a in self.automata.items() if len(word) >= self.shortest[k])
         return max((x for x, least in scores if x >= least), default=-math.inf)
 
 
-def learn_formats(scanned: DataFrame) -> Formats:
+def learn_formats(texts: DataFrame) -> Formats:
     """Automata from the distinct base values of all texts, SAMPLE of each kind by hash."""
-    values = scanned.select(F.explode("base").alias("b")).select("b.kind", "b.value").distinct()
+    values = texts.select("text").mapInArrow(_labelled, "kind string, value string").distinct()
     order = F.row_number().over(Window.partitionBy("kind").orderBy(F.xxhash64("value"), "value"))
     chosen = values.withColumn("order", order).where(F.col("order") <= SAMPLE).select("kind", "value").collect()
     labelled: dict[str, list[str]] = defaultdict(list)
@@ -257,22 +270,28 @@ def learn_formats(scanned: DataFrame) -> Formats:
 
 
 def _digest(formats: Formats):
+    least = min(formats.shortest.values(), default=None)
+    run = re.compile(rf"[A-Za-z0-9+/_.=-]{{{least},}}") if least is not None else None
+
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: list[list[int]] = [[], [], []]
             hashes, listed, scores = [], [], []
-            for base, loose in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                own = sorted((b["start"], KINDS.index(b["kind"]), b["stop"]) for b in base)
+            for text in _close(batch.column(1), least):
+                own = sorted((a, KINDS.index(k), b) for k, a, b, _ in base_spans(text))
                 for k in range(3):
                     counts[k].append(sum(o[1] == k for o in own))
                 spans = [f"{KINDS[k]}:{a}:{b}" for a, k, b in own]
                 hashes.append(hashlib.sha256(",".join(spans).encode()).hexdigest())
-                best, more = 0.0, []
-                for c in loose:
-                    score = formats.score(c["value"])
-                    if score > -math.inf and all(c["stop"] <= a or b <= c["start"] for a, _, b in own):
-                        more.append((c["start"], len(KINDS), c["stop"]))
-                        best = max(best, score)
+
+                def accept(start: int, word: str, own=own) -> float:
+                    if len(word) < least or any(start < b and a < start + len(word) for a, _, b in own) or _wordlike(word):
+                        return -math.inf
+                    return formats.score(word)
+
+                loose = [c for m in run.finditer(text) for c in found_in(m[0], m.start(), accept)] if run else []
+                more = [(a, len(KINDS), b) for a, b, _ in loose]
+                best = max((score for _, _, score in loose), default=0.0)
                 names = (*KINDS, LEARNED)
                 listed.append(",".join(f"{names[k]}:{a}:{b}" for a, k, b in sorted(own + more)))
                 scores.append(best)
@@ -291,6 +310,5 @@ def scan_secrets(documents: DataFrame, id_column: str = "doc_id", text_column: s
     span nothing is learned. An empty table gives an empty result.
     """
     texts = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    scanned = staged(texts.mapInArrow(_scan, _SCANNED))
-    formats = learn_formats(scanned)
-    return scanned.mapInArrow(_digest(formats), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, learned_score double")
+    formats = learn_formats(texts)
+    return texts.mapInArrow(_digest(formats), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, learned_score double")

@@ -168,6 +168,20 @@ def test_rows_are_scanned_apart(spark):
     assert sum("learned:0:20" in r.spans for r in learned) >= 36
 
 
+def test_learned_formats_are_found_inside_runs_and_short_ones_too(spark):
+    rnd = random.Random(4)
+    for make in (lambda: "".join(rnd.choices("ABCDEFGHJKMNPQRS", k=10)) + "".join(rnd.choices("23456789", k=10)), lambda: "Qx" + "".join(rnd.choices("0123456789", k=6))):
+        glued = ["auth={}", "see ?sig={}&x", "/path/to/{}", "it is {}.", "a {} b", "file /x/{}.json", "k={}/v"]
+        texts = [f"password={make()} and more words here." for _ in range(200)] + [g.format(make()) for g in glued for _ in range(10)]
+        frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        rows = sorted(secrets.scan_secrets(frame).collect())
+        assert not any(secrets.LEARNED in r.spans for r in rows[:200])
+        for k, g in enumerate(glued):
+            at = g.index("{")
+            size = len(make())
+            assert sum(r.spans == f"learned:{at}:{at + size}" for r in rows[200 + 10 * k : 210 + 10 * k]) >= 9, g
+
+
 def test_main_text_of_the_table(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     want = {}

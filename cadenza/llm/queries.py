@@ -10,11 +10,14 @@ from cadenza.llm.decontaminate import WINDOW, contamination
 from cadenza.llm.html_text import main_text
 from cadenza.llm.lang_id import identify_languages
 from cadenza.llm.licenses import CONTAINED, PHRASES, TEMPLATES, license_scan
+from cadenza.llm.merkle import manifest
 from cadenza.llm.mixing import mix
 from cadenza.llm.near_dedup import near_duplicates
 from cadenza.llm.nearest import nearest
+from cadenza.llm.prefix_trie import trie
 from cadenza.llm.secrets import scan_secrets
 from cadenza.llm.sharding import shard_documents
+from cadenza.llm.token_files import round_trip as token_round_trip
 from cadenza.llm.warc import round_trip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,6 +128,95 @@ FROM h
 """
 
 
+def _crc(value: str) -> str:
+    """Unsigned crc32 of a number's decimal digits, bit by bit (CRC-32's fixed polynomial)."""
+    byte = "list_reduce(list_prepend(xor(acc, b), range(8)), lambda x, i: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))"
+    digits = f"list_transform(string_split(CAST({value} AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {digits}), lambda acc, b: {byte}), 4294967295)"
+
+
+def _part(value: str) -> str:
+    text = f"CAST({value} AS VARCHAR)"
+    return f"CASE WHEN {value} IS NULL THEN '-' ELSE strlen({text}) || ':' || {text} END"
+
+
+_LEAF = "sha256(" + " || ".join(_part(c) for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
+_LOW_TEXT = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+MERKLE_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, {_LEAF.replace("{text}", "text")} AS leaf,
+    CASE WHEN {_crc("doc_id")} % 5 = 0 THEN {_LEAF.replace("{text}", _LOW_TEXT)} END AS bent
+  FROM documents
+),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place,
+    count(*) OVER (PARTITION BY source) AS n, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS s FROM d
+),
+low(k, s, place, n, h) AS (
+  SELECT 0, s, place, n, leaf FROM placed
+  UNION ALL
+  SELECT k + 1, s, place // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY place)) FROM low WHERE n > 1 GROUP BY k, s, place // 16, n
+),
+tops AS (SELECT s, h AS subroot, k FROM low WHERE n = 1),
+high(k, place, n, h) AS (
+  SELECT 0, s, (SELECT count(*) FROM tops), subroot FROM tops
+  UNION ALL
+  SELECT k + 1, place // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY place)) FROM high WHERE n > 1 GROUP BY k, place // 16, n
+),
+whole AS (
+  SELECT k, s, place, n, h FROM low WHERE n > 1
+  UNION ALL SELECT 1000 + k, -1, place, n, h FROM high WHERE n > 1
+),
+beside AS (
+  SELECT k, s, place, coalesce(string_agg(h, '') OVER (run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+    coalesce(string_agg(h, '') OVER (run ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM whole WINDOW run AS (PARTITION BY k, s, place // 16 ORDER BY place)
+),
+walk(doc_id, leaf, s, own, k, grp, place, proof, fold) AS (
+  SELECT doc_id, leaf, s, place, 0, s, place, '', coalesce(bent, leaf) FROM placed
+  UNION ALL
+  SELECT w.doc_id, w.leaf, w.s, w.own, CASE WHEN b.k IS NULL THEN 1000 ELSE w.k + 1 END, CASE WHEN b.k IS NULL THEN -1 ELSE w.grp END,
+    CASE WHEN b.k IS NULL THEN w.s ELSE w.place // 16 END, w.proof || coalesce(b.l || b.r, ''),
+    CASE WHEN b.k IS NULL THEN w.fold ELSE sha256(b.l || w.fold || b.r) END
+  FROM walk w LEFT JOIN beside b ON b.k = w.k AND b.s = w.grp AND b.place = w.place WHERE b.k IS NOT NULL OR w.grp >= 0
+),
+ended AS (SELECT *, row_number() OVER (PARTITION BY s, own ORDER BY k DESC) AS last FROM walk),
+root AS (SELECT h AS root FROM high WHERE n = 1)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = root AS verified
+FROM ended JOIN tops USING (s), root WHERE last = 1
+"""
+
+TRIE_SQL = f"""
+WITH t AS (
+  SELECT conv_id, {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} AS said,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+c AS (SELECT conv_id, list(said ORDER BY i) AS own, {_crc("conv_id")} % 6 AS h FROM t GROUP BY conv_id),
+r AS (
+  SELECT c.conv_id, coalesce(b.own[1:c.h], []) || c.own[c.h + 1:] AS p
+  FROM c LEFT JOIN c b ON b.conv_id = c.conv_id - c.conv_id % 100
+),
+m AS (SELECT conv_id, len(p) AS whole, unnest(range(0, len(p) + 1)) AS d, p FROM r),
+n AS (
+  SELECT p[1:d] AS k, d, min(conv_id) AS conv_id, count(*) AS n_convs, list(conv_id ORDER BY conv_id) FILTER (whole = d) AS ends FROM m GROUP BY 1, 2
+),
+kids AS (SELECT k[1:d - 1] AS k, d - 1 AS d, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1, 2),
+own AS (
+  SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN n.d = 0 THEN 0 ELSE (n_convs - 1) * length(n.k[n.d].text) END AS saved
+  FROM n LEFT JOIN kids USING (k, d)
+),
+tree AS (
+  SELECT a.k, a.d, count(*) FILTER (b.n_children = 0) AS n_leaves, CAST(sum(b.saved) AS BIGINT) AS saved_tokens
+  FROM own a JOIN (SELECT *, unnest(range(0, d + 1)) AS up FROM own) b ON a.d = b.up AND b.k[1:b.up] = a.k GROUP BY 1, 2
+)
+SELECT o.conv_id, o.d AS depth, u.conv_id AS parent_conv_id, o.n_convs, o.n_children, n_leaves, saved_tokens,
+  sha256(coalesce(array_to_string(o.ends, ','), '')) AS ends_sha256
+FROM own o JOIN tree USING (k, d) LEFT JOIN own u ON u.d = o.d - 1 AND u.k = o.k[1:o.d - 1]
+"""
+
+
 @query(NEAR_SQL)
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
@@ -175,3 +267,20 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query(MERKLE_SQL)
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+
+
+@query(TRIE_SQL)
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie(table(spark, sf_dir, "conversations"))

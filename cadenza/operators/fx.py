@@ -18,14 +18,25 @@ def needed_days(royalties: DataFrame) -> DataFrame:
     return royalties.select(*KEY).distinct()
 
 
+def daily_rates(rates: DataFrame) -> DataFrame:
+    """currency, date and rate, one row a day: of several rates of a day the greatest counts."""
+    known = rates.where("rate_to_usd is not null").groupBy(F.col("currency_code").alias("currency"), "date")
+    return known.agg(F.max("rate_to_usd").alias("rate"))
+
+
+def repeated_rates(rates: DataFrame) -> DataFrame:
+    """Days and currencies with more than one rate, how many, and the least and greatest of them."""
+    known = rates.where("rate_to_usd is not null").groupBy("currency_code", "date")
+    least, most = F.min("rate_to_usd").alias("least_rate"), F.max("rate_to_usd").alias("greatest_rate")
+    return known.agg(F.count("*").alias("rates"), least, most).where("rates > 1")
+
+
 def rate_calendar(rates: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rate of every day between a currency's first and last rate, and its last one with its day.
 
-    Works on the rates alone, so the royalties are read once. Of several rates
-    of a day the greatest counts.
+    Works on the rates alone, so the royalties are read once.
     """
-    known = rates.where("rate_to_usd is not null").groupBy(F.col("currency_code").alias("currency"), "date")
-    known = known.agg(F.max("rate_to_usd").alias("rate"))
+    known = daily_rates(rates)
     until = F.lead("date").over(W.partitionBy("currency").orderBy("date"))
     spans = known.withColumn("until", until)
     days = F.explode(F.sequence("date", F.date_sub("until", 1))).alias("reporting_date")
@@ -49,11 +60,7 @@ def _rated(joined: DataFrame) -> DataFrame:
 
 def convert_exact(royalties: DataFrame, rates: DataFrame) -> DataFrame:
     """USD amounts by the rate of the very day; null where that day has none."""
-    daily = rates.select(
-        F.col("currency_code").alias("currency"),
-        F.col("date").alias("reporting_date"),
-        F.col("rate_to_usd").alias("rate"),
-    )
+    daily = daily_rates(rates).withColumnRenamed("date", "reporting_date")
     return _with_rate(royalties, lookup(daily, row_bytes=64))
 
 

@@ -266,8 +266,9 @@ def _paid_by(
     day = F.col("r.reporting_date") if as_of is None else F.lit(as_of).cast("date")
     own = F.col("r.workspace_id") if named else _one_workspace("r.isrc")
     paying = (F.col("n.period_from") <= day) & (F.col("n.period_to") >= day)
-    for name in key:
-        paying &= F.col(f"r.{name}") == F.col(f"n.{name}")
+    paying &= F.trim("r.isrc") == F.col("n.isrc")  # the catalog's isrcs are trimmed, stored cells are not
+    if by_owner:
+        paying &= F.col(f"r.{OWNER}") == F.col(f"n.{OWNER}")
     everyone = (own == F.col("w.of_workspace")) & (F.col("w.period_from") <= day) & (F.col("w.period_to") >= day)
     joined = r.join(n, paying, "left").join(w, everyone, "left")
     mine = F.filter("live", lambda rule: rule["workspace"] == own)
@@ -347,8 +348,8 @@ def with_catalog(royalties: DataFrame, tracks: DataFrame, albums: DataFrame,
     """Royalties with the ids and names their catalog entries carry.
 
     The three catalog tables are joined with each other first: the royalties
-    then need one join, on isrc, and on the owner where they name it (an isrc is
-    unique within an owner only).
+    then need one join, on the trimmed isrc, and on the owner where they name it
+    (an isrc is unique within an owner only). The isrc cell stays as it is.
     """
     key = ["isrc", OWNER] if OWNER in royalties.columns else ["isrc"]
     entry = (
@@ -359,12 +360,16 @@ def with_catalog(royalties: DataFrame, tracks: DataFrame, albums: DataFrame,
               "artist_id", "left")
     )
     entry = entry if OWNER in key else entry.drop(OWNER)
-    return royalties.join(lookup(entry, row_bytes=256), key, "left")
+    entry = lookup(entry.withColumnRenamed("isrc", "_isrc"), row_bytes=256)
+    same = F.trim(royalties["isrc"]) == entry["_isrc"]
+    if OWNER in key:
+        same &= royalties[OWNER] == entry[OWNER]
+    return royalties.join(entry, same, "left").drop("_isrc", *[entry[c] for c in key if c == OWNER])
 
 
 def orphans(royalties: DataFrame, tracks: DataFrame) -> DataFrame:
-    """Royalty isrcs without a track and tracks without royalties."""
-    earned = royalties.select("isrc").distinct()
+    """Royalty isrcs (trimmed, as the catalog has them) without a track and tracks without royalties."""
+    earned = royalties.select(F.trim("isrc").alias("isrc")).distinct()
     known = tracks.select("isrc").distinct()
     return (
         earned.join(known, "isrc", "left_anti")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
@@ -50,6 +51,25 @@ def _walk(node, a_plan, a_subquery):
             yield from _walk(named.apply(k)._2(), a_plan, a_subquery)
 
 
+@contextmanager
+def _settings_of(spark: SparkSession) -> Iterator[None]:
+    """Within, this thread parses by the settings of `spark`; afterwards by those it had before.
+
+    A parser takes its settings from the thread's active session, not from the
+    session it belongs to.
+    """
+    sessions = spark._jvm.org.apache.spark.sql.classic.SparkSession
+    before = sessions.getActiveSession()
+    sessions.setActiveSession(spark._jsparkSession)
+    try:
+        yield
+    finally:
+        if before.isDefined():
+            sessions.setActiveSession(before.get())
+        else:
+            sessions.clearActiveSession()
+
+
 def require_inside(spark: SparkSession, sql: str, tables: Tables) -> None:
     """Refuse relations that are not in `tables` and functions that reach outside.
 
@@ -57,7 +77,8 @@ def require_inside(spark: SparkSession, sql: str, tables: Tables) -> None:
     make no difference. A query's own named queries are relations too.
     """
     try:
-        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+        with _settings_of(spark):
+            plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
     except ParseException as error:
         raise RequestError(f"Only queries can be run: {error}") from error
     _refuse(spark, plan, {name.lower() for name in tables})
@@ -66,7 +87,8 @@ def require_inside(spark: SparkSession, sql: str, tables: Tables) -> None:
 def require_plain(spark: SparkSession, expression: str) -> None:
     """Refuse an expression that calls a function that reaches outside, or holds a subquery on a table."""
     try:
-        parsed = spark._jsparkSession.sessionState().sqlParser().parseExpression(expression)
+        with _settings_of(spark):
+            parsed = spark._jsparkSession.sessionState().sqlParser().parseExpression(expression)
     except ParseException as error:
         raise RequestError(f"'{expression}' cannot be read: {error}") from error
     _refuse(spark, parsed, set())

@@ -1016,6 +1016,44 @@ def _(spark, sf):
     return splits.orphans(royalties(spark, sf), tracks)
 
 
+# Every third platform's rows have padded isrc cells; the catalog has them trimmed.
+PADDED = "CASE WHEN length(platform) % 3 = 0 THEN concat(' ', isrc, '  ') ELSE isrc END"
+
+
+def _padded(rows):
+    return rows.withColumn("isrc", F.expr(PADDED))
+
+
+@query(
+    "payout_padded_isrc",
+    PAID_CTES
+    + f"""SELECT isrc, payee_name, CAST(sum(amount) AS DECIMAL(38,9)) AS amount, count(*) AS payments FROM (
+      SELECT {PADDED.replace("isrc", "n.isrc").replace("platform", "n.platform")} AS isrc, payee_name, amount
+      FROM payouts JOIN numbered n USING (rn)) x GROUP BY 1, 2""",
+)
+def _(spark, sf):
+    frames = fx_data.label_catalog(spark, sf)
+    paid = splits.payout_cascade(_padded(_payable(spark, sf)), frames["tracks"], frames["splits"])
+    return paid.groupBy("isrc", "payee_name").agg(F.sum("amount").alias("amount"), F.count("*").alias("payments"))
+
+
+@query(
+    "royalty_catalog_padded_isrc",
+    R
+    + CATALOG_CTES
+    + f"""SELECT {PADDED.replace("isrc", "r.isrc")} AS isrc, r.net_revenue, t.id AS track_id, t.isrc IS NULL AS orphan
+    FROM royalty_data r LEFT JOIN (SELECT * FROM tracks WHERE right(isrc, 1) <> '7') t ON t.isrc = r.isrc""",
+)
+def _(spark, sf):
+    frames = fx_data.label_catalog(spark, sf)
+    tracks = frames["tracks"].where("right(isrc, 1) <> '7'")
+    rows = _padded(royalties(spark, sf))
+    lost = splits.orphans(rows, tracks).where("problem = 'no track'").select(F.col("isrc").alias("lost"))
+    joined = splits.with_catalog(rows, tracks, frames["albums"], frames["artists"])
+    joined = joined.join(lost, F.trim("isrc") == F.col("lost"), "left")
+    return joined.select("isrc", "net_revenue", "track_id", F.col("lost").isNotNull().alias("orphan"))
+
+
 # --- currency ----------------------------------------------------------------
 
 USD = (
@@ -1037,6 +1075,42 @@ def _(spark, sf):
     return fx.convert_exact(royalties(spark, sf, costly=True), fx_data.fx_rates(spark, sf)).select(*FX_SHOWN)
 
 
+# Every day of an even date has a second, lower rate.
+TWICE_CTE = FX_CTE.replace("fx_rates AS", "rates_once AS") + """, fx_rates AS (
+  SELECT * FROM rates_once
+  UNION ALL SELECT date, currency_code, CAST(rate_to_usd - 0.25 AS DECIMAL(10,6)) FROM rates_once WHERE day(date) % 2 = 0
+), fx_daily AS (SELECT date, currency_code, max(rate_to_usd) AS rate_to_usd FROM fx_rates GROUP BY 1, 2)
+"""
+
+
+def _rates_twice(spark, sf):
+    rates = fx_data.fx_rates(spark, sf)
+    lower = rates.where("day(date) % 2 = 0").withColumn("rate_to_usd", F.expr("CAST(rate_to_usd - 0.25 AS DECIMAL(10,6))"))
+    return rates.unionByName(lower)
+
+
+@query(
+    "fx_repeated_rate",
+    R
+    + TWICE_CTE
+    + f"""SELECT r.isrc, r.currency, r.reporting_date, r.net_revenue, {USD}, {RATE_SQL} FROM royalty_data r
+    LEFT JOIN fx_daily f ON f.currency_code = r.currency AND f.date = r.reporting_date""",
+)
+def _(spark, sf):
+    return fx.convert_exact(royalties(spark, sf, costly=True), _rates_twice(spark, sf)).select(*FX_SHOWN)
+
+
+@query(
+    "fx_rate_conflicts",
+    R
+    + TWICE_CTE
+    + """SELECT currency_code, date, count(*) AS rates, min(rate_to_usd) AS least_rate, max(rate_to_usd) AS greatest_rate
+    FROM fx_rates GROUP BY 1, 2 HAVING count(*) > 1""",
+)
+def _(spark, sf):
+    return fx.repeated_rates(_rates_twice(spark, sf))
+
+
 @query(
     "fx_asof",
     R

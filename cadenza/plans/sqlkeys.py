@@ -428,6 +428,24 @@ sql(
       CAST(CAST(o_orderdate AS DATE) + INTERVAL 1 MONTH AS DATE) AS next_month,
       CAST(datediff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS INT) AS epoch_day FROM orders""",
 )
+sql(
+    "fn_date_bin",
+    """SELECT event_id, date_bin(INTERVAL '15 minutes', ts, TIMESTAMP'2024-01-01 00:00:00') AS quarter,
+      date_bin(INTERVAL '1 day 6 hours', ts, TIMESTAMP'2024-01-03 12:00:00') AS "span", date_bin(90, ts) AS seconds FROM events""",
+    """SELECT event_id, time_bucket(INTERVAL '15 minutes', ts, TIMESTAMP '2024-01-01 00:00:00') AS quarter,
+      time_bucket(INTERVAL '30 hours', ts, TIMESTAMP '2024-01-03 12:00:00') AS span,
+      time_bucket(INTERVAL '90 seconds', ts, TIMESTAMP '1970-01-01 00:00:00') AS seconds FROM events""",
+)
+sql(
+    "fn_regex_groups",
+    r"""SELECT doc_id, regexp_match(text, '([A-Z])([a-z]+) (?:[a-z]+) ([a-z]+)') AS "groups", regexp_match(text, 'THE [a-z]+', 'i') AS "any case",
+      regexp_match(source, 'src[(]') AS none FROM documents""",
+    r"""SELECT doc_id, CASE WHEN regexp_matches(text, '([A-Z])([a-z]+) (?:[a-z]+) ([a-z]+)') THEN
+        [regexp_extract(text, '([A-Z])([a-z]+) (?:[a-z]+) ([a-z]+)', 1), regexp_extract(text, '([A-Z])([a-z]+) (?:[a-z]+) ([a-z]+)', 2),
+         regexp_extract(text, '([A-Z])([a-z]+) (?:[a-z]+) ([a-z]+)', 3)] END AS "groups",
+      CASE WHEN regexp_matches(text, '(?i)THE [a-z]+') THEN [regexp_extract(text, '(?i)THE [a-z]+')] END AS "any case",
+      CAST(NULL AS VARCHAR[]) AS none FROM documents""",
+)
 sql(
     "fn_conditional",
     """SELECT o_orderkey, coalesce(nullif(o_orderstatus, 'O'), 'open') AS st, nvl(nullif(o_orderpriority, '5-LOW'), '-') AS pr,

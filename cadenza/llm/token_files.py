@@ -15,8 +15,9 @@ blocks go as they are: what is committed is whole files, also when a task is los
 and runs again, on any file system Spark can write to. A reader finds any span of
 ids from the index without touching other blocks.
 
-Files hold about `FILE_IDS` ids; a document is in one file. Texts are encoded
-once, where they are read; only ids are shuffled into order.
+Files hold about `FILE_IDS` ids; a document is in one file. Texts are dealt out
+in order of doc_id by one range shuffle, and what a task gets it encodes, packs
+and writes as a stream: ids are stored nowhere but in the files.
 """
 
 from __future__ import annotations
@@ -41,9 +42,11 @@ BLOCK = 1 << 16
 FILE_IDS = 1 << 24
 MAGIC = b"CDZTOK1\n"
 LEVEL = 3
-#: Bytes of text that are encoded at a time, and words whose ids a task remembers.
-PIECE = 1 << 20
-REMEMBERED = 1 << 17
+#: Bytes of text that a task gets and that are encoded at a time; words whose ids a worker remembers, and that are read at once.
+TASK_BYTES = 1 << 28
+PIECE = 1 << 22
+REMEMBERED = 500_000
+AT_ONCE = 4096
 
 
 # ---- text to ids
@@ -60,21 +63,58 @@ def _tokenizer(path: str):
 
 
 class _Words:
-    """Ids of words. A tokenizer that drops white space reads each word by itself, so none is read twice."""
+    """Ids of words as bytes of unsigned 32-bit numbers.
+
+    The tokenizer must drop white space, so that each word is read by itself and
+    none has to be read twice. Words go through the library's normalizer and
+    splitter thousands at a time; each different piece goes through its model
+    once. What was read last is remembered, up to a bound.
+    """
 
     def __init__(self, path: str) -> None:
         self.tokenizer = _tokenizer(path)
-        self.known: dict[str, np.ndarray] = {}
-
-    def ids(self, words: list[str]) -> list[np.ndarray]:
-        new = [w for w in words if w not in self.known]
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def ids(self, words: list[str]) -> list[bytes]:
+        found = list(map(self.known.get, words))
+        new = [k for k, own in enumerate(found) if own is None]
+        for at in range(0, len(new), AT_ONCE):
+            some = new[at : at + AT_ONCE]
+            for k, own in zip(some, self._read([words[k] for k in some]), strict=True):
+                found[k] = own
         if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = words
-        found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        for word, encoding in zip(new, found, strict=True):
-            self.known[word] = np.array(encoding.ids, np.uint32)
-        return [self.known[w] for w in words]
+            self.known = dict(zip(words, found, strict=True))
+        else:
+            self.known.update((words[k], found[k]) for k in new)
+        return found
+
+    def _alone(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, np.uint32).tobytes()
+
+    def _read(self, words: list[str]) -> list[bytes]:
+        """Words with white space of their own or with a special token are left to the whole tokenizer."""
+        text = " ".join(words)
+        if len(text.split()) != len(words) or any(s in text for s in self.special):
+            odd = {k for k, w in enumerate(words) if w.split() != [w] or any(s in w for s in self.special)}
+            rest = iter(self._read([w for k, w in enumerate(words) if k not in odd]) if len(odd) < len(words) else [])
+            return [self._alone(w) if k in odd else next(rest) for k, w in enumerate(words)]
+        plain = self.tokenizer.normalizer.normalize_str(text) if self.tokenizer.normalizer else text
+        spaces = np.flatnonzero(np.frombuffer(plain.encode("utf-32-le"), np.uint32) == 0x20)
+        if len(spaces) != len(words) - 1 or self.tokenizer.pre_tokenizer is None:
+            return [self._alone(w) for w in words]
+        split = self.tokenizer.pre_tokenizer.pre_tokenize_str(plain)
+        if len(self.pieces) > REMEMBERED:
+            self.pieces = {}
+        known, tokens = self.pieces, self.tokenizer.model.tokenize
+        for piece, _ in split:
+            if piece not in known:
+                known[piece] = np.array([t.id for t in tokens(piece)], np.uint32).tobytes()
+        each = [known[piece] for piece, _ in split]
+        starts = np.fromiter((place[0] for _, place in split), np.int64, len(split))
+        bounds = np.searchsorted(np.searchsorted(spaces, starts), np.arange(len(words) + 1)).tolist()
+        return [each[low] if high - low == 1 else b"".join(each[low:high]) for low, high in zip(bounds, bounds[1:], strict=False)]
 
     def read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and how many each has."""
@@ -83,18 +123,23 @@ class _Words:
         each = self.ids(words.dictionary.to_pylist())
         if not each:
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
-        sizes = np.array([len(x) for x in each], np.int64)
-        starts = np.cumsum(sizes) - sizes
+        sizes = np.fromiter(map(len, each), np.int32, len(each)) // 4
         which = words.indices.to_numpy()
         n = sizes[which]
-        ends = np.cumsum(n)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = np.concatenate(each)[np.arange(total) + np.repeat(starts[which] - (ends - n), n)]
+        ends = np.cumsum(n, dtype=np.int64)
+        skipped = (np.cumsum(sizes) - sizes)[which] - (ends - n)  # from a word's place in the texts to that in `each`
+        ids = np.frombuffer(b"".join(each), np.uint32)[np.arange(ends[-1] if len(ends) else 0) + np.repeat(skipped, n)]
         so_far = np.concatenate(([0], ends))
         at = split.offsets.to_numpy() - split.offsets[0].as_py()
         return ids, so_far[at[1:]] - so_far[at[:-1]]
 
 
+@lru_cache(maxsize=2)
+def _words(path: str) -> _Words:
+    """One memory of words for all tasks of a Python worker."""
+    return _Words(path)
+
+
 def _pieces(column: pa.Array) -> Iterator[tuple[int, int, list[pa.Array]]]:
     """Rows first to last of a column with their texts: of about PIECE bytes, or one long row in parts cut at white space."""
     data, starts = buffers(column)
@@ -110,27 +155,17 @@ def _pieces(column: pa.Array) -> Iterator[tuple[int, int, list[pa.Array]]]:
         row = end
 
 
-def encoded(docs: DataFrame, tokenizer: str, end_id: int | None, width: int = 16) -> DataFrame:
-    """doc_id, n and ids (little-endian, `width` bits each) of every row; a null text has the end id alone."""
-    kind = np.dtype(f"<u{width // 8}")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words(tokenizer)
-        for batch in batches:
-            for first, last, parts in _pieces(batch.column(1)):
-                read = [words.read(part) for part in parts]
-                ids = np.concatenate([r[0] for r in read])
-                n = read[0][1] if len(read) == 1 else np.array([sum(int(r[1].sum()) for r in read)])
-                ends = np.cumsum(n)
-                if end_id is not None:
-                    ids, n = np.insert(ids, ends, end_id), n + 1
-                    ends = np.cumsum(n)
-                offsets = np.concatenate(([0], ends)) * kind.itemsize
-                packed = pa.py_buffer(ids.astype(kind).tobytes())
-                binary = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), packed])
-                yield pa.record_batch([batch.column(0).slice(first, last - first), pa.array(n, pa.int64()), binary.cast(pa.binary())], names=["doc_id", "n", "ids"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, ids binary")
+def _encoded(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int | None, kind: np.dtype) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """doc_ids, ids a document has, and all ids in a row, for about PIECE bytes of texts at a time."""
+    words = _words(tokenizer)
+    for batch in batches:
+        for first, last, parts in _pieces(batch.column(1)):
+            read = [words.read(part) for part in parts]
+            ids = np.concatenate([r[0] for r in read])
+            n = read[0][1] if len(read) == 1 else np.array([sum(int(r[1].sum()) for r in read)])
+            if end_id is not None:
+                ids, n = np.insert(ids, np.cumsum(n), end_id), n + 1
+            yield batch.column(0).slice(first, last - first), n, ids.astype(kind)
 
 
 # ---- planes
@@ -204,22 +239,21 @@ class _File:
         yield head + b"".join(np.asarray(a).astype(t).tobytes() for a, t in arrays) + _TAIL.pack(self.at, MAGIC)
 
 
-def write_files(docs: DataFrame, tokenizer: str, end_id: int | None, path: str | None = None, width: int = 16, planes: str = "bit") -> str:
+def write_files(docs: DataFrame, tokenizer: str, end_id: int | None, path: str | None = None, width: int = 16, planes: str = "byte") -> str:
     """Encode every text and write the ids in ascending order of doc_id; returns the folder.
 
     Rows without a doc_id come first; rows that agree in doc_id follow each
-    other in the order of a hash of their ids. `width` is 16 or 32 bits an id,
+    other in the order of a hash of their texts. `width` is 16 or 32 bits an id,
     `planes` is bit or byte.
     """
     spark = docs.sparkSession
     target = path or shared_path(spark, "tokens")
     kind = np.dtype(f"<u{width // 8}")
-    rows = staged(encoded(docs, tokenizer, end_id, width))
-    total = rows.agg(F.sum("n")).first()[0] or 0
-    parts = max(parallelism(spark), -(-total // FILE_IDS))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("salt"), "text")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(parallelism(spark), -(-size // TASK_BYTES))
     order = ["doc_id", "tie", "salt"]
-    keyed = rows.withColumn("tie", F.xxhash64("ids")).withColumn("salt", F.monotonically_increasing_id())
-    dealt = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "n", "ids")
+    dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
@@ -231,11 +265,9 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int | None, path: str |
             seq += len(values)
             return pa.record_batch([pa.array([f"t{task:08d}-{number:06d}"] * len(values)), places, pa.array(values, pa.binary())], names=["file", "seq", "value"])
 
-        for batch in batches:
-            missing = batch.column(0).is_null().to_numpy(zero_copy_only=False).astype(np.uint8)
-            doc_ids = batch.column(0).fill_null(0).to_numpy()
-            n = batch.column(1).to_numpy()
-            ids = buffers_of(batch.column(2)).view(kind)
+        for doc_ids, n, ids in _encoded(batches, tokenizer, end_id, kind):
+            missing = doc_ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8)
+            doc_ids = doc_ids.fill_null(0).to_numpy()
             ends = np.cumsum(n)
             row = done = 0
             while row < len(n):
@@ -258,14 +290,6 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int | None, path: str |
     return target
 
 
-def buffers_of(column: pa.Array) -> np.ndarray:
-    """The bytes of a binary column without nulls."""
-    ends = np.frombuffer(column.buffers()[1], np.int32 if pa.types.is_binary(column.type) else np.int64)
-    first, last = ends[column.offset], ends[column.offset + len(column)]
-    data = column.buffers()[2]
-    return np.frombuffer(data, np.uint8)[first:last] if data is not None else np.zeros(0, np.uint8)
-
-
 class Reader:
     """A file's index, and its ids by block or by span."""
 
@@ -371,11 +395,11 @@ def chunk_index(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(run, ", ".join(f"{name} long" for name in names))
 
 
-def round_trip(docs: DataFrame, tokenizer: str, end_id: int | None, path: str | None = None, width: int = 16, planes: str = "bit") -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer: str, end_id: int | None, path: str | None = None, width: int = 16, planes: str = "byte") -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every row, read back from the files that were written.
 
     A null or empty text has the end id alone, or nothing. Texts of any length
-    are encoded whole, in parts of about a megabyte cut at white space. Rows that
+    are encoded whole, in parts of a few megabytes cut at white space. Rows that
     repeat are documents of their own; other columns have no part. An empty
     table gives no files and no rows. Strings of special tokens in a text are
     read as the tokenizer's file has them.

@@ -24,8 +24,10 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from string import ascii_letters
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +47,7 @@ LEVEL = 3
 #: Bytes of text that a task gets and that are encoded at a time; words whose ids a worker remembers, and that are read at once.
 TASK_BYTES = 1 << 28
 PIECE = 1 << 22
-REMEMBERED = 500_000
+REMEMBERED = 400_000
 AT_ONCE = 4096
 
 
@@ -62,13 +64,20 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+POINTS = ".,;:!?"
+#: Every pair of ASCII letters side by side.
+_PAIRS = "".join(a + b for a in ascii_letters for b in ascii_letters)
+
+
 class _Words:
     """Ids of words as bytes of unsigned 32-bit numbers.
 
     The tokenizer must drop white space, so that each word is read by itself and
     none has to be read twice. Words go through the library's normalizer and
     splitter thousands at a time; each different piece goes through its model
-    once. What was read last is remembered, up to a bound.
+    once. What was read last is remembered, up to a bound. Two shorter ways are
+    taken only if the tokenizer itself shows that they are the same: that no two
+    letters are ever split, and that a letter and a point always are.
     """
 
     def __init__(self, path: str) -> None:
@@ -76,6 +85,17 @@ class _Words:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.letters = self._split(_PAIRS) == [_PAIRS.lower()]
+        glued = [a + b for a in ascii_letters for b in POINTS]
+        self.points = all(self._split(g) == [g[0].lower(), g[1]] for g in glued) and not any(g in s for g in glued for s in self.special)
+
+    def _split(self, text: str) -> list[str]:
+        """The pieces of a text as the library's normalizer and splitter give them to the model."""
+        plain = self.tokenizer.normalizer.normalize_str(text) if self.tokenizer.normalizer else text
+        return [piece for piece, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(plain)] if self.tokenizer.pre_tokenizer else []
+
+    def _piece(self, piece: str) -> bytes:
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(piece)]).tobytes()
 
     def ids(self, words: list[str]) -> list[bytes]:
         found = list(map(self.known.get, words))
@@ -91,14 +111,23 @@ class _Words:
         return found
 
     def _alone(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, np.uint32).tobytes()
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
     def _read(self, words: list[str]) -> list[bytes]:
+        """Ids of new words: those of letters alone are one piece for the model, the others go through all steps."""
+        if not self.letters:
+            return self._read_all(words)
+        whole = [w.isascii() and w.isalpha() for w in words]
+        rest = [w for w, own in zip(words, whole, strict=True) if not own]
+        others = iter(self._read_all(rest) if rest else [])
+        return [self._piece(w.lower()) if own else next(others) for w, own in zip(words, whole, strict=True)]
+
+    def _read_all(self, words: list[str]) -> list[bytes]:
         """Words with white space of their own or with a special token are left to the whole tokenizer."""
         text = " ".join(words)
         if len(text.split()) != len(words) or any(s in text for s in self.special):
             odd = {k for k, w in enumerate(words) if w.split() != [w] or any(s in w for s in self.special)}
-            rest = iter(self._read([w for k, w in enumerate(words) if k not in odd]) if len(odd) < len(words) else [])
+            rest = iter(self._read_all([w for k, w in enumerate(words) if k not in odd]) if len(odd) < len(words) else [])
             return [self._alone(w) if k in odd else next(rest) for k, w in enumerate(words)]
         plain = self.tokenizer.normalizer.normalize_str(text) if self.tokenizer.normalizer else text
         spaces = np.flatnonzero(np.frombuffer(plain.encode("utf-32-le"), np.uint32) == 0x20)
@@ -107,10 +136,10 @@ class _Words:
         split = self.tokenizer.pre_tokenizer.pre_tokenize_str(plain)
         if len(self.pieces) > REMEMBERED:
             self.pieces = {}
-        known, tokens = self.pieces, self.tokenizer.model.tokenize
+        known = self.pieces
         for piece, _ in split:
             if piece not in known:
-                known[piece] = np.array([t.id for t in tokens(piece)], np.uint32).tobytes()
+                known[piece] = self._piece(piece)
         each = [known[piece] for piece, _ in split]
         starts = np.fromiter((place[0] for _, place in split), np.int64, len(split))
         bounds = np.searchsorted(np.searchsorted(spaces, starts), np.arange(len(words) + 1)).tolist()
@@ -118,9 +147,11 @@ class _Words:
 
     def read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and how many each has."""
+        if self.points:  # a point after a word is a piece of its own, so the word is known with any point
+            texts = pc.replace_substring_regex(texts, rf"([A-Za-z])([{POINTS}])(\s|$)", r"\1 \2\3")
         split = pc.ascii_split_whitespace(texts)
         words = split.flatten().dictionary_encode()
-        each = self.ids(words.dictionary.to_pylist())
+        each = self.ids(words.dictionary.to_numpy(zero_copy_only=False).tolist())
         if not each:
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
         sizes = np.fromiter(map(len, each), np.int32, len(each)) // 4

@@ -82,14 +82,19 @@ def _next_start(ts: np.ndarray, rule: Rule) -> np.ndarray:
 
 
 def _open_at_end(ts: np.ndarray, rule: Rule) -> np.ndarray:
-    """For each row, the start of the run open at the end if a run starts there."""
+    """For each row, the start of the run open at the end if a run starts there.
+
+    By pointer doubling: every row points to the start of the run after its
+    own, the last start to itself, and pointers jump twice as far each turn.
+    """
     follow = _next_start(ts, rule)
-    n = len(ts)
-    out = np.arange(n)
-    for i in range(n - 1, -1, -1):
-        if follow[i] < n:
-            out[i] = out[follow[i]]
-    return out
+    place = np.arange(len(ts))
+    jump = np.where(follow < len(ts), follow, place)
+    while True:
+        further = jump[jump]
+        if np.array_equal(further, jump):
+            return jump
+        jump = further
 
 
 SUMMARY = T.StructType(

@@ -48,12 +48,21 @@ def summary(royalties: DataFrame) -> DataFrame:
         *[F.grouping(n).alias(f"no_{c}") for n, c in zip(names, ("artist", "platform", "title", "isrc"))],
     )
 
+    own = {c: F.col(f"no_{c}") == 0 for c in ("artist", "platform", "title", "isrc")}
+    return from_totals(totals, own, {c: F.col(c) for c in own})
+
+
+def from_totals(totals: DataFrame, own: dict[str, Column], names: dict[str, Column]) -> DataFrame:
+    """The summary from rows of `rev` and `qty` per artist, platform, title and isrc.
+
+    `own` tells per column which rows are its totals, `names` where their names are.
+    """
+
     def top(column: str) -> Column:
-        own = F.col(f"no_{column}") == 0
-        rank = F.when(own, F.struct(-F.col("rev"), F.col(column)))
-        return F.min_by(F.col(column), rank).alias(f"top_{'track' if column == 'title' else column}")
+        rank = F.when(own[column], F.struct(-F.col("rev"), names[column]))
+        return F.min_by(names[column], rank).alias(f"top_{'track' if column == 'title' else column}")
 
-    per_track = F.col("no_isrc") == 0
+    per_track = own["isrc"]
     return totals.agg(
         F.coalesce(F.sum(F.when(per_track, F.col("rev"))), F.lit(0).cast(MONEY))
         .cast("double")
@@ -64,5 +73,5 @@ def summary(royalties: DataFrame) -> DataFrame:
         top("artist"),
         top("platform"),
         top("title"),
-        F.count(F.when(per_track, F.col("isrc"))).alias("total_tracks_monetized"),
+        F.count(F.when(per_track, names["isrc"])).alias("total_tracks_monetized"),
     )

@@ -393,11 +393,13 @@ def _top_sql(column: str) -> str:
     )
 
 
-@query(
-    "summary_full",
+SUMMARY_SQL = (
     R + f"SELECT k.*, ({_top_sql('artist')}) AS top_artist, ({_top_sql('platform')}) AS top_platform, "
-    f"({_top_sql('title')}) AS top_track FROM ({KPI_SQL}) AS k",
+    f"({_top_sql('title')}) AS top_track FROM ({KPI_SQL}) AS k"
 )
+
+
+@query("summary_full", SUMMARY_SQL)
 def _(spark, sf):
     return summary.summary(royalties(spark, sf))
 

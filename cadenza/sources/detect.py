@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.sources.files import heads
+from cadenza.sources.files import SNIPPET_BYTES, heads
 
-# The snippet length, and the words that tell layouts apart in
-# the order they are tried. A file with none of them is read as DistroKid.
-SNIPPET_BYTES = 1024
+# The words that tell layouts apart in the order they are tried.
+# A file with none of them is read as DistroKid.
 MARKERS = (
     ("TuneCore", ("sales type", "total earned")),
     ("CDBaby", ("partner", "payable")),
@@ -61,6 +60,4 @@ def source_of(declared: Column, content: Column) -> Column:
 
 def detect_files(spark: SparkSession, path: str) -> DataFrame:
     """Path, length and layout of every file below `path`, from its first bytes."""
-    found = [(p, n, bytearray(head[:SNIPPET_BYTES])) for p, n, head in heads(spark, path)]
-    files = spark.createDataFrame(found, "path string, length bigint, content binary")
-    return files.select("path", "length", detect_source(F.col("content")).alias("source"))
+    return heads(spark, path).select("path", "length", detect_source(F.col("snippet")).alias("source"))

@@ -2,52 +2,72 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.schema import DATASET_ID, STORED_SCHEMA
+from cadenza.session import isolated
+from cadenza.sources.splitcsv import file_path, listing, range_bytes, read_split
 
 CSV_READ = {"header": True, "multiLine": True, "escape": '"'}
 CSV_WRITE = {"header": True, "escape": '"', "emptyValue": "", "nullValue": ""}
 
 
-#: Bytes of a file that are looked at before it is read: enough for a header line.
-HEAD_BYTES = 64 * 1024
+#: Bytes of a file by which its layout is told.
+SNIPPET_BYTES = 1024
+_HEAD = "path string, snippet binary, header string, line_end string"
 
 
-def heads(spark: SparkSession, folder: str, paths: list[str] | None = None) -> list[tuple[str, int, bytes]]:
-    """Path, length and first bytes of each file below a folder, or of the given files.
+def _first_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A file's first bytes and first line; the rest of the file is not asked for."""
+    path, text, header = None, b"", None
+    for batch in batches:
+        for own, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            header = line if header is None else header
+            path, text = own, text + line + b"\n"
+            if len(text) >= SNIPPET_BYTES:
+                break
+        if len(text) >= SNIPPET_BYTES:
+            break
+    if path is not None:
+        # A file whose lines end in a return alone is one line here.
+        own = header.split(b"\r")[0]
+        end = "\n" if own == header else "\r\n" if own + b"\r" == header else "\r"
+        values = (path, text[:SNIPPET_BYTES], own.decode(errors="replace"), end)
+        yield pa.record_batch([pa.array([v]) for v in values], names=[x.split(" ")[0] for x in _HEAD.split(", ")])
 
-    Like a file listing this is one short row per file on the driver; only
-    HEAD_BYTES of a file are read, from any store that Spark knows.
+
+def heads(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+    """path, length, snippet (first bytes), header (first line) and line_end of every file below a folder, or of the given files.
+
+    Read in tasks, one per file, each of which stops after the file's first
+    lines; an empty file has an empty snippet and header.
     """
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    root = jvm.org.apache.hadoop.fs.Path(folder)
-    store = root.getFileSystem(conf)
-    if paths is None:
-        paths = []
-        if store.exists(root):
-            listed = store.listFiles(root, True)
-            while listed.hasNext():
-                own = listed.next().getPath()
-                inner = own.toString()[len(store.makeQualified(root).toString()) :]
-                if not any(part[:1] in ("_", ".") for part in inner.strip("/").split("/")):
-                    paths.append(own.toString())
-
-    def head(path: str) -> tuple[str, int, bytes]:
-        file = jvm.org.apache.hadoop.fs.Path(path)
-        stream = store.open(file)
-        try:
-            bounded = jvm.org.apache.commons.io.input.BoundedInputStream(stream, HEAD_BYTES)
-            return path, store.getFileStatus(file).getLen(), bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(bounded))
-        finally:
-            stream.close()
-
-    with ThreadPoolExecutor(16) as pool:
-        return sorted(pool.map(head, paths))
+    files = _listed(spark, paths)
+    if files is None:
+        return spark.createDataFrame([], f"length long, {_HEAD}").select("path", "length", "snippet", "header", "line_end")
+    child = isolated(spark)
+    for setting in ("maxPartitionBytes", "openCostInBytes"):  # a file is never cut, nor read together with another
+        child.conf.set(f"spark.sql.files.{setting}", str(1 << 60))
+    child.conf.set("spark.sql.files.minPartitionNum", "1")
+    text = child.read.option("recursiveFileLookup", "true").text(paths, lineSep="\n")
+    found = text.select(file_path().alias("path"), F.col("value").cast("binary").alias("value")).mapInArrow(_first_lines, _HEAD)
+    empty = [F.coalesce(name, F.lit(value)).alias(name) for name, value in (("snippet", b""), ("header", ""), ("line_end", "\n"))]
+    return files.join(found, "path", "left").select("path", "length", *empty)
+
+
+def _listed(spark: SparkSession, paths: list[str] | str) -> DataFrame | None:
+    """path and length of every file, or None where the folder is not there."""
+    try:
+        return listing(spark, paths)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
 def processed_path(root: str, workspace_id: str) -> str:
@@ -58,13 +78,24 @@ def staging_path(root: str, workspace_id: str) -> str:
     return f"{root.rstrip('/')}/workspaces/{workspace_id}/staging"
 
 
-def read_report(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Report rows, every column a string, so a UPC keeps its leading zeros.
+def read_report(spark: SparkSession, path: str | list[str], path_column: str | None = None) -> DataFrame:
+    """Report rows, every column a string, so a UPC keeps its leading zeros; `path_column` names one for the file's path.
 
-    Quoted cells may hold line breaks, so one file is one task; scale comes
-    from the number of files. Files of one call must share their header.
+    Quoted cells may hold line breaks. A file of at most one task's bytes is
+    read whole, a larger one in as many parts (`splitcsv`) with the same result.
+    Files of one call must share their header and kind of line end.
     """
-    return spark.read.options(**CSV_READ).csv(path)
+    paths = [path] if isinstance(path, str) else list(path)
+    whole = spark.read.options(**CSV_READ).csv(paths)
+    large = [r["path"] for r in listing(spark, paths).where(F.col("length") > range_bytes(spark)).collect()]  # one row per large file
+    ends = {r["path"]: r["line_end"] for r in heads(spark, large).collect()} if large else {}
+    large = [p for p in large if ends[p] != "\r"]  # files whose lines end in a return alone have but one line for Spark
+    own = [file_path().alias(path_column)] if path_column else []
+    if not large:
+        return whole.select("*", *own)
+    split = read_split(spark, large, whole.columns, ends[large[0]] == "\r\n", path_column)
+    small = [r["path"] for r in listing(spark, paths).collect() if r["path"] not in set(large)]  # one row per file
+    return spark.read.options(**CSV_READ).csv(small).select("*", *own).union(split) if small else split
 
 
 def read_royalties(spark: SparkSession, path: str) -> DataFrame:

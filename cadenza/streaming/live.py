@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from cadenza.operators.chains import NO_KEY, Rule
 from cadenza.sources.ingest import Workspace, ingest_files, staged_files
 from cadenza.streaming.flow import MAX_BATCH, SECOND
-from cadenza.streaming.stateful import LimitProcessor, RunProcessor, ThrottleProcessor
+from cadenza.streaming.stateful import MATCHES, STARTS, LimitProcessor, RunProcessor, ThrottleProcessor, WaitProcessor
 
 TS, ID = "ts", "event_id"
 
@@ -97,8 +97,9 @@ def debounce(events: DataFrame, key: str, period: int) -> DataFrame:
 def wait_for(events: DataFrame, matches: DataFrame, key: str, timeout: int) -> DataFrame:
     """Each event with the matching events that follow in time (in id where times are equal), or none.
 
-    An outer join bounded in time by both watermarks. The first match per event
-    is the least (match_ts, match_id); a sink keeps it with `first_match`.
+    For two streams: an outer join bounded in time by both watermarks. The first
+    match per event is the least (match_ts, match_id); a sink keeps it with
+    `first_match`. `await_first` gives it at once where both kinds come in one stream.
     """
     found = matches.select(
         F.col(key).alias("_key"), F.col(ID).alias("match_id"), F.col(TS).alias("match_ts")
@@ -122,16 +123,33 @@ def first_match(joined: DataFrame, key: str) -> DataFrame:
     )
 
 
-def _keyed(events: DataFrame, key: str) -> DataFrame:
+def _keyed(events: DataFrame, key: str, *more: str) -> DataFrame:
     """State needs a key: events without one share NO_KEY, which no text key is."""
     return events.select(
-        F.coalesce(F.col(key).cast("string"), F.lit(NO_KEY)).alias("key"), ID, TS
+        F.coalesce(F.col(key).cast("string"), F.lit(NO_KEY)).alias("key"), ID, TS, *more
     )
 
 
-def _stateful(events: DataFrame, key: str, processor) -> DataFrame:
+def await_first(events: DataFrame, key: str, name: str, awaited: str, timeout: int) -> DataFrame:
+    """Each `name` event with the first `awaited` one of its key after it, or null once `timeout` has passed.
+
+    Exactly one row per starting event, as `flow.wait_for` has it. Equal times
+    go by id; an event may wait for its own kind. Other events, and any that
+    arrive behind the watermark, have no part.
+    """
+    kind = F.when(F.col("event_type") == name, STARTS).otherwise(0) + F.when(F.col("event_type") == awaited, MATCHES).otherwise(0)
+    chosen = events.where(F.col("event_type").isin(name, awaited)).withColumn("kind", kind.cast("long"))
+    return _stateful(chosen, key, WaitProcessor(timeout * SECOND), "kind")
+
+
+def cancel_on(events: DataFrame, key: str, name: str, cancelled_by: str, timeout: int) -> DataFrame:
+    """Each `name` event that no `cancelled_by` one of its key followed in time, as `flow.cancel_on` has it."""
+    return await_first(events, key, name, cancelled_by, timeout).where("match_id IS NULL").drop("match_id", "match_ts")
+
+
+def _stateful(events: DataFrame, key: str, processor, *more: str) -> DataFrame:
     return (
-        _keyed(events, key)
+        _keyed(events, key, *more)
         .groupBy("key")
         .transformWithStateInPandas(
             statefulProcessor=processor,

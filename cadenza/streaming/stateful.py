@@ -1,7 +1,8 @@
 """Keyed state for rules that windows cannot express.
 
-Events may arrive out of order. Each key holds its events until the watermark
-has passed them, then takes them in order of time and id: the result does not
+Events may arrive out of order. Each key holds its events in buckets of equal
+time until the watermark has passed a bucket's end; then that bucket's events are
+taken in order of time and id, and nothing else is read. The result does not
 depend on how micro-batches were cut.
 """
 
@@ -15,70 +16,80 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from cadenza.operators.chains import NEVER, Rule
 
-HELD = T.StructType([T.StructField("ts", T.LongType()), T.StructField("id", T.LongType())])
+#: Length of a bucket in microseconds: events wait up to that much longer than the watermark asks.
+BUCKET = 1_000_000
 
 
 def _fields(**types: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(n, t) for n, t in types.items()])
 
 
+_LONGS = T.ArrayType(T.LongType())
+HELD = _fields(ts=_LONGS, id=_LONGS, kind=_LONGS)
+PLACE = _fields(bucket=T.LongType())
+
+
 class InOrder(StatefulProcessor):
-    """Holds events back and hands them to `take` in order."""
+    """Holds events back and hands them to `take` in order.
+
+    All timers stand on bucket ends, and those of a key expire in order: at one,
+    the events of all earlier buckets have been taken.
+    """
 
     STATE: T.StructType
     OUTPUT: T.StructType
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", HELD)
+        self.held = handle.getMapState("held", PLACE, HELD)
         self.state = handle.getValueState("state", self.STATE)
-        self.passed = handle.getValueState("passed", _fields(until=T.LongType()))
+
+    def wake_at(self, ts: int) -> int:
+        """Ask for a timer at the first bucket end after a time; returns that bucket end's number."""
+        end = ts // BUCKET + 1
+        self.handle.registerTimer(end * BUCKET // 1000)
+        return end
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        """Only holds; a timer at the earliest held event hands events on."""
+        """Only holds, in the buckets the rows belong to."""
         for batch in rows:
             times = batch["ts"].astype("datetime64[us, UTC]" if batch["ts"].dt.tz else "datetime64[us]")
-            stamps = times.astype("int64").tolist()
-            self.held.appendList(list(zip(stamps, batch["event_id"].tolist())))
-            self.handle.registerTimer(min(stamps) // 1000 + 1)
+            stamps = times.astype("int64")
+            kinds = batch["kind"] if "kind" in batch else pd.Series(0, index=batch.index)
+            for bucket, own in pd.DataFrame({"ts": stamps, "id": batch["event_id"], "kind": kinds}).groupby(stamps // BUCKET):
+                place, new = (int(bucket),), [own[c].tolist() for c in ("ts", "id", "kind")]
+                known = self.held.getValue(place) if self.held.containsKey(place) else ([], [], [])
+                self.held.updateValue(place, tuple([*old, *more] for old, more in zip(known, new, strict=True)))
+                self.wake_at(int(own["ts"].iat[0]))
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        # Timers of one micro-batch see the same watermark: the first does the work.
-        until = timerValues.getCurrentWatermarkInMs()
-        if not self.passed.exists() or self.passed.get()[0] < until:
-            self.passed.update((until,))
-            yield from self.pass_on(key, timerValues)
-
-    def pass_on(self, key, timers) -> Iterator[pd.DataFrame]:
-        reached = timers.getCurrentWatermarkInMs() * 1000
-        events = sorted(self.held.get())
-        ready = [e for e in events if e[0] < reached]
+        end = expiredTimerInfo.getExpiryTimeInMs() * 1000 // BUCKET
         out: list[tuple] = []
         state = self.state.get() if self.state.exists() else None
-        for ts, row in ready:
-            state = self.take(state, ts, row, out)
-        state, wake = self.settle(state, reached, out)
-        if ready:
-            left = events[len(ready) :]
-            self.held.put(left) if left else self.held.clear()
-            if left:
-                self.handle.registerTimer(left[0][0] // 1000 + 1)
+        before, place = state, (end - 1,)
+        if self.held.containsKey(place):
+            for ts, row, kind in sorted(zip(*self.held.getValue(place), strict=True)):
+                state = self.take(state, ts, row, kind, out)
+            self.held.removeKey(place)
+        state, wake = self.settle(state, end * BUCKET, out)
         if state is None:
             self.state.clear()
-        else:
+        elif state != before:
             self.state.update(state)
         if wake is not None:
-            self.handle.registerTimer(wake // 1000 + 1)
+            self.wake_at(wake)
         if out:
             frame = pd.DataFrame(out, columns=self.OUTPUT.fieldNames()[1:])
             for field in self.OUTPUT.fields:
                 if isinstance(field.dataType, T.TimestampType):
                     frame[field.name] = pd.to_datetime(frame[field.name], unit="us")
+                elif isinstance(field.dataType, T.LongType):
+                    frame[field.name] = frame[field.name].astype("Int64")
             frame.insert(0, "key", key[0])
             yield frame
 
-    def take(self, state, ts: int, row: int, out: list):
+    def take(self, state, ts: int, row: int, kind: int, out: list):
         """State after one event; finished output goes to `out`."""
         raise NotImplementedError
 
@@ -116,7 +127,7 @@ class RunProcessor(InOrder):
         start, first, count, last, last_id = state
         out.append((first, start, last_id, last, count, at))
 
-    def take(self, state, ts, row, out):
+    def take(self, state, ts, row, kind, out):
         if state is not None:
             start, _, count, last, _ = state
             if self.rule.ends(ts, start, count, last):
@@ -148,7 +159,7 @@ class LimitProcessor(InOrder):
     def __init__(self, limit: int, period: int):
         self.limit, self.period = limit, period
 
-    def take(self, state, ts, row, out):
+    def take(self, state, ts, row, kind, out):
         own = ts // self.period
         taken = state[1] if state is not None and state[0] == own else 0
         if taken < self.limit:
@@ -169,10 +180,70 @@ class ThrottleProcessor(InOrder):
     def __init__(self, limit: int, period: int):
         self.limit, self.period = limit, period
 
-    def take(self, state, ts, row, out):
+    def take(self, state, ts, row, kind, out):
         lanes = [] if state is None else list(state[0])
         release = ts
         if len(lanes) == self.limit:
             release = max(ts, lanes.pop(0) + self.period)
         out.append((row, ts, release))
         return ([*lanes, release],)
+
+
+#: What an event is to a wait, as bits.
+STARTS, MATCHES = 1, 2
+
+
+class WaitProcessor(InOrder):
+    """One row per start: with the first matching event after it, if in time, else when its time is up.
+
+    Open starts are kept by bucket too. A match empties them all; a timer reads
+    the one bucket whose starts have run out of time.
+    """
+
+    STATE = PLACE
+    OUTPUT = _fields(
+        key=T.StringType(), event_id=T.LongType(), ts=T.TimestampType(),
+        match_id=T.LongType(), match_ts=T.TimestampType(),
+    )
+
+    def __init__(self, timeout: int):
+        self.timeout = timeout
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.open = handle.getMapState("open", PLACE, HELD)
+        self.fresh: list[tuple[int, int]] = []
+
+    def take(self, state, ts, row, kind, out):
+        if kind & MATCHES:
+            for starts, ids, _ in list(self.open.values()):
+                self._matched(zip(starts, ids, strict=True), ts, row, out)
+            self._matched(self.fresh, ts, row, out)
+            self.open.clear()
+            self.fresh = []
+        if kind & STARTS:
+            self.fresh.append((ts, row))
+        return state
+
+    def _matched(self, starts, ts, row, out):
+        for start, own in starts:
+            found = (row, ts) if ts <= start + self.timeout else (None, None)
+            out.append((own, start, *found))
+
+    def settle(self, state, reached, out):
+        if self.fresh:
+            bucket = reached // BUCKET - 1
+            self.open.updateValue((bucket,), ([s for s, _ in self.fresh], [i for _, i in self.fresh], [0] * len(self.fresh)))
+            self.handle.registerTimer((reached + self._wait()) // 1000)
+            self.fresh = []
+        # The bucket whose last possible match was taken just now.
+        bucket = (reached - self._wait()) // BUCKET - 1
+        if self.open.containsKey((bucket,)):
+            starts, ids, _ = self.open.getValue((bucket,))
+            out += [(own, start, None, None) for start, own in zip(starts, ids, strict=True)]
+            self.open.removeKey((bucket,))
+        return None, None
+
+    def _wait(self) -> int:
+        """The timeout in whole buckets."""
+        return -(-self.timeout // BUCKET) * BUCKET

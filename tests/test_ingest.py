@@ -13,7 +13,7 @@ from cadenza.operators.layouts import CDBABY, DISTROKID, LAYOUTS, TUNECORE, find
 from cadenza.operators.history import dataset_status
 from cadenza.operators.normalize import normalize, rejects
 from cadenza.schema import ROYALTY_COLUMNS, ROYALTY_SCHEMA, STORED_SCHEMA, RequestError
-from cadenza.sources import files
+from cadenza.sources import files, splitcsv
 from cadenza.sources.detect import detect_files, source_by_name, source_of
 from cadenza.sources.ingest import Workspace, committed_snapshot, ingest, read_catalog, read_ledger, tables_of
 from cadenza.streaming.live import ingest_stream
@@ -297,3 +297,51 @@ def test_ingest_streams(spark, tmp_path):
         "ds1": ("READY", 2), "ds2": ("READY", 1), "ds4": ("READY", 1), "ds5": ("FAILED", 0)
     }
     assert spark.read.parquet(workspace.table("rejects")).count() == 1
+
+
+def untidy_csv(rng, line_end):
+    """A report whose cells hold line breaks, doubled quotes, commas and quotes that open nothing."""
+    cells = ["a", '12" mix', " lead", "née", "", '"one\ntwo"', '"say ""hi""\nnow"', '""', '"\n\n"', '"c,""d"', '",\"\",\n"', "0012"]
+    lines = ["h1,h2,h 3"] + [",".join(rng.choice(cells) for _ in range(3)) for _ in range(25)]
+    text = "\n".join(lines) + ("\n" if rng.random() < 0.5 else "")
+    return text.replace("\n", line_end)
+
+
+@pytest.mark.parametrize("seed,line_end", [(1, "\n"), (2, "\r\n")])
+def test_large_csv_in_parts_equals_one_task(spark, tmp_path, seed, line_end, monkeypatch):
+    import random
+
+    rng = random.Random(seed)
+    for n in range(2):
+        (tmp_path / f"part {n}.csv").write_bytes(untidy_csv(rng, line_end).encode())
+    whole = files.read_report(spark, str(tmp_path), "file")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "61")
+    try:
+        parts = files.read_report(spark, str(tmp_path), "file")
+        assert parts.columns == whole.columns
+        got, want = rows(parts), rows(whole)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == want and len(want) >= 40
+
+
+def test_quotes_by_line():
+    cases = [
+        (b"a,b", False, False), (b'"a', False, True), (b'a,"b', False, True), (b'a,"b""', False, True), (b'a,"b"",', False, True),
+        (b'a"b,c', False, False), (b'"a""b"', False, False), (b'b",c', True, False), (b'b"",c', True, True), (b'b","c', True, True), (b"", True, True),
+    ]
+    for line, inside, want in cases:
+        assert splitcsv.open_after(line, inside) is want, line
+
+
+def test_heads_are_read_in_tasks(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes(b"x,y\r\n1,2\r\n")
+    (tmp_path / "b c.csv").write_bytes(b"h" * 100_000 + b",i\n1,2\n")
+    (tmp_path / "empty.csv").write_bytes(b"")
+    (tmp_path / "old.csv").write_bytes(b"x,y\r1,2\r")
+    found = {r["path"].rsplit("/", 1)[1]: r for r in files.heads(spark, str(tmp_path)).collect()}
+    assert [found[n]["line_end"] for n in sorted(found)] == ["\r\n", "\n", "\n", "\r"]
+    assert found["b c.csv"]["header"] == "h" * 100_000 + ",i" and len(found["b c.csv"]["snippet"]) == files.SNIPPET_BYTES
+    assert found["empty.csv"]["header"] == "" and found["old.csv"]["header"] == "x,y"
+    assert files.heads(spark, str(tmp_path / "none")).collect() == []

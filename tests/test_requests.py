@@ -264,3 +264,22 @@ def test_rival_changes_do_not_multiply_rows(spark):
     none = spark.createDataFrame([], "workspace_id string, user_id string, role string")
     assert rows(upsert_members(changes, none)) == [("w", "u", "Viewer")]
     assert rows(upsert_members(changes.drop("changed_at"), none)) == [("w", "u", "Viewer")]
+
+
+def test_quoted_names_on_every_kind_of_table(spark, tmp_path):
+    """What a parser takes for a name must not depend on the session that is active."""
+    spark.range(3).toDF("x").write.parquet(str(tmp_path / "t"))
+    sources = [lambda s: s.range(3).toDF("x"), lambda s: s.read.parquet(str(tmp_path / "t")), lambda s: s.createDataFrame([(0,), (1,), (2,)], "x long")]
+    for first in sources:
+        for source in (first, *sources):
+            got = run_sql(spark, 'SELECT x AS "the id", \'it\' AS said FROM t WHERE "x" > 0', {"t": source})
+            assert got.columns == ["the id", "said"] and rows(got) == [(1, "it"), (2, "it")]
+    assert spark.sql("SELECT \"text\" AS t").first()["t"] == "text"
+
+
+def test_date_bin_takes_intervals_and_seconds(spark):
+    got = run_sql(spark, "SELECT date_bin(INTERVAL '15 minutes', TIMESTAMP'2024-01-01 00:25:00', TIMESTAMP'2024-01-01 00:00:00') a, "
+                  "date_bin(900, TIMESTAMP'2023-12-31 23:59:00', TIMESTAMP'2024-01-01 00:00:00') b", {}).first()
+    assert (got["a"], got["b"]) == (dt.datetime(2024, 1, 1, 0, 15), dt.datetime(2023, 12, 31, 23, 45))
+    with pytest.raises(RequestError):
+        run_sql(spark, "SELECT date_bin(INTERVAL '1' MONTH, TIMESTAMP'2024-01-01 00:25:00') a", {})

@@ -5,10 +5,13 @@ from __future__ import annotations
 import datetime as dt
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from cadenza.operators.chains import Rule
 from cadenza.streaming import flow, live
+from cadenza.streaming.stateful import RunProcessor
 from tests.conftest import rows
 
 START = dt.datetime(2024, 1, 1)
@@ -129,6 +132,91 @@ def test_wait_for(spark, stored, tmp_path):
     assert rows(clear) == rows(want.join(clear.select("event_id"), "event_id").select("event_id", "match_id"))
 
 
+@pytest.mark.parametrize("name,awaited,timeout", [("view", "purchase", 30), ("view", "view", 7), ("purchase", "view", 0)])
+def test_first_match_of_every_start(spark, stored, tmp_path, name, awaited, timeout):
+    batch, folder = stored
+    got = run(live.await_first(stream(spark, folder), "user_id", name, awaited, timeout), tmp_path, f"s_first_{name}_{awaited}")
+    got = got.where("key <> '99'").select("event_id", *ntz("ts"), "match_id", *ntz("match_ts"))
+    want = flow.wait_for(batch, "user_id", name, awaited, timeout).select("event_id", "ts", "match_id", "match_ts")
+    assert rows(got) == rows(want) and want.where("match_id is null").count() and want.count() > 100
+
+
+def test_cancel_on(spark, stored, tmp_path):
+    batch, folder = stored
+    got = run(live.cancel_on(stream(spark, folder), "user_id", "view", "purchase", 20), tmp_path, "s_cancel")
+    want = flow.cancel_on(batch, "user_id", "view", "purchase", 20)
+    assert rows(got.where("key <> '99'").select("event_id", *ntz("ts"))) == rows(want.select("event_id", "ts"))
+
+
+class Fake:
+    """State of one key in memory, which counts the values read."""
+
+    def __init__(self):
+        self.maps, self.timers, self.read = [], set(), 0
+
+    def getMapState(self, *_):
+        self.maps.append(FakeMap(self))
+        return self.maps[-1]
+
+    def getValueState(self, *_):
+        return FakeValue()
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+
+class FakeMap(dict):
+    def __init__(self, owner):
+        super().__init__()
+        self.owner, self.containsKey, self.updateValue = owner, self.__contains__, self.__setitem__
+
+    def getValue(self, key):
+        self.owner.read += len(self[key][0])
+        return self[key]
+
+    def removeKey(self, key):
+        del self[key]
+
+
+class FakeValue:
+    value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+
+class Expired:
+    def __init__(self, at):
+        self.getExpiryTimeInMs = lambda: at
+
+
+def test_a_timer_reads_one_bucket_of_a_busy_key():
+    """20,000 events over 2,000 seconds: no timer reads more than its bucket, whatever is held."""
+    fake, events = Fake(), 20_000
+    processor = RunProcessor(Rule(span=60_000_000, size=50))
+    processor.init(fake)
+    batch = pd.DataFrame({"ts": pd.to_datetime([i * 100_000 for i in range(events)], unit="us"), "event_id": range(events)})
+    list(processor.handleInputRows(("a",), iter([batch]), None))
+    runs, most = 0, 0
+    while fake.timers:
+        at = min(fake.timers)
+        fake.timers.discard(at)
+        fake.read = 0
+        for out in processor.handleExpiredTimer(("a",), None, Expired(at)):
+            runs += len(out)
+        most = max(most, fake.read)
+    assert (runs, most) == (events // 50, 10) and not any(fake.maps)
+
+
 def test_dedup_drops_repeats(spark, stored, tmp_path):
     batch, folder = stored
     got = run(live.dedup(stream(spark, folder), ["user_id", "event_type"]), tmp_path, "s_dedup")

@@ -195,10 +195,12 @@ def matches(documents: DataFrame, benchmark: DataFrame, slop: int = SLOP, id_col
     A match has doc and key of its text, the item, the words `first` to `last`
     of the text, and kind `phrase` or `proximity`. Rows that agree in doc_id and
     words have one key and share their matches. Texts and items that are null or
-    without words have none; an item without an id takes no part.
+    without words have none. What an item without an id matches is a match like
+    any other, with a null item. Other columns have no part, whatever their
+    names; texts of any length are indexed whole, in pieces.
     """
     texts = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    items = benchmark.select(F.col(item_column).cast("string").alias("item"), F.col(item_text).alias("text")).where("item is not null")
+    items = benchmark.select(F.col(item_column).cast("string").alias("item"), F.col(item_text).alias("text"))
     windows = staged(items.mapInArrow(_windows, "item string, window long, terms array<long>"))
     distinct = staged(windows.select("window", "terms").dropDuplicates(["window"]))
     rounds = max(1, -(-distinct.count() // ROUND))
@@ -212,7 +214,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, slop: int = SLOP,
     """Per row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated; all of phrases, plus n_near.
 
     n_hit counts the words inside a phrase match, each once; n_near the items
-    found in proximity only. See `matches` for nulls, empty and repeated rows.
+    found in proximity only. Items without an id hit words but are not listed. See `matches` for nulls, empty and repeated rows.
     """
     texts, found = matches(documents, benchmark, slop, **columns)
     found = staged(found)

@@ -81,16 +81,16 @@ def brute_contamination(rows, items):
     windows = defaultdict(set)
     for item, text in items:
         w = ALNUM.findall(lower(text))
-        if item is not None and w:
+        if w:
             for i in range(max(1, len(w) - WINDOW + 1)):
-                windows[tuple(w[i : i + WINDOW])].add(str(item))
+                windows[tuple(w[i : i + WINDOW])].update([] if item is None else [str(item)])
     out = Counter()
     for d, text in rows:
         w = ALNUM.findall(lower(text))
         hit, of = set(), set()
         for size in {len(k) for k in windows}:
             for i in range(len(w) - size + 1):
-                if own := windows.get(tuple(w[i : i + size])):
+                if (own := windows.get(tuple(w[i : i + size]))) is not None:
                     of |= own
                     hit.update(range(i, i + size))
         digest = hashlib.sha256(",".join(sorted(of)).encode()).hexdigest()
@@ -116,6 +116,13 @@ def test_no_documents_and_no_items(spark, sf):
     assert all(not r.contaminated for r in contamination(odd_documents(spark), items).collect())
 
 
+def test_an_item_without_an_id_still_hits(spark):
+    docs = odd_documents(spark).selectExpr("*", "1 as item", "2 as window", "3 as term", "4 as n_hit")
+    items = spark.createDataFrame([(None, "lazy dog and runs"), (None, "lazy dog and runs")], "item_id long, text string")
+    found = {r.doc_id: r for r in contamination(docs, items).collect()}
+    assert (found[1].n_hit, found[1].n_items, found[1].contaminated, found[9].contaminated) == (4, 0, True, False)
+
+
 def test_proximity_matches(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
     near = "intro alpha beta gamma well delta epsilon zeta eta theta iota kappa end"

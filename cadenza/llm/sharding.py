@@ -1,6 +1,6 @@
 """Shards by a consistent-hash ring with virtual nodes and bounded loads.
 
-Shards stand on a ring of 2^16 cells at many places each; a row's position comes
+Shards stand on a ring of 2^16 cells (more where they need them) at many places each; a row's position comes
 from a hash, and its shard is that of the next place clockwise. A full shard
 takes no more: the rows that do not fit go on clockwise to the next place whose
 shard has room. What a shard may hold is bounded, so balance is certain, and a
@@ -23,28 +23,35 @@ from pyspark.sql import functions as F
 
 from cadenza.llm.ordering import ranked
 
-CELLS = 1 << 16
+BITS = 16  # of a cell's number, at least
 PLACES = 64  # virtual nodes of a shard
 
 
+def ring_bits(nodes: int) -> int:
+    """Bits of a cell's number on a ring with so many places: at least half of the cells stay free."""
+    return max(BITS, (2 * nodes - 1).bit_length())
+
+
 def ring(shards: int, places: int = PLACES) -> list[tuple[int, int]]:
     """(cell, shard) of every virtual node, clockwise; one node to a cell.
 
     A node whose cell is taken by a lower-numbered shard moves on to its next
-    hash, so one more shard leaves the others where they are.
+    hash, so one more shard leaves the others where they are. Twice the cells
+    cut each in two, and the order of the places stays.
     """
     taken: dict[int, int] = {}
+    bits = ring_bits(shards * places)
     for shard in range(shards):
         for place in range(places):
             turn = 0
-            while (cell := _cell(shard, place, turn)) in taken:
+            while (cell := _cell(shard, place, turn, bits)) in taken:
                 turn += 1
             taken[cell] = shard
     return sorted(taken.items())
 
 
-def _cell(shard: int, place: int, turn: int) -> int:
-    return int.from_bytes(hashlib.sha256(f"{shard}/{place}/{turn}".encode()).digest()[:2], "big")
+def _cell(shard: int, place: int, turn: int, bits: int) -> int:
+    return int.from_bytes(hashlib.sha256(f"{shard}/{place}/{turn}".encode()).digest()[:8], "big") >> (64 - bits)
 
 
 @dataclass(frozen=True)
@@ -106,11 +113,13 @@ def assign(frame: DataFrame, key: list[str], shards: int = 8, places: int = PLAC
     owners = [shard for _, shard in nodes]
     own = frame.drop("shard", "slot").withColumn("__position", position(*[F.col(k) for k in key]))
     rows = ranked(own, ["__position", *key], "__rank")
-    cell = F.shiftright("__position", 63 - 16)
-    # The ring is a table of fixed size: the arc of each cell. Cells beyond the last place belong to the first.
+    bits = ring_bits(len(nodes))
+    cell = F.shiftright("__position", 63 - bits)
+    # The ring is a table of the arc of each cell: four cells at most for each place. Cells beyond the last place belong to the first.
     ends = [cell for cell, _ in nodes]
     spans = [(arc, start + 1, end) for arc, (start, end) in enumerate(zip([-1, *ends[:-1]], ends, strict=True)) if end > start]
-    spans += [(0, ends[-1] + 1, CELLS - 1)] if ends[-1] < CELLS - 1 else []
+    last = (1 << bits) - 1
+    spans += [(0, ends[-1] + 1, last)] if ends[-1] < last else []
     spark = frame.sparkSession
     arcs = small_table(spark, spans, ["__arc", "low", "high"])
     where = arcs.select("__arc", F.explode(F.sequence("low", "high")).alias("__cell"))
@@ -148,7 +157,8 @@ def shard_documents(documents: DataFrame, shards: int = 8, id_column: str = "doc
     """Per row: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     The law is `rows`: shards differ by one row at most. A null text has size 1
-    and no checksum; a null doc_id is a key like any other. Rows that agree in
+    and no checksum; a null doc_id is a key like any other. Texts of any length
+    are measured whole; other columns have no part, whatever their names. Rows that agree in
     all of doc_id, size and checksum are dealt as they come, each to one slot.
     """
     keys = documents.select(*key_columns(id_column, text_column))

@@ -7,10 +7,9 @@ place, and its candidates are the entries of a window before and after it on eac
 curve; the windows' finds are merged and ranked by the exact inner product.
 
 The window follows the table: the true neighbours of `SAMPLE` queries are found
-by brute force, and the window is the smallest, `WINDOW` at least, that holds
-`TARGET` of them. Where windows so wide would look at as many entries as there
-are, or the table is small, every query is held against every entry instead,
-which is exact; that is where data without structure ends up.
+by brute force, and of all numbers of curves with the window, `WINDOW` at least,
+that holds `TARGET` of them, the pair is taken that looks at the fewest entries.
+Data without structure end up with one curve and a window as long as the curve.
 
 A largest inner product is a nearest point once every vector gets one more
 component that lengthens it to the longest one's length, and queries are brought
@@ -34,7 +33,7 @@ CURVES = 10
 #: Smallest window, in entries each way.
 WINDOW = 4096
 #: The window must hold this share of the true neighbours of so many queries, chosen by hash.
-TARGET = 0.95
+TARGET = 0.96
 SAMPLE = 200
 #: Bytes of the vectors of a block, and queries that meet a block in one task: bounds on a task's memory.
 BLOCK_BYTES = 1 << 24
@@ -151,12 +150,12 @@ def _truth(asked: np.ndarray, dimension: int, k: int):
     return best
 
 
-def _window(ordered: DataFrame, points: DataFrame, asks: DataFrame, dimension: int, k: int) -> int:
-    """Entries each way that hold TARGET of the true neighbours of a sample of queries."""
+def _window(ordered: DataFrame, points: DataFrame, asks: DataFrame, dimension: int, k: int, entries: int) -> tuple[int, int]:
+    """Entries each way, and how many curves, that hold TARGET of the true neighbours of a sample of queries at the least cost."""
     chosen = asks.orderBy("key", "key2").limit(SAMPLE)
     asked = points.join(F.broadcast(chosen), ["key", "key2"]).collect()  # SAMPLE rows
     if not asked:
-        return WINDOW
+        return WINDOW, 1
     finder = _truth(np.array([r["vector"] for r in asked], float), dimension, k + 1)
     found = points.select("key", "key2", "vector").mapInArrow(finder, "ask long, key long, key2 long, score double")
     order = F.row_number().over(Window.partitionBy("ask").orderBy(F.desc("score"), "key", "key2"))
@@ -167,8 +166,14 @@ def _window(ordered: DataFrame, points: DataFrame, asks: DataFrame, dimension: i
     places: dict[tuple, dict[int, int]] = {}
     for r in ordered.join(F.broadcast(names), ["key", "key2"]).select("key", "key2", "is_query", "curve", "rank").collect():
         places.setdefault((r["key"], r["key2"], r["is_query"]), {})[r["curve"]] = r["rank"]
-    apart = [min(abs(at - places[(*d, False)][c]) for c, at in places[(*q, True)].items()) for q, d in pairs]
-    return max(WINDOW, int(np.quantile(apart, TARGET, method="higher"))) if apart else WINDOW
+    if not pairs:
+        return WINDOW, 1
+    apart = np.array([[abs(places[(*q, True)][c] - places[(*d, False)][c]) for c in range(CURVES)] for q, d in pairs])
+    nearest_so_far = np.minimum.accumulate(apart, axis=1)  # on the first curve, the first two, and so on
+    windows = [max(WINDOW, int(w)) for w in np.quantile(nearest_so_far, TARGET, axis=0, method="higher")]
+    costs = [min(2 * w + 1, entries) * (c + 1) for c, w in enumerate(windows)]
+    used = int(np.argmin(costs))
+    return windows[used], used + 1
 
 
 def _searcher(dimension: int, k: int, window: int):
@@ -240,21 +245,16 @@ def nearest(embeddings: DataFrame, every: int = 20, k: int = 20, id_column: str
     entries = points.select(*same, F.lit(False).alias("is_query"), "vector").union(
         points.join(asks, same, "left_semi").select(*same, F.lit(True), "vector")
     )
-    # Every query against every entry, unless windows on the curves look at fewer.
     n, n_asks = points.count(), asks.count()
-    most = max(WINDOW, BLOCK_BYTES // (8 * dimension))  # entries of a block
-    size = min(most, max(WINDOW, n // 16))
-    reach, window, seen = 0, 0, n
-    ordered = entries.select(F.lit(0).alias("curve"), F.lit(0).alias("place"), *same, "is_query", "vector", F.lit(0).alias("rank"))
-    block, blocks = F.pmod("key", F.lit(-(-n // size) or 1)), F.sequence(F.lit(0), F.lit(max(0, -(-n // size) - 1)))
-    if n > 3 * WINDOW * CURVES:
-        curves = _curves(entries, points, dimension)
-        window = _window(curves, points, asks, dimension, k)
-        reach = -(-window // min(most, window))
-        if (2 * reach + 1) * min(most, window) * CURVES < n:
-            ordered, size, seen = curves, min(most, window), (2 * reach + 1) * min(most, window)
-            block = F.floor(F.col("rank") / size)
-            blocks = F.sequence(block - reach, block + reach)
+    most = max(1024, BLOCK_BYTES // (8 * dimension))  # entries of a block
+    ordered = _curves(entries, points, dimension)
+    window, used = _window(ordered, points, asks, dimension, k, n + n_asks)
+    size = min(most, window)
+    reach = -(-window // size)
+    seen = min(n, (2 * reach + 1) * size)
+    ordered, block = ordered.where(F.col("curve") < used), F.floor(F.col("rank") / size)
+    last = F.lit((n + n_asks) // size)
+    blocks = F.sequence(F.greatest(block - reach, F.lit(0)), F.least(block + reach, last))
     parts = max(1, -(-n_asks * seen // (max(1, n) * ASKS)))  # of the queries that a block meets
     dealt = ordered.withColumn("block", F.explode(F.when(F.col("is_query"), blocks.cast("array<long>")).otherwise(F.array(block.cast("long")))))
     part = F.when(F.col("is_query"), F.array(F.pmod("key2", F.lit(parts)))).otherwise(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<long>"))

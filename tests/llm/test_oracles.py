@@ -14,6 +14,7 @@ COLUMNS = {
     "op6_html_text": ["page_id", "url", "text", "n_chars"],
     "op7_lang_id": ["doc_id", "held_out", "lang_pred", "score"],
     "op9_sharding": ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"],
+    "op12_token_files": ["doc_id", "start", "n_tokens", "ids_crc32"],
     "op10_secret_scan": ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "learned_score"],
 }
 

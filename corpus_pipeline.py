@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from cadenza.llm import lang_id, mixing, sharding
 from cadenza.llm.decontaminate import contamination
 from cadenza.llm.near_dedup import near_duplicates
+from cadenza.llm.ordering import ranked
 from cadenza.session import staged
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -40,11 +41,30 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, the one with the smallest id.
 
-    Of rows that repeat a doc_id one stays; rows without a doc_id all stay.
+    A document is an id with a text: rows of one id and different texts are
+    different documents, as are rows without an id, and come after those whose
+    id is theirs alone. Of rows that agree in id and text one stays.
     """
-    kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(_all(docs)).union(docs.where(F.col("doc_id").isNull()))
+    keyed = _keyed(docs)
+    texts = keyed.select(F.col("__key").alias("doc_id"), "text")
+    kept = near_duplicates(texts).where("kept").select(F.col("doc_id").alias("__key")).distinct()
+    return keyed.join(kept, "__key", "left_semi").dropDuplicates(["__key"]).select(_all(docs))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The documents with a number per id and text: the id, or where it is missing or repeated one beyond all ids."""
+    ids = staged(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")))
+    shared = ids.where("n > 1 or doc_id is null").select(F.col("doc_id").alias("__id"))
+    own = docs.withColumn("__key", F.col("doc_id"))
+    if shared.isEmpty():
+        return own
+    beyond = ids.agg(F.max("doc_id")).first()[0] or 0
+    same = F.col("doc_id").eqNullSafe(F.col("__id"))
+    rest = docs.join(shared, same, "left_semi").withColumn("__hash", F.xxhash64("doc_id", "text"))
+    numbers = ranked(rest.select("doc_id", "__hash").distinct(), ["doc_id", "__hash"], "__key")
+    numbers = numbers.select(F.col("__hash").alias("__h"), (F.col("__key") + beyond + 1).alias("__key"))
+    rest = rest.join(numbers, F.col("__hash") == F.col("__h")).drop("__hash", "__h")
+    return own.join(shared, same, "left_anti").unionByName(rest)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,8 +2,8 @@
 
 Events may arrive out of order. Each key holds its events in buckets of equal
 time until the watermark has passed a bucket's end; then that bucket's events are
-taken in order of time and id, and nothing else is read. The result does not
-depend on how micro-batches were cut.
+taken in order of time and id. Events of other buckets are neither read nor
+written again. The result does not depend on how micro-batches were cut.
 """
 
 from __future__ import annotations
@@ -32,8 +32,8 @@ PLACE = _fields(bucket=T.LongType())
 class InOrder(StatefulProcessor):
     """Holds events back and hands them to `take` in order.
 
-    All timers stand on bucket ends, and those of a key expire in order: at one,
-    the events of all earlier buckets have been taken.
+    All timers stand on bucket ends. Of those that expire together the first does
+    the work: it takes all buckets the watermark has passed, one at a time.
     """
 
     STATE: T.StructType
@@ -43,12 +43,11 @@ class InOrder(StatefulProcessor):
         self.handle = handle
         self.held = handle.getMapState("held", PLACE, HELD)
         self.state = handle.getValueState("state", self.STATE)
+        self.passed = handle.getValueState("passed", PLACE)
 
-    def wake_at(self, ts: int) -> int:
-        """Ask for a timer at the first bucket end after a time; returns that bucket end's number."""
-        end = ts // BUCKET + 1
-        self.handle.registerTimer(end * BUCKET // 1000)
-        return end
+    def wake_at(self, ts: int) -> None:
+        """Ask for a timer at the first bucket end after a time."""
+        self.handle.registerTimer((ts // BUCKET + 1) * BUCKET // 1000)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
         """Only holds, in the buckets the rows belong to."""
@@ -64,15 +63,18 @@ class InOrder(StatefulProcessor):
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        end = expiredTimerInfo.getExpiryTimeInMs() * 1000 // BUCKET
+        until = timerValues.getCurrentWatermarkInMs() * 1000 // BUCKET
+        if self.passed.exists() and self.passed.get()[0] >= until:
+            return
+        self.passed.update((until,))
         out: list[tuple] = []
-        state = self.state.get() if self.state.exists() else None
-        before, place = state, (end - 1,)
-        if self.held.containsKey(place):
-            for ts, row, kind in sorted(zip(*self.held.getValue(place), strict=True)):
+        before = state = self.state.get() if self.state.exists() else None
+        for bucket in sorted(place[0] for place in self.held.keys() if place[0] < until):
+            for ts, row, kind in sorted(zip(*self.held.getValue((bucket,)), strict=True)):
                 state = self.take(state, ts, row, kind, out)
-            self.held.removeKey(place)
-        state, wake = self.settle(state, end * BUCKET, out)
+            self.taken(bucket)
+            self.held.removeKey((bucket,))
+        state, wake = self.settle(state, until * BUCKET, out)
         if state is None:
             self.state.clear()
         elif state != before:
@@ -93,6 +95,9 @@ class InOrder(StatefulProcessor):
         """State after one event; finished output goes to `out`."""
         raise NotImplementedError
 
+    def taken(self, bucket: int) -> None:
+        """All events of a bucket have been taken."""
+
     def settle(self, state, reached: int, out: list):
         """State once time has reached a point, and when to look again."""
         return state, None
@@ -197,7 +202,7 @@ class WaitProcessor(InOrder):
     """One row per start: with the first matching event after it, if in time, else when its time is up.
 
     Open starts are kept by bucket too. A match empties them all; a timer reads
-    the one bucket whose starts have run out of time.
+    the buckets whose starts have run out of time.
     """
 
     STATE = PLACE
@@ -230,20 +235,19 @@ class WaitProcessor(InOrder):
             found = (row, ts) if ts <= start + self.timeout else (None, None)
             out.append((own, start, *found))
 
-    def settle(self, state, reached, out):
+    def taken(self, bucket):
         if self.fresh:
-            bucket = reached // BUCKET - 1
             self.open.updateValue((bucket,), ([s for s, _ in self.fresh], [i for _, i in self.fresh], [0] * len(self.fresh)))
-            self.handle.registerTimer((reached + self._wait()) // 1000)
+            self.handle.registerTimer(self._until(bucket) // 1000)
             self.fresh = []
-        # The bucket whose last possible match was taken just now.
-        bucket = (reached - self._wait()) // BUCKET - 1
-        if self.open.containsKey((bucket,)):
+
+    def settle(self, state, reached, out):
+        for bucket in sorted(place[0] for place in self.open.keys() if self._until(place[0]) <= reached):
             starts, ids, _ = self.open.getValue((bucket,))
             out += [(own, start, None, None) for start, own in zip(starts, ids, strict=True)]
             self.open.removeKey((bucket,))
         return None, None
 
-    def _wait(self) -> int:
-        """The timeout in whole buckets."""
-        return -(-self.timeout // BUCKET) * BUCKET
+    def _until(self, bucket: int) -> int:
+        """The time by which the starts of a bucket have met their match or never will."""
+        return (bucket + 1 + -(-self.timeout // BUCKET)) * BUCKET

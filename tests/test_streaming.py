@@ -194,9 +194,9 @@ class FakeValue:
         self.value = None
 
 
-class Expired:
+class Mark:
     def __init__(self, at):
-        self.getExpiryTimeInMs = lambda: at
+        self.getCurrentWatermarkInMs = lambda: at
 
 
 def test_a_timer_reads_one_bucket_of_a_busy_key():
@@ -211,7 +211,7 @@ def test_a_timer_reads_one_bucket_of_a_busy_key():
         at = min(fake.timers)
         fake.timers.discard(at)
         fake.read = 0
-        for out in processor.handleExpiredTimer(("a",), None, Expired(at)):
+        for out in processor.handleExpiredTimer(("a",), Mark(at), None):
             runs += len(out)
         most = max(most, fake.read)
     assert (runs, most) == (events // 50, 10) and not any(fake.maps)

@@ -157,29 +157,31 @@ def nodes(lengths: DataFrame, path: DataFrame) -> DataFrame:
 # ---- contraction
 
 _SUMS = ["leaves", "saved"]
+#: What chains taken out between a node and its parent added up to: it goes to the parent along with the node's total.
+_LIFTS = [f"lift_{s}" for s in _SUMS]
 
 
 def _rake(alive: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Leaves with their totals, and the other nodes with what their leaves gave them and the children they have left."""
     kids = alive.where("parent is not null").groupBy(F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("kids"))
     marked = staged(alive.join(kids, "node", "left"))
-    leaves = marked.where("kids is null").drop("kids")
+    leaves = marked.where("kids is null")
     given = leaves.where("parent is not null").groupBy(F.col("parent").alias("node"))
-    given = given.agg(F.count(F.lit(1)).alias("raked"), *[F.sum(s).alias(f"given_{s}") for s in _SUMS])
+    given = given.agg(F.count(F.lit(1)).alias("raked"), *[F.sum(F.col(s) + F.col(up)).alias(f"given_{s}") for s, up in zip(_SUMS, _LIFTS, strict=True)])
     rest = marked.where("kids is not null").join(given, "node", "left")
     sums = [(F.col(s) + F.coalesce(f"given_{s}", F.lit(0))).alias(s) for s in _SUMS]
-    rest = rest.select("node", "parent", *sums, (F.col("kids") - F.coalesce("raked", F.lit(0))).alias("kids"))
+    rest = rest.select("node", "parent", *sums, *_LIFTS, (F.col("kids") - F.coalesce("raked", F.lit(0))).alias("kids"))
     return leaves.select("node", *_SUMS), staged(rest)
 
 
 def _compress(rest: DataFrame) -> tuple[DataFrame | None, DataFrame]:
     """Chains (node, end, and the sums from the node up to the end) and the tree without their nodes."""
     unary = rest.where("kids = 1")
-    child = rest.select(F.col("node").alias("end"), F.col("parent").alias("node"), (F.col("kids") == 1).alias("open"))
-    links = staged(unary.select("node", *_SUMS).join(child, "node"))
-    if links.isEmpty():
+    child = rest.select(F.col("node").alias("end"), F.col("parent").alias("node"), (F.col("kids") == 1).alias("open"), *_LIFTS)
+    first = unary.select("node", *_SUMS).join(child, "node")
+    whole = staged(first.select("node", *[(F.col(s) + F.col(up)).alias(s) for s, up in zip(_SUMS, _LIFTS, strict=True)], "end", "open"))
+    if whole.isEmpty():
         return None, rest.drop("kids")
-    whole = links
     while not whole.where("open").isEmpty():
         # Every open link jumps to where its end points: the distance to the chain's end halves.
         on = whole.select(F.col("node").alias("end"), F.col("end").alias("next"), F.col("open").alias("still"), *[F.col(s).alias(f"more_{s}") for s in _SUMS])
@@ -190,21 +192,24 @@ def _compress(rest: DataFrame) -> tuple[DataFrame | None, DataFrame]:
 
 
 def _spliced(rest: DataFrame, unary: DataFrame, chains: DataFrame) -> DataFrame:
-    """The nodes that are not unary, those at a chain's end under the parent of the chain's top.
+    """The nodes that are not unary, those at a chain's end under the parent of the chain's top, with the chain's sums as their lift.
 
     The top is the one node of a chain whose parent is not unary.
     """
     of_unary = unary.select(F.col("node").alias("parent"))
     below = unary.join(of_unary, "parent", "left_semi").select("node")
-    tops = unary.select("node", F.col("parent").alias("over")).join(below, "node", "left_anti")
-    moved = tops.join(chains.select("node", "end"), "node").select(F.col("end").alias("node"), "over", F.lit(True).alias("moved"))
+    tops = unary.select("node", F.col("parent").alias("over"), *_LIFTS).join(below, "node", "left_anti")
+    sums = [(F.col(s) + F.col(up)).alias(f"chain_{s}") for s, up in zip(_SUMS, _LIFTS, strict=True)]
+    moved = tops.join(chains, "node").select(F.col("end").alias("node"), "over", *sums, F.lit(True).alias("moved"))
     left = rest.where("kids <> 1").join(moved, "node", "left")
-    return left.select("node", F.when(F.col("moved"), F.col("over")).otherwise(F.col("parent")).alias("parent"), *_SUMS)
+    lifts = [F.when(F.col("moved"), F.col(f"chain_{s}")).otherwise(F.col(up)).alias(up) for s, up in zip(_SUMS, _LIFTS, strict=True)]
+    return left.select("node", F.when(F.col("moved"), F.col("over")).otherwise(F.col("parent")).alias("parent"), *_SUMS, *lifts)
 
 
 def contract(tree: DataFrame) -> DataFrame:
     """node and the sums of `leaves` and `saved` over its subtree, for a forest of node, parent, leaves, saved."""
-    alive, raked, chains = staged(tree), [], []
+    alive = staged(tree.select("node", "parent", *_SUMS, *[F.lit(0).cast("long").alias(up) for up in _LIFTS]))
+    raked, chains = [], []
     while not alive.isEmpty():
         leaves, rest = _rake(alive)
         links, alive = _compress(rest)

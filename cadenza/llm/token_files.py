@@ -327,10 +327,9 @@ class Reader:
     def __init__(self, data: bytes | memoryview) -> None:
         self.data = memoryview(data)
         begin, magic = _TAIL.unpack_from(self.data, len(self.data) - _TAIL.size - 1)
-        head = _HEAD.unpack_from(self.data, begin)
-        if magic != MAGIC or head[0] != MAGIC:
+        if magic != MAGIC or begin + _HEAD.size > len(self.data):
             raise ValueError("not a file of token ids, or cut short")
-        _, width, self.planes, self.task, self.number, blocks, docs = head
+        _, width, self.planes, self.task, self.number, blocks, docs = _HEAD.unpack_from(self.data, begin)
         self.kind = np.dtype(f"<u{width // 8}")
         at = begin + _HEAD.size
 

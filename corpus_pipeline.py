@@ -42,8 +42,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, the one with the smallest id.
 
     A document is an id with a text: rows of one id and different texts are
-    different documents, as are rows without an id, and come after those whose
-    id is theirs alone. Of rows that agree in id and text one stays.
+    different documents, and come after those whose id is theirs alone; rows
+    without an id come last. Of rows that agree in id and text one stays.
     """
     keyed = _keyed(docs)
     texts = keyed.select(F.col("__key").alias("doc_id"), "text")
@@ -61,9 +61,10 @@ def _keyed(docs: DataFrame) -> DataFrame:
     beyond = ids.agg(F.max("doc_id")).first()[0] or 0
     same = F.col("doc_id").eqNullSafe(F.col("__id"))
     rest = docs.join(shared, same, "left_semi").withColumn("__hash", F.xxhash64("doc_id", "text"))
-    numbers = ranked(rest.select("doc_id", "__hash").distinct(), ["doc_id", "__hash"], "__key")
+    rest = rest.withColumn("__none", F.col("doc_id").isNull())
+    numbers = ranked(rest.select("__none", "doc_id", "__hash").distinct(), ["__none", "doc_id", "__hash"], "__key")
     numbers = numbers.select(F.col("__hash").alias("__h"), (F.col("__key") + beyond + 1).alias("__key"))
-    rest = rest.join(numbers, F.col("__hash") == F.col("__h")).drop("__hash", "__h")
+    rest = rest.join(numbers, F.col("__hash") == F.col("__h")).drop("__none", "__hash", "__h")
     return own.join(shared, same, "left_anti").unionByName(rest)
 
 

@@ -47,27 +47,38 @@ def heads(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     Read in tasks, one per file, each of which stops after the file's first
     lines; an empty file has an empty snippet and header.
     """
-    files = _listed(spark, paths)
-    if files is None:
-        return spark.createDataFrame([], f"length long, {_HEAD}").select("path", "length", "snippet", "header", "line_end")
+    listed = _listed(spark, paths) if paths else []  # one short row per file
+    files = spark.createDataFrame(listed, "path string, length long")
+    full = [path for path, length in listed if length]
+    if not full:
+        return files.select("*", F.lit(b"").alias("snippet"), F.lit("").alias("header"), F.lit("\n").alias("line_end"))
     child = isolated(spark)
     for setting in ("maxPartitionBytes", "openCostInBytes"):  # a file is never cut, nor read together with another
         child.conf.set(f"spark.sql.files.{setting}", str(1 << 60))
     child.conf.set("spark.sql.files.minPartitionNum", "1")
-    text = child.read.option("recursiveFileLookup", "true").text(paths, lineSep="\n")
+    text = child.read.text(full, lineSep="\n")
     found = text.select(file_path().alias("path"), F.col("value").cast("binary").alias("value")).mapInArrow(_first_lines, _HEAD)
     empty = [F.coalesce(name, F.lit(value)).alias(name) for name, value in (("snippet", b""), ("header", ""), ("line_end", "\n"))]
     return files.join(found, "path", "left").select("path", "length", *empty)
 
 
-def _listed(spark: SparkSession, paths: list[str] | str) -> DataFrame | None:
-    """path and length of every file, or None where the folder is not there."""
-    try:
-        return listing(spark, paths)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
+def _listed(spark: SparkSession, paths: list[str] | str) -> list[tuple[str, int]]:
+    """Path and length of every file, empty ones too, which Spark's readers leave out; none where the folder is not there."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(paths if isinstance(paths, str) else paths[0])
+    store = root.getFileSystem(conf)
+    if not isinstance(paths, str):
+        found = [store.getFileStatus(jvm.org.apache.hadoop.fs.Path(p)) for p in paths]
+        return [(f.getPath().toString(), f.getLen()) for f in found]
+    if not store.exists(root):
+        return []
+    out, files, above = [], store.listFiles(root, True), len(store.makeQualified(root).toString())
+    while files.hasNext():
+        file = files.next()
+        path = file.getPath().toString()
+        if not any(part[:1] in ("_", ".") for part in path[above:].strip("/").split("/")):
+            out.append((path, file.getLen()))
+    return out
 
 
 def processed_path(root: str, workspace_id: str) -> str:

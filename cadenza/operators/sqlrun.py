@@ -115,6 +115,55 @@ def _refuse(spark: SparkSession, plan, known: set[str]) -> None:
             raise RequestError(f"Table '{name}' is not known")
 
 
+# Aggregates that keep a sketch, a table of counts or a list per group,
+# and distinct aggregates that pass over nulls.
+HELD_BY_GROUP = frozenset(
+    "approx_count_distinct approx_percentile percentile_approx percentile percentile_cont percentile_disc median mode "
+    "collect_list collect_set array_agg approx_top_k histogram_numeric hll_sketch_agg".split()
+)
+NULLS_PASSED = frozenset(("count", "sum", "avg", "mean"))
+
+
+def _functions(node, a_plan) -> Iterator:
+    """The function calls among a parsed plan node's own expressions, those of subqueries left out."""
+    for k in range(node.expressions().size()):
+        for inner in _walk(node.expressions().apply(k), a_plan, a_plan):
+            if inner.getClass().getSimpleName() == "UnresolvedFunction":
+                yield inner
+
+
+def beside_sketches(spark: SparkSession, sql: str) -> str:
+    """The query with `FILTER (WHERE x IS NOT NULL)` on distinct aggregates of x that stand beside sketches.
+
+    Nulls do not count in them, so the result is the same. Without a filter Spark
+    groups by the key and x first and keeps each other aggregate's state for
+    every pair of them; with one it keeps that state per key only.
+    """
+    named_class = spark._jvm.java.lang.Class.forName
+    catalyst = "org.apache.spark.sql.catalyst"
+    a_plan, a_subquery = named_class(f"{catalyst}.plans.QueryPlan"), named_class(f"{catalyst}.expressions.PlanExpression")
+    with _settings_of(spark):
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    added: dict[int, str] = {}
+    for node in _walk(plan, a_plan, a_subquery):
+        if not a_plan.isInstance(node):
+            continue
+        called = [(f.nameParts().last().lower(), f) for f in _functions(node, a_plan)]
+        if not any(compat.ALIASES.get(name, name) in HELD_BY_GROUP for name, _ in called):
+            continue
+        for name, call in called:
+            if name not in NULLS_PASSED or not call.isDistinct() or call.filter().isDefined():
+                continue
+            places = [(o.startIndex(), o.stopIndex()) for o in (call.children().apply(k).origin() for k in range(call.children().size()))]
+            ends = call.origin().stopIndex()
+            if ends.isDefined() and sql[ends.get()] == ")" and all(a.isDefined() and z.isDefined() for a, z in places):
+                tests = [f"({sql[a.get():z.get() + 1]}) IS NOT NULL" for a, z in places]
+                added[ends.get() + 1] = f" FILTER (WHERE {' AND '.join(tests)})"
+    for at in sorted(added, reverse=True):
+        sql = sql[:at] + added[at] + sql[at:]
+    return sql
+
+
 def run_sql(spark: SparkSession, sql: str, tables: Tables) -> DataFrame:
     """Plan of a query over `tables`, whose frames are built in the new session.
 
@@ -134,6 +183,6 @@ def run_sql(spark: SparkSession, sql: str, tables: Tables) -> DataFrame:
     require_inside(child, sql, tables)
     require_query(child, sql)
     try:
-        return child.sql(sql)
+        return child.sql(beside_sketches(child, sql))
     except AnalysisException as error:
         raise RequestError(str(error)) from error

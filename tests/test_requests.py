@@ -283,3 +283,21 @@ def test_date_bin_takes_intervals_and_seconds(spark):
     assert (got["a"], got["b"]) == (dt.datetime(2024, 1, 1, 0, 15), dt.datetime(2023, 12, 31, 23, 45))
     with pytest.raises(RequestError):
         run_sql(spark, "SELECT date_bin(INTERVAL '1' MONTH, TIMESTAMP'2024-01-01 00:25:00') a", {})
+
+
+def test_distinct_counts_beside_sketches_keep_them_per_group(spark):
+    def source(s):
+        made = s.range(1000).selectExpr("id % 3 AS g", "IF(id % 5 = 0, NULL, concat('ü', id % 40)) AS x", "IF(id % 7 = 0, NULL, id) AS y", "id % 50 AS q")
+        return made.repartition(4)
+
+    text = """SELECT g, 'ü)' AS said, count(DISTINCT x) AS n, count(distinct x, (y % 4)) + sum(DISTINCT y % 9) AS m, approx_median(q) AS mid
+      FROM t WHERE q >= (SELECT count(DISTINCT g) - 3 FROM t) GROUP BY g HAVING count(DISTINCT x) > 1"""
+    for query in (text, text.replace("count(distinct x, (y % 4)) + sum(DISTINCT y % 9)", "0")):
+        got = run_sql(spark, query, {"t": source})
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "Expand" in plan  # sketches are in the rows of the plain group only, not in those of a group and a value
+        source(spark).createOrReplaceTempView("plain_t")
+        plain = query.replace("FROM t", "FROM plain_t").replace("approx_median(q)", "median(q)")
+        assert rows(got) == rows(spark.sql(plain))
+    alone = run_sql(spark, "SELECT g, count(DISTINCT x) AS n, max(q) AS most FROM t GROUP BY g", {"t": source})
+    assert "Expand" not in alone._jdf.queryExecution().optimizedPlan().toString()

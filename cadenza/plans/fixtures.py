@@ -44,6 +44,21 @@ def _spread(frame: DataFrame) -> DataFrame:
     return frame if frame.rdd.getNumPartitions() >= cores else frame.repartition(cores)
 
 
+#: Bytes of a table's files up to which it is joined as Spark broadcasts it by default.
+SMALL_BYTES = 10 * 1024 * 1024
+_SMALL: dict[str, bool] = {}
+
+
+def _is_small(spark: SparkSession, sf: str, name: str) -> bool:
+    """Whether a given table's files are few bytes; looked up once."""
+    path = f"{sf}/{name}.parquet"
+    if path not in _SMALL:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        _SMALL[path] = files.getContentSummary(place).getLength() <= SMALL_BYTES
+    return _SMALL[path]
+
+
 def royalties(spark: SparkSession, sf: str, *extra: str, costly: bool = False) -> DataFrame:
     """The royalty table; `extra` names of dataset_id, owner_user_id, line.
 
@@ -56,11 +71,13 @@ def royalties(spark: SparkSession, sf: str, *extra: str, costly: bool = False) -
     nation = table(spark, sf, "nation").alias("n")
     part = table(spark, sf, "part").alias("p")
     supplier = table(spark, sf, "supplier").alias("s")
+    same_order, same_customer, same_nation = map(F.expr, ("l_orderkey = o_orderkey", "o_custkey = c_custkey", "c_nationkey = n_nationkey"))
+    if _is_small(spark, sf, "orders"):
+        sold = line.join(orders, same_order).join(customer, same_customer).join(nation, same_nation)
+    else:  # orders, fewer than lines, get their customer first: the lines are shuffled once for all three
+        sold = line.join(orders.join(customer, same_customer).join(nation, same_nation), same_order)
     joined = (
-        line.join(orders, F.expr("l_orderkey = o_orderkey"))
-        .join(customer, F.expr("o_custkey = c_custkey"))
-        .join(nation, F.expr("c_nationkey = n_nationkey"))
-        .join(part, F.expr("l_partkey = p_partkey"))
+        sold.join(part, F.expr("l_partkey = p_partkey"))
         .join(supplier, F.expr("l_suppkey = s_suppkey"))
     )
     added = {

@@ -9,6 +9,8 @@ the rows, until few enough are left to be sorted.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,16 +42,33 @@ def exact_percentile(rows: DataFrame, keys: list[str], value: str, fraction: flo
     Null values do not count; a group of nulls alone has no row. `held` is how
     many rows of a group are ever sorted in one task.
     """
-    data = rows.select(*keys, F.col(value).alias("_v")).where("_v is not null")
+    return exact_percentiles(rows, keys, value, {name: fraction}, held)
+
+
+def exact_percentiles(rows: DataFrame, keys: list[str], value: str, fractions: Mapping[str, float], held: int = HELD) -> DataFrame:
+    """As `exact_percentile`, a column for every named fraction.
+
+    The rows are worked out once: keys and values are written, and all rounds read those.
+    """
+    data = staged(rows.select(*keys, F.col(value).alias("_v")).where("_v is not null"))
     sizes = staged(data.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
-    place = (F.col("_n") - 1) * F.lit(float(fraction))
     large = sizes.where(F.col("_n") > held)
     small = _with(data, large.select(*keys), keys, "left_anti").groupBy(*keys)
-    small = small.agg(F.percentile("_v", F.lit(fraction)).alias(name))
+    small = small.agg(*[F.percentile("_v", F.lit(float(f))).alias(name) for name, f in fractions.items()])
     if large.isEmpty():
         return small
+    own, found = _with(data, large.select(*keys), keys, "left_semi"), None
+    for name, fraction in fractions.items():
+        one = _of_large(own, large, keys, fraction, name, held)
+        found = one if found is None else _with(found, one, keys)
+    return small.unionByName(found)
+
+
+def _of_large(left: DataFrame, large: DataFrame, keys: list[str], fraction: float, name: str, held: int) -> DataFrame:
+    """One percentile of groups with more rows than are held; `large` has their sizes, `left` their rows."""
+    place = (F.col("_n") - 1) * F.lit(float(fraction))
     wanted = large.select(*keys, "_n", F.floor(place).alias("_low"), F.ceil(place).alias("_high"), (place - F.floor(place)).alias("_part"))
-    left, found = staged(_with(data, large.select(*keys), keys, "left_semi")), None
+    found = None
     while True:
         wanted = staged(_narrowed(left, wanted, keys))
         left = staged(_with(left, wanted.select(*keys, "_from", "_to"), keys).where("_v between _from and _to").drop("_from", "_to"))
@@ -58,7 +77,7 @@ def exact_percentile(rows: DataFrame, keys: list[str], value: str, fraction: flo
         found = done if found is None else found.unionByName(done)
         wanted = wanted.where((F.col("_n") > held) & (F.col("_from") != F.col("_to"))).drop("_from", "_to")
         if wanted.isEmpty():
-            return small.unionByName(found)
+            return found
         left = _with(left, wanted.select(*keys), keys, "left_semi")
 
 

@@ -9,7 +9,7 @@ from cadenza.plans import fixtures as fx_data
 from cadenza.plans.fixtures import DATASETS_CTE, ROYALTY_CTE, royalties, table
 from cadenza.plans.registry import query
 from cadenza.plans.royalty import CURSOR, SUMMARY_SQL
-from cadenza.session import drop_at_exit, shared_path
+from cadenza.session import drop_at_exit, shared_path, staged
 from cadenza.sources import clustered, pages
 from cadenza.sources.files import clear_datasets
 from cadenza.streaming import late
@@ -24,7 +24,8 @@ def _place(spark, name):
 @query("summary_incremental", SUMMARY_SQL)
 def _(spark, sf):
     """All datasets stored, one of them wrong at first and one deleted again, merged at read."""
-    rows, path = royalties(spark, sf, "dataset_id"), _place(spark, "totals")
+    rows = royalties(spark, sf, "dataset_id").select("dataset_id", *partials.NAMED, "net_revenue", "quantity")
+    rows, path = staged(rows), _place(spark, "totals")  # three stores read them
     wrong = rows.withColumn("net_revenue", F.expr("CASE WHEN dataset_id = 'ds-1' THEN CAST(-7 AS DECIMAL(38,9)) ELSE net_revenue END"))
     partials.store(partials.totals(wrong), path)
     partials.store(partials.totals(rows.where("dataset_id = 'ds-1'")), path)
@@ -65,8 +66,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     rows = royalties(spark, sf).select("platform", F.col("net_revenue").cast("double").alias("net_revenue"))
-    middle, high = (quantile.exact_percentile(rows, ["platform"], "net_revenue", q, n) for q, n in ((0.5, "middle"), (0.99, "high")))
-    return middle.join(high, "platform")
+    return quantile.exact_percentiles(rows, ["platform"], "net_revenue", {"middle": 0.5, "high": 0.99})
 
 
 @query(

@@ -13,11 +13,14 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cadenza.session import staged
 from cadenza.sources.splitcsv import file_path
 
 BITS = 6  # of a column's range number
 #: Rows that are looked at to cut a column's values into ranges; decides the layout, never a result.
 SAMPLE = 20_000
+#: Rows of a file at most, in the mean; a task sorts one file's rows.
+FILE_ROWS = 1_000_000
 
 
 def split_points(rows: DataFrame, columns: Sequence[str]) -> dict[str, list]:
@@ -50,12 +53,14 @@ def _up_to(column: str):
 
 
 def write_clustered(rows: DataFrame, path: str, columns: Sequence[str], files: int) -> None:
-    """Write rows as about `files` files along the curve over `columns`, with their table of bounds, in place of what was there.
+    """Write rows as about `files` files, or more where these would be large, along the curve over `columns`, with their table of bounds, in place of what was there.
 
     Rows that agree in all ranges are dealt over files by a salt, so no value,
     however common, makes one file large.
     """
     spark = rows.sparkSession
+    rows = staged(rows)  # they are counted, sampled twice and written
+    files = max(files, -(-rows.count() // FILE_ROWS))
     number = curve(split_points(rows, columns))
     placed = rows.withColumns({"__curve": number, "__salt": F.monotonically_increasing_id()})
     dealt = placed.repartitionByRange(files, "__curve", "__salt").sortWithinPartitions(*columns).drop("__curve", "__salt")

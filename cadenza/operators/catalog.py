@@ -25,18 +25,19 @@ def catalog_items(royalties: DataFrame) -> DataFrame:
 
     An `owner_user_id` column is kept if the rows carry one.
     """
+    return catalog_facts(royalties).distinct()
+
+
+def catalog_facts(royalties: DataFrame) -> DataFrame:
+    """As `catalog_items`, once per royalty row: enough for the jobs below, which reduce them by their own keys."""
     kept = [OWNER] if OWNER in royalties.columns else []
-    return (
-        royalties.where(~blank(F.col("isrc")) & ~blank(F.col("title")))
-        .select(
-            *kept,
-            F.coalesce(trimmed_or_null(F.col("artist")), F.lit(UNKNOWN_ARTIST)).alias("artist"),
-            trimmed_or_null(F.col("album")).alias("album_title"),
-            trimmed_or_null(F.col("upc")).alias("upc"),
-            F.trim("isrc").alias("isrc"),
-            F.trim("title").alias("track_title"),
-        )
-        .distinct()
+    return royalties.where(~blank(F.col("isrc")) & ~blank(F.col("title"))).select(
+        *kept,
+        F.coalesce(trimmed_or_null(F.col("artist")), F.lit(UNKNOWN_ARTIST)).alias("artist"),
+        trimmed_or_null(F.col("album")).alias("album_title"),
+        trimmed_or_null(F.col("upc")).alias("upc"),
+        F.trim("isrc").alias("isrc"),
+        F.trim("title").alias("track_title"),
     )
 
 

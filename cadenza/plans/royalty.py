@@ -544,16 +544,16 @@ KNOWN_ALBUMS_CTE = """, known_albums AS (
 """
 
 
-def _next_albums(spark, sf):
-    # Later jobs read the items and artists again, so both are worked out once.
-    items = staged(fx_data.owned_items(spark, sf))
+def _next_albums(spark, sf, items):
+    # Later jobs read the items (staged, too) and artists again, so both are worked out once.
     artists = staged(catalog.upsert_artists(items, _known_artists(spark, sf)))
-    return items, artists, catalog.upsert_albums(items, _known_albums(spark, sf), artists)
+    return artists, catalog.upsert_albums(items, _known_albums(spark, sf), artists)
 
 
 @query("upsert_albums", ITEMS_CTE + KNOWN_ARTISTS_CTE + KNOWN_ALBUMS_CTE + "SELECT * FROM next_albums")
 def _(spark, sf):
-    return _next_albums(spark, sf)[2]
+    facts = catalog.catalog_facts(royalties(spark, sf, "owner_user_id", costly=True))
+    return _next_albums(spark, sf, staged(facts.drop("isrc", "track_title")))[1]
 
 
 # Album titles without a UPC, in two spellings, so that titles match case-blind.
@@ -607,11 +607,13 @@ def _(spark, sf):
     LEFT JOIN next_albums al ON al.owner_user_id = b.owner_user_id AND al.upc = b.upc""",
 )
 def _(spark, sf):
-    items, artists, albums = _next_albums(spark, sf)
+    fields = ("owner_user_id", "artist", "album", "upc", "isrc", "title", "platform", "transaction_type")
+    rows = staged(royalties(spark, sf, "owner_user_id", costly=True).select(*fields))
+    items = catalog.catalog_facts(rows)
+    artists, albums = _next_albums(spark, sf, items)
     albums = staged(albums)
     known = (
-        royalties(spark, sf, "owner_user_id")
-        .where("platform = '5-LOW' AND transaction_type = 'N'")
+        rows.where("platform = '5-LOW' AND transaction_type = 'N'")
         .select("owner_user_id", "isrc", "platform")
         .distinct()
         .selectExpr(

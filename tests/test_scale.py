@@ -6,10 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from cadenza.operators import joins, splits
+from cadenza.operators import catalog, joins, quantile, splits
 from cadenza.operators.ordered import busy_keys
-from cadenza.plans import QUERIES, fixtures
-from cadenza.session import staged
+from cadenza.plans import QUERIES, fixtures, royalty, upkeep
+from cadenza.session import configure, staged
+from cadenza.sources import clustered
 from tests.conftest import SF, rows
 
 
@@ -89,3 +90,76 @@ def test_busy_keys(spark):
     frame = spark.createDataFrame([(1,)] * 5 + [(None,)] * 4 + [(2,)], "k int")
     assert rows(busy_keys(frame, ["k"], 3)) == [(1,), (None,)]
     assert busy_keys(frame, ["k"], 10) is None
+
+
+def counted(spark, frame):
+    """The frame, and an accumulator of how many of its rows have been worked out."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def note(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    return frame.mapInArrow(note, frame.schema), seen
+
+
+def test_lines_are_joined_with_orders_that_have_their_customer(spark, monkeypatch):
+    assert fixtures._is_small(spark, SF, "orders")
+    monkeypatch.setattr(fixtures, "_SMALL", {f"{SF}/orders.parquet": False})
+    text = fixtures.royalties(spark, SF, "dataset_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert text.index("Inner, (l_orderkey") < text.index("Inner, (o_custkey")  # the outer join comes first
+    assert text.index("Inner, (l_orderkey") < text.index("c_nationkey")
+
+
+def test_percentiles_and_clustered_files_work_their_rows_out_once(spark, tmp_path):
+    frame = spark.range(3000).selectExpr("IF(id % 3 = 0, NULL, id % 3) AS k", "cast(pmod(hash(id), 1000) as double) AS v", "cast(id as string) AS s")
+    rows_, seen = counted(spark, frame)
+    got = quantile.exact_percentiles(rows_, ["k"], "v", {"middle": 0.5, "high": 0.99}, held=50)
+    want = frame.groupBy("k").agg(F.percentile("v", F.lit(0.5)), F.percentile("v", F.lit(0.99)))
+    assert rows(got) == rows(want) and seen.value == 3000
+    rows_, seen = counted(spark, frame)
+    clustered.write_clustered(rows_, str(tmp_path / "c"), ["v", "s"], 2)
+    assert seen.value == 3000
+    assert rows(clustered.read_clustered(spark, str(tmp_path / "c"), {"v": (10.0, 20.0)})) == rows(frame.where("v between 10 and 20"))
+
+
+def test_clustered_files_stay_small(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(clustered, "FILE_ROWS", 100)
+    frame = spark.range(1000).selectExpr("id", "id % 7 AS g")
+    clustered.write_clustered(frame, str(tmp_path), ["id", "g"], 2)
+    assert spark.read.parquet(f"{tmp_path}/bounds").count() == 10
+    assert rows(spark.read.parquet(f"{tmp_path}/rows").select("id", "g")) == rows(frame)
+
+
+@pytest.mark.parametrize("name", ["summary_incremental", "upsert_tracks"])
+def test_royalties_are_worked_out_once(spark, monkeypatch, name):
+    made = fixtures.royalties(spark, SF, "dataset_id", "owner_user_id")
+    frame, seen = counted(spark, staged(made))
+    want = rows(entry.queries()[name](spark, SF))
+    for module in (fixtures, royalty, upkeep):
+        monkeypatch.setattr(module, "royalties", lambda *a, **b: frame)
+    assert rows(entry.queries()[name](spark, SF)) == want
+    assert seen.value == made.count()
+
+
+def test_catalog_jobs_take_repeated_facts(spark):
+    facts = catalog.catalog_facts(fixtures.royalties(spark, SF, "owner_user_id"))
+    facts, items = staged(facts.unionByName(facts)), staged(facts.distinct())
+    artists, albums = (spark.createDataFrame([], s) for s in (fixtures.EMPTY_ARTISTS, fixtures.EMPTY_ALBUMS))
+    named = [catalog.upsert_artists(f, artists) for f in (facts, items)]
+    assert rows(named[0]) == rows(named[1])
+    titled = [catalog.upsert_albums(f, albums, named[0]) for f in (facts.drop("isrc", "track_title"), items)]
+    assert rows(titled[0]) == rows(titled[1])
+
+
+def test_tasks_are_small_unless_the_user_says_otherwise(spark):
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    old = spark.conf.get(key, None)
+    try:
+        spark.conf.unset(key)
+        assert configure(spark).conf.get(key) == "16MB"
+        spark.conf.set(key, "40MB")
+        assert configure(spark).conf.get(key) == "40MB"
+    finally:
+        spark.conf.unset(key) if old is None else spark.conf.set(key, old)
